@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import license_scan, line_dedup, minhash_dedup, quality_rules, url_filter
+
+#: Fixed values of the url query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +19,75 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup,)}
-ORACLES: dict[str, str] = {}
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op4_url_filter, op8_line_dedup, op9_license_scan, op10_quality_rules)}
+
+ORACLES = {
+    "op8_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+        ), k AS (
+            SELECT doc_id, line, i, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+        ), shared AS (
+            SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+        ), judged AS (
+            SELECT k.*, shared.key IS NOT NULL AS gone FROM k LEFT JOIN shared ON k.key = shared.key
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
+    "op10_quality_rules": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), word AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t
+        ), win AS (
+            SELECT doc_id, i, [word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d] AS five, lead(word, 4) OVER d AS last
+            FROM word WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        ), twice AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM win WHERE last IS NOT NULL) WHERE n > 1
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id
+        ), line AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t
+        ), judged AS (
+            SELECT doc_id, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line,
+                length(translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) AS chars,
+                len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+                length(line) - length(translate(line, '|', '')) AS pipes, length(line) - length(translate(line, '#*$%&<>', '')) AS signs
+            FROM line
+        ), failing AS (
+            SELECT *, (pipes >= 2 AND 5 * pipes >= words) OR (10 * signs >= chars AND chars > 0)
+                OR (words >= 3 AND regexp_matches(line, '\p{Lu}') AND NOT regexp_matches(line, '\p{Ll}'))
+                OR (words <= 12 AND regexp_matches(lower(line), 'all rights reserved|cookie|click here|subscribe|sign up|log in|terms of (use|service)|privacy policy|javascript|lorem ipsum|read more|share this|back to top'))
+                OR (words >= 10 AND NOT regexp_matches(line, '[.!?:;,…。！？]')) AS fails
+            FROM judged
+        ), lines AS (
+            SELECT doc_id, count(*) FILTER (full_line) - count(DISTINCT line) FILTER (full_line) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0) AS lost, sum(chars) AS word_chars
+            FROM failing GROUP BY doc_id
+        ), base AS (
+            SELECT t.doc_id, len(w) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+                n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, lost
+            FROM t LEFT JOIN covered ON t.doc_id = covered.doc_id LEFT JOIN lines ON t.doc_id = lines.doc_id
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AS kept
+        FROM base""",
+}

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words in every contract of this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,3 +67,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often ``body`` names it and wherever the optimizer
+    moves the expression: a lambda variable, unlike a column, is never replaced by its definition."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
