@@ -81,8 +81,15 @@ def estimate_ok(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int, least: f
         a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
     both = common(a, b)
     size = len(a) + len(b) - both
-    slack = 0.0 if na <= k and nb <= k else 4.75 * (least * (1 - least) / size) ** 0.5
-    return both >= (least - slack) * size - 1e-9
+    return both >= (least - slack(na, nb, size, k, least)) * size - 1e-9
+
+
+def slack(na: int, nb: int, size: int, k: int, least: float) -> float:
+    """4.75 standard errors of the estimate at ``least`` from ``size`` values of the union, drawn without replacement."""
+    if na <= k and nb <= k:
+        return 0.0
+    union = max((na + nb) / (1 + least), size)
+    return 4.75 * (least * (1 - least) / size * (1 - size / (union + 1))) ** 0.5
 
 
 def estimated(pairs: DataFrame, sketch: DataFrame, k: int, percent: int) -> DataFrame:
@@ -144,17 +151,33 @@ def left_over(stars: DataFrame, sketch: DataFrame, label: DataFrame, k: int, per
                 have = np.zeros((len(xs) + len(ys), len(values)), np.float32)
                 have[np.repeat(np.arange(len(xs) + len(ys)), [len(s) for s in sx + sy]), at] = 1
                 both = have[: len(xs)] @ have[len(xs) :].T
-                sizes = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :]
-                # all values in common lie below both tops, so that the union sketch is no larger than this
-                possible = both >= (least - 0.3) * (sizes - both) / (1 + 0.3)
+                nx, ny = (np.array([r["n"] for r in side]) for side in (xs, ys))
+                tx, ty = (np.array([v[-1] if n > k else 2**64 - 1 for v, n in zip(s, m, strict=True)], np.uint64) for s, m in ((sx, nx), (sy, ny)))
+                # values of each sketch up to the lower top of the pair: the union sketch
+                below = np.stack([np.searchsorted(v, np.minimum(t, ty), "right") for v, t in zip(sx, tx, strict=True)])
+                below = below + np.stack([np.searchsorted(v, np.minimum(t, tx), "right") for v, t in zip(sy, ty, strict=True)]).T
+                size = below - both
+                union = np.maximum((nx[:, None] + ny[None, :]) / (1 + least), size)
+                error = 4.75 * np.sqrt(least * (1 - least) / size * (1 - size / (union + 1)))
+                error[(nx[:, None] <= k) & (ny[None, :] <= k)] = 0
+                near = np.minimum(nx[:, None], ny[None, :]) >= least * np.maximum(nx[:, None], ny[None, :])
                 other = np.array([r["c"] for r in xs])[:, None] != np.array([r["c"] for r in ys])[None, :]
-                out = [(xs[i]["id"], ys[j]["id"]) for i, j in np.argwhere(possible & other) if estimate_ok(sx[i], sy[j], xs[i]["n"], ys[j]["n"], k, least)]
+                out = [(xs[i]["id"], ys[j]["id"]) for i, j in np.argwhere((both >= (least - error) * size - 1e-9) & near & other)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["x", "y"])
 
     return cells.select("rows").mapInArrow(compare, "x long, y long")
 
 
+def star_labels(links: DataFrame) -> DataFrame:
+    """(node, component): a node of the same component for each node of ``links``, mostly the same one for all. Two
+    hops towards smaller ids; nodes with equal labels are joined, others may be as well."""
+    both = links.select(F.col("x").alias("node"), F.col("y").alias("to")).unionByName(links.select(F.col("y").alias("node"), F.col("x").alias("to")))
+    one = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
+    two = one.select(F.col("node").alias("to"), F.col("to").alias("component"))
+    return one.join(two, "to").select("node", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 128) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles (size of its set), component_id (smallest id reachable over
     links, itself included) and kept (its id is component_id).
@@ -186,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(texts.dropDuplicates(["id"]), "texts")
 
     first = cut(confirmed(estimated(stars.select("x", "y"), sketch, k, percent), texts, words, percent), "links")
-    label = components(first, "x", "y")
+    label = cut(star_labels(first), "labels")
     short = lists.where(F.col("m") <= SHORT).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("xs")).select("xs").distinct()
     short = short.select(F.explode("xs").alias("x"), "xs").select("x", F.explode(F.expr("filter(xs, v -> v > x)")).alias("y"))
     rest = left_over(stars.where("long").select("x", "y"), sketch, label, k, percent)
