@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Characters that separate words in every contract of this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,6 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     Where it is unset a folder of this machine is taken, which is right only for a local master; a cluster without
     the setting is an error.
     """
+    ship(spark)
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir") or spark.conf.get("rulespan.shared.dir", None)
     if not at:
