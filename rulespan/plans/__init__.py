@@ -1,4 +1,6 @@
 """Whole queries, each with its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import analysis, retrieval
+
+QUERIES = {f.__name__: f for m in (retrieval, analysis) for f in m.FUNCTIONS}
+ORACLES = {name: sql for m in (retrieval, analysis) for name, sql in m.SQL.items()}
