@@ -7,6 +7,7 @@ it character by character, code points are mapped to four classes and token star
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ from .hashing import mix, powers
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: Texts are cut into groups of about so many characters, which bounds memory; a longer text is a group of its own.
-GROUP = 400_000
+GROUP = 1_000_000
 
 
 @lru_cache(1)
@@ -119,13 +120,13 @@ class Encoder:
     def __init__(self, path: str, pattern: str, most: int = 300_000):
         self.encoding, self.most = encoder(path, pattern), most
         self.known: dict[int, int] = {}
-        self.start, self.flat = [0], []
+        self.start, self.flat = array("q", [0]), array("I")
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each text has)."""
         words, h, which, tokens = tokenised(texts)
         if len(self.known) + len(words) > self.most:
-            self.known, self.start, self.flat = {}, [0], []
+            self.known, self.start, self.flat = {}, array("q", [0]), array("I")
         slot = np.empty(len(words), np.int64)
         for i, (key, word) in enumerate(zip(h.tolist(), words, strict=True)):
             k = self.known.get(key)
@@ -134,7 +135,7 @@ class Encoder:
                 self.flat.extend(self.encoding.encode_ordinary(word))
                 self.start.append(len(self.flat))
             slot[i] = k
-        begin, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)
+        begin, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.uint32)
         return gather(flat, begin, slot[which], tokens)
 
 
@@ -142,5 +143,5 @@ def gather(flat: np.ndarray, begin: np.ndarray, which: np.ndarray, tokens: np.nd
     """(concatenated pieces flat[begin[w]:begin[w + 1]] for w in which, their total length for each run of ``tokens``)."""
     size = begin[which + 1] - begin[which]
     to = np.concatenate([[0], np.cumsum(size)])
-    out = flat[np.arange(to[-1]) + np.repeat(begin[which] - to[:-1], size)] if len(which) else flat[:0]
+    out = flat[np.arange(to[-1]) + np.repeat(begin[which] - to[:-1], size)] if len(which) else flat[:0].copy()
     return out, np.diff(to[np.concatenate([[0], np.cumsum(tokens)])])
