@@ -11,85 +11,90 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import encoder, gather, groups, tokenised
-from .shared import cut
 
 #: Largest vocabulary whose table of bytes each task may hold.
 MOST_TOKENS = 2_000_000
 #: A chunk ends when it has so many pre-tokens.
-CHUNK = 6_000_000
+CHUNK = 2_000_000
 
 
 @lru_cache(2)
-def token_bytes(path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     """(all tokens' bytes one after another, where each begins)."""
-    e = encoder(path, pattern)
-    if e.n_vocab > MOST_TOKENS:
-        raise ValueError(f"a vocabulary of {e.n_vocab} tokens is more than {MOST_TOKENS}")
-    each = [b""] * e.n_vocab
-    for token, rank in e._mergeable_ranks.items():
-        each[rank] = token
+    with open(path, "rb") as f:
+        ranks = {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in f if line.strip())}
+    if len(ranks) > MOST_TOKENS:
+        raise ValueError(f"a vocabulary of {len(ranks)} tokens is more than {MOST_TOKENS}")
+    each = [ranks.get(i, b"") for i in range(max(ranks, default=-1) + 1)]
     return np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
+def _shut(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values, compressed with the bytes of one weight together."""
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _opened(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def _packed(words: list[str]) -> bytes:
     """Byte lengths of the words and the words, as one value."""
     data = [w.encode("utf-8", "surrogatepass") for w in words]
-    return np.array([len(words), *map(len, data)], "<u4").tobytes() + b"".join(data)
+    return zstandard.compress(np.array([len(words), *map(len, data)], "<u4").tobytes() + b"".join(data), 3)
 
 
-def _unpacked(value: bytes) -> list[str]:
+def _unpacked(data: bytes) -> list[str]:
+    value = zstandard.decompress(data)
     n = int.from_bytes(value[:4], "little")
     at = 4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(value, "<u4", n, 4), dtype=np.int64)])
     return [value[i:j].decode("utf-8", "surrogatepass") for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+def exploded(docs: DataFrame, id_col: str, text_col: str, buckets: int, words_only: bool) -> DataFrame:
     """(chunk, bucket, words, place, ids, lengths, codes): a chunk's rows.
 
     Bucket -1 has the chunk's documents: ids, how many pre-tokens each has, and for every pre-token in order which
     of the chunk's words it is. Each other bucket has those distinct words of the chunk whose hash falls into it, and
-    their numbers. A chunk is named by its partition and place; the table must be read, not shuffled, for these names
-    to survive the retry of a task.
+    their numbers. ``words_only``: the rows of these buckets, else that of the documents. Either pass makes the same
+    chunks, named by partition and place; the table must be read, not shuffled, for the names to agree and to survive
+    the retry of a task. The second pass costs less than keeping the codes of all documents on disk twice.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place = TaskContext.get().partitionId(), 0
+        part, place = None, 0
         names, lengths, codes, seen, where, size = [], [], [], {}, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = (part << 32) + place
-            by = np.array(where, np.int64)
-            words = list(seen)
-            order = np.argsort(by, kind="stable")
-            cuts = np.flatnonzero(np.diff(by[order], prepend=-1))
-            groups_ = [order[i:j] for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-            n = len(groups_)
-            every = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            planes = every.view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one weight together: they compress
-            ids = pa.concat_arrays([x.cast(names[0].type) for x in names])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk] * (n + 1), pa.int64()), pa.array([-1, *(int(by[g[0]]) for g in groups_)], pa.int32()),
-                    pa.array([None, *(_packed([words[i] for i in g.tolist()]) for g in groups_)], pa.binary()), pa.array([None, *(g.astype("<u4").tobytes() for g in groups_)], pa.binary()),
-                    pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.nulls(n, pa.list_(ids.type))]),
-                    pa.array([np.array(lengths, "<u4").tobytes(), *[None] * n], pa.binary()), pa.array([planes, *[None] * n], pa.binary()),
-                ],
-                ["chunk", "bucket", "words", "place", "ids", "lengths", "codes"],
-            )
+            if words_only:
+                by, words = np.array(where, np.int64), list(seen)
+                order = np.argsort(by, kind="stable")
+                cuts = np.flatnonzero(np.diff(by[order], prepend=-1))
+                own = [order[i:j] for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+                columns = [pa.array([int(by[g[0]]) for g in own], pa.int32()), pa.array([_packed([words[i] for i in g.tolist()]) for g in own], pa.binary()), pa.array([_shut(np.diff(g, prepend=0)) for g in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int64()), *columns], ["chunk", "bucket", "words", "place"])
+            else:
+                ids = pa.concat_arrays([x.cast(names[0].type) for x in names])
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_shut(np.array(lengths, np.uint32))], pa.binary()), pa.array([_shut(np.concatenate(codes))], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), *columns], ["chunk", "bucket", "ids", "lengths", "codes"])
 
         for batch in batches:
+            if part is None and batch.num_rows:
+                part = batch.column(2)[0].as_py()
             texts = batch.column(1)
             for lo, hi in groups([len(t.as_py() or "") for t in texts]):
                 words, h, which, tokens = tokenised([t.as_py() or "" for t in texts.slice(lo, hi - lo)])
@@ -100,9 +105,10 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataF
                         k = seen[w] = len(seen)
                         where.append(b)
                     own[i] = k
+                if not words_only:
+                    codes.append(own[which])
                 names.append(batch.column(0).slice(lo, hi - lo))
                 lengths += tokens.tolist()
-                codes.append(own[which])
                 size += len(which)
                 if size >= CHUNK:
                     yield from flush()
@@ -111,7 +117,9 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataF
         if names:
             yield from flush()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(explode, f"chunk long, bucket int, words binary, place binary, ids array<{kind}>, lengths binary, codes binary")
+    # the partition as the scan numbers it: a task of a union has another number
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    return own.mapInArrow(explode, "chunk long, bucket int, words binary, place binary" if words_only else f"chunk long, bucket int, ids array<{kind}>, lengths binary, codes binary")
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -131,8 +139,8 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
                         x = known[w] = e.encode_ordinary(w)
                     size.append(len(x))
                     ids += x
-                sizes.append(np.array(size, "<u4").tobytes())
-                flat.append(np.array(ids, "<u4").tobytes())
+                sizes.append(_shut(np.array(size, np.uint32)))
+                flat.append(_shut(np.array(ids, np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), batch.column("place"), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())], ["chunk", "bucket", "place", "sizes", "flat"])
 
     return words.repartition("bucket").mapInArrow(look_up, "chunk long, bucket int, place binary, sizes binary, flat binary")
@@ -145,9 +153,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     empty text has no ids. Ids of documents may be null or repeated; each row gives one row.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(exploded(docs, id_col, text_col, buckets), "pre-tokens")
-    encoded = encode_words(rows.where("bucket >= 0").select("chunk", "bucket", "words", "place"), path, pattern)
-    both = encoded.unionByName(rows.where("bucket < 0").select("chunk", F.lit(1 << 30).alias("bucket"), "ids", "lengths", "codes"), allowMissingColumns=True)
+    encoded = encode_words(exploded(docs, id_col, text_col, buckets, True), path, pattern)
+    texts = exploded(docs, id_col, text_col, buckets, False).withColumn("bucket", F.lit(1 << 30))
+    both = encoded.unionByName(texts, allowMissingColumns=True)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +164,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for i in range(batch.num_rows):
                 codes = batch.column("codes")[i].as_py()
                 if codes is None:
-                    for x, c in ((place, "place"), (sizes, "sizes"), (flat, "flat")):
-                        x.append(np.frombuffer(batch.column(c)[i].as_py(), "<u4"))
+                    place.append(np.cumsum(_opened(batch.column("place")[i].as_py()), dtype=np.int64))
+                    sizes.append(_opened(batch.column("sizes")[i].as_py()))
+                    flat.append(_opened(batch.column("flat")[i].as_py()))
                     continue
                 at, n, every = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (place, sizes, flat))
                 place, sizes, flat = [], [], []
                 begin = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
                 slot = np.empty(len(at), np.int64)
                 slot[at] = np.arange(len(at))
-                which = np.frombuffer(codes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-                lengths = np.frombuffer(batch.column("lengths")[i].as_py(), "<u4").astype(np.int64)
+                which = _opened(codes)
+                lengths = _opened(batch.column("lengths")[i].as_py()).astype(np.int64)
                 to = np.concatenate([[0], np.cumsum(lengths)])
                 ids = batch.column("ids").slice(i, 1).flatten()
                 for lo in range(0, len(lengths), 256):
@@ -178,13 +187,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return together.select("bucket", "place", "sizes", "flat", "ids", "lengths", "codes").mapInArrow(reassemble, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with data: the bytes that the ids in ``ids_col`` stand for. A null gives a null, no ids no bytes; an
     id outside the vocabulary is an error."""
     names = encoded.columns
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, begin = token_bytes(path, pattern)
+        flat, begin = token_bytes(path)
         for batch in batches:
             data = []
             for x in batch.column(ids_col):
@@ -202,18 +211,21 @@ def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(``id_col``, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by commas, and of the bytes."""
+def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(``id_col``, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by commas, and of the bytes
+    that decoding the ids gives. One pass, so that decoded bytes never leave the task."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, start = token_bytes(path)
         for batch in batches:
             shown, data = [], []
-            for x, y in zip(batch.column("ids"), batch.column("data"), strict=True):
+            for x in batch.column("ids"):
                 ids = np.frombuffer(x.as_py(), "<u4").astype(np.int64)
+                n = np.array([len(ids)])
                 flat, begin = _decimals(max(1 << 16, 1 << int(ids.max() + 1).bit_length()) if len(ids) else 1 << 16)
-                shown.append(hashlib.sha256(gather(flat, begin, ids, np.array([len(ids)]))[0].tobytes()[:-1]).hexdigest())
-                data.append(hashlib.sha256(y.as_py()).hexdigest())
+                shown.append(hashlib.sha256(gather(flat, begin, ids, n)[0].tobytes()[:-1]).hexdigest())
+                data.append(hashlib.sha256(gather(table, start, ids, n)[0].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n_tokens"), pa.array(shown, pa.string()), pa.array(data, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = decoded.schema[id_col].dataType.simpleString()
-    return decoded.select(id_col, "n_tokens", "ids", "data").mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return encoded.select(id_col, "n_tokens", "ids").mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -16,7 +16,7 @@ from .hashing import mix, powers
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: Texts are cut into groups of about so many characters, which bounds memory; a longer text is a group of its own.
-GROUP = 1_000_000
+GROUP = 500_000
 
 
 @lru_cache(1)

@@ -48,7 +48,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe_codec.digests(bpe_codec.decode(encoded, path, pattern))
+    return bpe_codec.digests(encoded, path)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,9 @@ def test_codec_round_trip(spark, monkeypatch):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = {r["doc_id"]: r for r in bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(df, path, P.PATTERN), path, P.PATTERN)).collect()}
+    encoded = bpe_codec.encode(df, path, P.PATTERN)
+    got = {r["doc_id"]: r for r in bpe_codec.digests(encoded, path).collect()}
+    assert {r["doc_id"]: bytes(r["data"]).decode() for r in bpe_codec.decode(encoded, path).collect()} == {i: t or "" for i, t in enumerate(texts)}
     for i, t in enumerate(texts):
         ids = e.encode_ordinary(t or "")
         assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
