@@ -90,8 +90,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A line without any shingle of any template can neither share a band with one nor add to what is found.
     known_shingles = F.array(*(F.lit(x) for x in first)) if first else F.array().cast("array<bigint>")
     near = lines.where(F.arrays_overlap("s", known_shingles))
+    # Nor can a shingle of no template be part of one: without them a license inside a longer line fills its window.
+    near = near.select("key", F.filter("s", lambda x: F.array_contains(known_shingles, x)).alias("s"))
     hit = windows(near).withColumnRenamed("key", "id").join(F.broadcast(windows(t_lines)), "band").select("id", F.col("key").alias("t_key")).distinct()
-    held = near.groupBy(F.col("key").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("s", known_shingles)))).alias("held"))
+    held = near.groupBy(F.col("key").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("s")))).alias("held"))
     found = hit.join(held, hit["id"].eqNullSafe(held["id"])).select(hit["id"], "t_key", "held").join(F.broadcast(t_set.withColumnRenamed("key", "t_key")), "t_key").join(F.broadcast(t.select(F.col("key").alias("t_key"), "license")), "t_key")
     found = found.select("id", "license", F.size("t").cast("long").alias("n"), F.size(F.array_intersect("held", "t")).cast("long").alias("f")).where(100 * F.col("f") >= percent * F.col("n"))
     best = found.groupBy("id", "license").agg(F.max(F.struct((F.col("f") / F.col("n")).alias("share"), "n", "f")).alias("m"))

@@ -110,10 +110,10 @@ def test_url_filter(spark):
 
 def test_licenses(spark):
     mit = license_scan.TEMPLATES[1][1]
-    texts = ["Intro words here.\nReleased under the MIT License.\nMore text.", "x\n" + mit, "nothing of that kind", None, "", "licensed under the apache license, version 2.0.", " ".join(mit.split()[:20])]
+    texts = ["Intro words here.\nReleased under the MIT License.\nMore text.", "x\n" + mit, "nothing of that kind", None, "", "licensed under the apache license, version 2.0.", " ".join(mit.split()[:20]), "word " * 90 + mit + " and more" * 80]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(df).collect()}
-    assert got == {(0, "MIT"), (1, "MIT"), (5, "Apache-2.0")}
+    assert got == {(0, "MIT"), (1, "MIT"), (5, "Apache-2.0"), (7, "MIT")}
 
 
 def test_pretokens():
