@@ -61,12 +61,13 @@ def template_tree(urls: DataFrame, max_children: int = 8, max_share: float = 0.5
     """(host, s0..s4, template) of every (host, s0..s4, n, labelled, blocked) in ``urls``.
 
     A literal level becomes ``*`` where a parent has more than ``max_children`` children and more than ``max_share``
-    children per page; branches within ``z`` standard errors of the parent's labelled share become ``*`` too.
+    children per page; branches within ``z`` standard errors of the parent's labelled share become ``*`` too. Each level
+    is written, so that a plan holds one level only.
     """
     tree = urls.withColumn("template", F.lit(""))
     for d in range(DEPTH + 1):
         child = tree.groupBy("host", "template", f"s{d}").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        child = child.where(F.col(f"s{d}").isNotNull())
+        child = cut(child.where(F.col(f"s{d}").isNotNull()), "branches")
         parent = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("pages"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         share = F.col("pb") / F.col("pl")
         error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.01)) * (1 / F.col("l") + 1 / F.col("pl")))
@@ -74,7 +75,7 @@ def template_tree(urls: DataFrame, max_children: int = 8, max_share: float = 0.5
         alike = (F.col("children") > 1) & (F.col("l") > 0) & (F.abs(F.col("b") / F.col("l") - share) <= z * error)
         part = F.when(F.when(F.col("l") > 0, alike).otherwise(False) | varies, "*").otherwise(F.col(f"s{d}"))
         step = child.join(parent, ["host", "template"]).select("host", "template", f"s{d}", F.concat("template", F.lit("/"), part).alias("next"))
-        tree = tree.join(step, ["host", "template", f"s{d}"], "left").withColumn("template", F.coalesce("next", "template")).drop("next")
+        tree = cut(tree.join(step, ["host", "template", f"s{d}"], "left").withColumn("template", F.coalesce("next", "template")).drop("next"), "tree")
     return tree
 
 
@@ -93,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     df = df.withColumns({f"s{d}": F.get("__s", F.lit(d)) for d in range(DEPTH + 1)}).withColumn("__key", F.xxhash64("host", "__s"))
     levels = [f"s{d}" for d in range(DEPTH + 1)]
     urls = df.groupBy("__key", "host", *levels).agg(F.count("*").alias("n"), F.count("__rule.verdict").alias("labelled"), F.count_if(F.col("__rule.verdict") == "block").alias("blocked"))
-    tree = cut(template_tree(cut(urls, "urls")), "tree")
+    tree = template_tree(cut(urls, "urls"))
 
     total = tree.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     prior = (total["b"] or 0) / total["l"] if total["l"] else 0.0
