@@ -1,6 +1,6 @@
 """Whole queries, each with its SQL."""
 
-from . import analysis, retrieval
+from . import analysis, navigation, retrieval
 
-QUERIES = {f.__name__: f for m in (retrieval, analysis) for f in m.FUNCTIONS}
-ORACLES = {name: sql for m in (retrieval, analysis) for name, sql in m.SQL.items()}
+QUERIES = {f.__name__: f for m in (retrieval, analysis, navigation) for f in m.FUNCTIONS}
+ORACLES = {name: sql for m in (retrieval, analysis, navigation) for name, sql in m.SQL.items()}
