@@ -1,6 +1,7 @@
 """Whole queries, each with its SQL."""
 
-from . import analysis, navigation, retrieval
+from . import analysis, catalog, navigation, retrieval
 
-QUERIES = {f.__name__: f for m in (retrieval, analysis, navigation) for f in m.FUNCTIONS}
-ORACLES = {name: sql for m in (retrieval, analysis, navigation) for name, sql in m.SQL.items()}
+MODULES = (retrieval, analysis, navigation, catalog)
+QUERIES = {f.__name__: f for m in MODULES for f in m.FUNCTIONS}
+ORACLES = {name: sql for m in MODULES for name, sql in m.SQL.items()}
