@@ -3,10 +3,12 @@
 1. Equal vectors form a class; one of each goes on, with the number of its copies.
 2. A neighbour graph starts from buckets of random hyperplane signs, cut into blocks of bounded size.
 3. NN-descent: every vector shows its neighbours, in both directions, to each other; better ones replace worse ones.
-4. Audit: links of a sample of vectors are found by brute force against all rows in blocks. While the graph misses
-   too many of them, more buckets and another descent follow.
-5. Saturated lists are enlarged: the members of each component of threshold edges are compared with each other in
-   blocks, exactly and in double precision. Blocks return counts and a spanning forest, never all pairs.
+4. Saturated lists, all of whose places are links, may hide further links to saturated vectors of other components:
+   these are searched exactly, and components that meet are joined.
+5. The members of each component of threshold edges are compared with each other in blocks, exactly and in double
+   precision. Blocks return counts and a spanning forest, never all pairs.
+6. Audit: all link ends of a sample of vectors are counted by brute force against all rows in blocks. While too many
+   of them are missing, more buckets and another descent follow.
 """
 
 from __future__ import annotations
@@ -138,8 +140,9 @@ def descended(graph: DataFrame, vectors: DataFrame, n: int, most: int = 4) -> Da
     return nearest(graph.unionByName(cells.mapInArrow(compare, "v long, u long, sim float")), "v", NEIGHBOURS)
 
 
-def audited(graph: DataFrame, vectors: DataFrame, least: float) -> float:
-    """The share of the audited vectors with a link whose link, any one, the graph has; 1 if none of them has a link."""
+def audited(links: DataFrame, vectors: DataFrame, least: float) -> float:
+    """The smaller of two shares, by brute force over the audited vectors: of their link ends, those in ``links``, and of
+    the vectors with a link, those with no link end missing; 1 if none of them has a link."""
     sample = vectors.orderBy(F.xxhash64("id")).limit(AUDIT).collect()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {r["dim"] for r in sample}:
@@ -148,24 +151,82 @@ def audited(graph: DataFrame, vectors: DataFrame, least: float) -> float:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, dims = [], batch.column("dim").to_numpy()
+            dims = batch.column("dim").to_numpy()
             for dim, (ids, q) in by_dim.items():
                 part = batch.filter(pa.array(dims == dim))
                 if part.num_rows:
-                    own = part.column("id").to_numpy()
-                    s = q @ _matrix(part.column("v").to_pylist()).T
-                    s[ids[:, None] == own[None, :]] = -2
-                    best = s.argmax(1)
-                    top = s[np.arange(len(ids)), best]
-                    ok = top >= least
-                    found.append((ids[ok], own[best[ok]], top[ok]))
-            yield _edges(found)
+                    near = q @ _matrix(part.column("v").to_pylist()).T >= least
+                    near[ids[:, None] == part.column("id").to_numpy()[None, :]] = False
+                    count = near @ part.column("copies").to_numpy()
+                    ok = count > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(count[ok])], ["v", "true"])
+
+    true = vectors.mapInArrow(search, "v long, true long").groupBy("v").agg(F.sum("true").alias("true"))
+    have = F.least(F.coalesce("links", F.lit(0)), "true")
+    r = true.join(links, "v", "left").agg(F.count("*").alias("n"), F.sum((have == F.col("true")).cast("long")).alias("whole"), F.sum("true").alias("ends"), F.sum(have).alias("found")).first()
+    return min(r["whole"] / r["n"], r["found"] / r["ends"]) if r["n"] else 1.0
+
+
+def bridged(graph: DataFrame, label: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of components that links between saturated vectors may join.
+
+    A vector is saturated if all places of its list are links. Any other has all its links in its list, so a link that
+    neither list has lies between two saturated vectors. These are cut, component by component, into balls of bounded
+    size. Balls whose centres are further apart than their radii and the threshold allow hold no link; the members of
+    all others are compared exactly.
+    """
+    full = graph.groupBy("v").agg(F.count("*").alias("k"), F.min("sim").alias("floor")).where((F.col("k") >= NEIGHBOURS) & (F.col("floor") >= least - SLACK))
+    m = full.select(F.col("v").alias("id")).join(label.withColumnRenamed("node", "id"), "id").join(vectors.select("id", "dim", "v"), "id")
+    size = m.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = m.join(size, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = m.groupBy("component", "part", "dim").agg(F.collect_list("v").alias("rows"))
+
+    def enclose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            center, radius, members = [], [], []
+            for rows in batch.column("rows"):
+                x = _matrix(rows.values.to_pylist())
+                c = x.mean(0)
+                c = c / norm if (norm := np.linalg.norm(c)) > 0 else x[0]
+                center.append(c.tobytes())
+                radius.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+                members.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "part", "dim")), pa.array(center, pa.binary()), pa.array(radius, pa.float64()), pa.array(members, pa.binary())], ["component", "part", "dim", "center", "radius", "x"])
+
+    balls = cut(m.mapInArrow(enclose, "component long, part int, dim int, center binary, radius double, x binary"), "balls")
+    blocks = -(-balls.count() // BLOCK)
+    own = F.pmod(F.xxhash64("component", "part"), F.lit(max(blocks, 1))).cast("int").alias("own")
+    dealt = balls.select("component", "part", "dim", "center", "radius", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    cells = dealt.groupBy("dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("component", "part", "own", "center", "radius")).alias("rows")).select("i", "j", "rows")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, cell in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("rows"), strict=True):
+                rows = cell.values
+                component, part, own, radius = (rows.field(c).to_numpy() for c in ("component", "part", "own", "radius"))
+                x = _matrix(rows.field("center").to_pylist())
+                reach = np.arccos(np.clip(least - SLACK, -1, 1)) + radius[:, None] + radius[None, :]
+                ok = np.triu((np.arccos(np.clip(x @ x.T, -1, 1)) <= reach + 1e-6) & (component[:, None] != component[None, :]))
+                if i != j:  # pairs inside one block belong to its own cell
+                    ok &= own[:, None] != own[None, :]
+                p, q = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (component[p], part[p], component[q], part[q])], ["a", "pa", "b", "pb"])
+
+    pairs = cut(cells.mapInArrow(meet, "a long, pa int, b long, pb int"), "ball-pairs")
+    left = balls.select(F.col("component").alias("a"), F.col("part").alias("pa"), "dim", F.col("x").alias("xa"))
+    right = balls.select(F.col("component").alias("b"), F.col("part").alias("pb"), F.col("x").alias("xb"))
+    both = pairs.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("a", "b", "dim", "xa", "xb")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for dim, x, y in zip(batch.column("dim").to_pylist(), batch.column("xa"), batch.column("xb"), strict=True):
+                x, y = (np.frombuffer(z.as_py(), np.float64).reshape(-1, dim) for z in (x, y))
+                ok.append(bool((x @ y.T).max() >= least - SLACK))
+            keep = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([keep.column("a"), keep.column("b")], ["a", "b"])
 
-    true = vectors.mapInArrow(search, "v long, u long, sim float").select("v").distinct()
-    have = graph.where(F.col("sim") >= least - SLACK)
-    have = have.select("v").unionByName(have.select(F.col("u").alias("v"))).distinct().withColumn("found", F.lit(1))
-    r = true.join(have, "v", "left").agg(F.count("*").alias("n"), F.sum("found").alias("f")).first()
-    return (r["f"] or 0) / r["n"] if r["n"] else 1.0
+    return cut(both.mapInArrow(compare, "a long, b long").distinct(), "bridges")
 
 
 def linked_within(label: DataFrame, vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +281,8 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     Rows are linked if the cosine of their vectors in double precision is at least ``least``. Vectors that are null,
     empty, zero or hold null or non-finite components are linked with nothing, and so are vectors of different lengths.
     Ids should be unique; a row without an id is kept, without links. Links are searched until a brute-force audit of
-    1024 vectors finds ``target`` of the linked ones, for at most ``rounds`` rounds.
+    1024 vectors finds ``target`` of their link ends, and of the linked ones as many with none missing, for at most
+    ``rounds`` rounds.
     """
     rows = cut(unit_vectors(df, id_col, vector_col), "vectors")
     good = rows.where("v is not null and id is not null")
@@ -233,10 +295,15 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
         found = seeded(vectors, n, tables)
         graph = cut(nearest(found if graph is None else graph.unionByName(found), "v", NEIGHBOURS), "neighbours")
         graph = cut(descended(graph, vectors, n), "neighbours")
-        if audited(graph, vectors, least) >= target:
+        close = graph.where(F.col("sim") >= least - SLACK).select(F.col("v").alias("a"), F.col("u").alias("b"))
+        label = components(close)
+        bridges = bridged(graph, label, vectors, least)
+        if not bridges.isEmpty():
+            joined = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("__joined"))
+            label = label.join(joined, "component", "left").select("node", F.coalesce("__joined", "component").alias("component"))
+        links, forest = linked_within(label, vectors, least)
+        if audited(links, vectors, least) >= target:
             break
-    close = graph.where(F.col("sim") >= least - SLACK).select(F.col("v").alias("a"), F.col("u").alias("b"))
-    links, forest = linked_within(components(close), vectors, least)
     label = components(forest)
     of_class = vectors.select("id", "copies", "v", "dim").join(links.select(F.col("v").alias("id"), "links"), "id", "left").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
     of_class = of_class.select("dim", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -199,6 +199,26 @@ def test_vectors(spark):
     assert [got[i]["component_id"] for i in range(len(x))] == label
 
 
+def test_vectors_between_dense_groups(spark):
+    rng = np.random.default_rng(5)
+    centers = np.zeros((3, 64))
+    centers[:, 0], centers[1, 0], centers[1, 1], centers[2, :2], centers[2, 2] = 1, 0.93, (1 - 0.93**2) ** 0.5, 0, 1
+    x = np.repeat(centers, 40, 0)
+    noise = rng.standard_normal(x.shape)
+    x = x + 0.055 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.concatenate([x, x[:5]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near[:40, 40:80].all() and not near[:80, 80:120].any()
+    list_of_12 = np.argsort(-(u @ u.T - 2 * np.eye(len(u)))[:80], axis=1)[:, :12]
+    assert ((list_of_12 % 120 < 40) | (list_of_12 >= 120))[:40].all() and ((list_of_12 >= 40) & (list_of_12 < 80))[40:80].all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == [0] * 80 + [80] * 40 + [0] * 5
+
+
 def test_html():
     page = """<html><head><title>T</title><script>var a = "</p><p>x";</script></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies.</div>
       <article><header><h1>A &amp; B</h1></header><p>First   paragraph has words.<p>Second one&nbsp;ends <b>here.</b><br>More.</p><div class="ad">Buy now</div><form><input><button>Go</button></form>
