@@ -36,8 +36,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten or more of them share."""
-    return _with_text(line_dedup.dedup_lines(docs), docs.columns, "kept_text")
+    """All documents; of a line that ten or more of them share only the first occurrence stays, and so one copy of a text."""
+    return _with_text(line_dedup.dedup_lines(docs, keep_first=True), docs.columns, "kept_text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,3 +265,34 @@ def test_pipeline(spark, sf):
         assert out.columns == docs.columns, name
     packed = corpus_pipeline.run(spark, sf)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_pipeline_keeps_one_copy(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    copied = "\n".join(" ".join(words(rng, 20)) + "." for _ in range(3))
+    near = words(rng, 80)
+    texts = [" ".join(words(rng, 30)) + f".\nA line of all the copies\nEnd {i}" for i in range(15)] + [copied] * 12 + [" ".join(near)] + [" ".join([*near[:79], f"x{i}"]) for i in range(3)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    split = [(t or "").split("\n") for t in texts]
+    count = {k: sum(k in map(key, x) for x in split) for ls in split for k in map(key, ls)}
+    seen, want = set(), {}
+    for i, ls in enumerate(split):
+        kept = []
+        for line in ls:
+            k = key(line)
+            if not k or count[k] < 10 or k not in seen:
+                kept.append(line)
+            seen.add(k)
+        want[i] = "\n".join(kept)
+    lines = corpus_pipeline.drop_shared_lines(spark, docs, sf)
+    got = {r["doc_id"]: r for r in lines.collect()}
+    assert {i: r["text"] for i, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert [i for i, r in got.items() if r["text"] == copied] == [15]
+
+    sets = {i: shingles(t, 5) for i, t in want.items()}
+    gone = {b for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, lines, sf).collect()}
+    assert left == {i: t for i, t in want.items() if i not in gone} and gone == {28, 29, 30}
