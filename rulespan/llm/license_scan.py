@@ -1,12 +1,8 @@
-"""License texts in documents by MinHash bands over overlapping text windows, in DataFrame functions only.
+"""License texts in documents by an index of word shingles, in DataFrame functions only.
 
-Documents and templates are cut into the same kind of windows: each line is one window if short, else overlapping
-windows of fixed length. The smallest shingle hashes under several permutations are banded; a window that shares a
-band with a template's window retrieves that template. Retrieved templates are then verified exactly: the share of
-the template's shingles that the whole document holds.
-
-With two rows to a band and eight bands, a window at Jaccard 0.6 of a template's window is retrieved with a
-probability of 1 - (1 - 0.36)^8 = 0.97, one at 0.8 with 0.9997, and an equal one always.
+Documents and templates are taken as one run of words each, line feeds being blanks. The shingles that a document
+shares with any template are joined with the templates that have them and counted: the share of a template's shingles
+that the whole document holds is exact, for every template.
 """
 
 from __future__ import annotations
@@ -33,35 +29,25 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-WORDS, SIZE, STEP, BANDS, ROWS = 3, 24, 12, 8, 2
+WORDS = 3
 
 
-def _hashes(line: Column) -> Column:
-    """A hash of every word of a line, without regard to case and outer punctuation."""
-    words = F.transform(F.split(F.lower(line), SPACE_CLASS + "+"), lambda w: F.btrim(w, F.lit("\"'`.,;:()[]{}*#/-")))
+def _hashes(text: Column) -> Column:
+    """A hash of every word of a text, without regard to case and outer punctuation."""
+    words = F.transform(F.split(F.lower(text), SPACE_CLASS + "+"), lambda w: F.btrim(w, F.lit("\"'`.,;:()[]{}*#/-")))
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _shingles(hashes: Column) -> Column:
-    """Every run of three word hashes; a shorter line is one run."""
-    n = F.size(hashes)
-    many = F.transform(F.slice(hashes, 1, F.greatest(n - (WORDS - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, WORDS))))
-    return F.when(n >= WORDS, many).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
-
-
-def lines_of(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """(key, s): the shingles of each line with a word."""
-    lines = df.select(key.alias("key"), F.explode(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")).alias("line"))
-    return lines.where(F.col("line").rlike(r"\S")).select("key", let(_hashes(F.col("line")), _shingles).alias("s"))
+def _shingles(hashes: Column, n: int) -> Column:
+    """Every run of ``n`` word hashes; none if there are fewer."""
+    first = F.slice(hashes, 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+    return F.transform(first, lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, n))))
 
 
-def windows(lines: DataFrame) -> DataFrame:
-    """(key, band): the bands of all windows of all lines; a line of up to 24 shingles is one window."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("s") - (SIZE - STEP), F.lit(1)), F.lit(STEP))
-    cut = lines.select("key", F.explode(F.transform(starts, lambda i: F.slice("s", i, F.when(F.size("s") <= SIZE, F.size("s")).otherwise(SIZE)))).alias("v"))
-    low = lambda k: F.array_min(F.transform("v", lambda x: F.xxhash64(F.lit(k), x)))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(low(b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
-    return cut.where(F.size("v") > 0).select("key", F.explode(bands).alias("band")).distinct()
+def shingled(df: DataFrame, key: Column, text: Column, sizes: list[int]) -> DataFrame:
+    """(key, s): the shingles of each text, of all of ``sizes`` words."""
+    value = _hashes(F.coalesce(text.cast("string"), F.lit("")))
+    return df.select(key.alias("key"), let(value, lambda h: F.concat(*(_shingles(h, n) for n in sizes))).alias("s"))
 
 
 def templates(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -73,28 +59,27 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(``id_col``, license, n_shingles, n_found): the licenses of each document, each with the best of its templates.
 
     A license is reported if ``100 * n_found >= percent * n_shingles``, where n_shingles is the number of distinct
-    three-word shingles of a template and n_found those of them that some line of the document holds. Null, empty and
-    short texts have none; documents without a license give no row, repeated rows give the row once.
-    The templates are a parameter of bounded size; they and their bands are broadcast.
+    three-word shingles of a template and n_found those of them that the document holds. A template of fewer words is one
+    shingle. Null, empty and short texts have none; documents without a license give no row, repeated rows give the
+    row once.
+    The templates are a parameter of bounded size; they and their shingles are broadcast.
     """
     known = TEMPLATES if known is None else known
     if len(known) > 5_000:
         raise ValueError("more than 5000 templates: split the list")
     t = templates(docs.sparkSession, known)
-    t_lines = lines_of(t, F.col("key"), F.col("text"))
-    t_set = t_lines.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("t"))
+    t_hashes = t.select("key", _hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
+    sizes = sorted(r[0] for r in t_hashes.select(F.least(F.size("h"), F.lit(WORDS))).distinct().collect())
+    of_size = F.coalesce(*(F.when(F.least(F.size("h"), F.lit(WORDS)) == n, _shingles(F.col("h"), n)) for n in sizes or [WORDS]))
+    t_set = t_hashes.select("key", F.array_distinct(of_size).alias("t"))
     every = F.array_distinct(F.flatten(F.collect_list("t")))
     first = [r[0] for r in t_set.agg(every.alias("s")).collect()][0]
 
-    lines = lines_of(docs, F.col(id_col), F.col(text_col))
-    # A line without any shingle of any template can neither share a band with one nor add to what is found.
     known_shingles = F.array(*(F.lit(x) for x in first)) if first else F.array().cast("array<bigint>")
-    near = lines.where(F.arrays_overlap("s", known_shingles))
-    # Nor can a shingle of no template be part of one: without them a license inside a longer line fills its window.
-    near = near.select("key", F.filter("s", lambda x: F.array_contains(known_shingles, x)).alias("s"))
-    hit = windows(near).withColumnRenamed("key", "id").join(F.broadcast(windows(t_lines)), "band").select("id", F.col("key").alias("t_key")).distinct()
-    held = near.groupBy(F.col("key").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("s")))).alias("held"))
-    found = hit.join(held, hit["id"].eqNullSafe(held["id"])).select(hit["id"], "t_key", "held").join(F.broadcast(t_set.withColumnRenamed("key", "t_key")), "t_key").join(F.broadcast(t.select(F.col("key").alias("t_key"), "license")), "t_key")
-    found = found.select("id", "license", F.size("t").cast("long").alias("n"), F.size(F.array_intersect("held", "t")).cast("long").alias("f")).where(100 * F.col("f") >= percent * F.col("n"))
+    texts = shingled(docs, F.col(id_col), F.col(text_col), sizes or [WORDS])
+    # A shingle of no template adds nothing to what is found.
+    held = texts.select(F.col("key").alias("id"), F.explode(F.array_intersect("s", known_shingles)).alias("x")).distinct()
+    t_index = t_set.join(t.select("key", "license"), "key").select(F.col("key").alias("t_key"), "license", F.size("t").cast("long").alias("n"), F.explode("t").alias("x"))
+    found = held.join(F.broadcast(t_index), "x").groupBy("id", "t_key", "license", "n").agg(F.count("*").alias("f")).where(100 * F.col("f") >= percent * F.col("n"))
     best = found.groupBy("id", "license").agg(F.max(F.struct((F.col("f") / F.col("n")).alias("share"), "n", "f")).alias("m"))
     return best.select(F.col("id").alias(id_col), "license", F.col("m.n").alias("n_shingles"), F.col("m.f").alias("n_found"))

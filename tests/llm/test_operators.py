@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers as P
@@ -116,6 +117,26 @@ def test_licenses(spark):
     assert got == {(0, "MIT"), (1, "MIT"), (5, "Apache-2.0"), (7, "MIT")}
 
 
+def test_wrapped_licenses(spark):
+    def wrapped(text, width):
+        return "\n".join(textwrap.wrap("here is the " + text, width))
+
+    known = license_scan.TEMPLATES
+    texts = [wrapped(t, width) for _, t in known for width in (30, 50, 60)] + [" ".join(t for _, t in known), "\n# ".join(known[1][1].split())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def runs(text):
+        w = [x for x in (x.strip("\"'`.,;:()[]{}*#/-") for x in text.lower().split()) if x]
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+    want = {(i, name) for i, text in enumerate(texts) for name, t in known if 100 * len(runs(t) & runs(text)) >= 80 * len(runs(t))}
+    assert {(i, known[i // 3][0]) for i in range(3 * len(known))} <= want
+    assert {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(df).collect()} == want
+    short = [("A", "mit"), ("B", "apache two"), ("C", "")]
+    got = license_scan.scan_licenses(spark.createDataFrame([(1, "under MIT."), (2, "apache\ntwo"), (2, None)], "doc_id long, text string"), known=short).collect()
+    assert {tuple(r) for r in got} == {(1, "A", 1, 1), (2, "B", 1, 1)}
+
+
 def test_pretokens():
     rng = random.Random(1)
     signs = "ab'sdtrevml 1 2\n\t\r  éß.,!?-'’中文字١²Ⅷ😀\x00\x1c\x85"
