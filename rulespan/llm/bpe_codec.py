@@ -5,40 +5,40 @@
 2. Every distinct word of the whole table is encoded exactly once. Hot words are a single row per chunk before the
    shuffle and one row after a partial aggregation, whatever their frequency.
 3. The ids go back to the chunks and every chunk is reassembled by position.
-4. Decoding joins the ids with the table of token bytes. Its size is that of the vocabulary, which is checked, so that
-   the join is a lookup in each task.
+4. Decoding explodes the ids with their positions and joins them with the table of token bytes; that table is broadcast,
+   its size is that of the vocabulary, which is checked. A broadcast join keeps the rows of a document together and in
+   order, so that they are glued by position without a shuffle; the positions are checked.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import encoder, gather, groups, tokenised
+from .pretokens import gather, groups, rank_words, tokenised
+from .shared import cut
 
-#: Largest vocabulary whose table of bytes each task may hold.
+#: Largest vocabulary whose table of bytes is broadcast.
 MOST_TOKENS = 2_000_000
-#: A chunk ends when it has so many pre-tokens.
-CHUNK = 2_000_000
+#: A chunk ends when it has so many pre-tokens; words that a task remembers; most buckets of words.
+CHUNK, KNOWN, BUCKETS = 2_000_000, 1_000_000, 4_096
 
 
-@lru_cache(2)
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(all tokens' bytes one after another, where each begins)."""
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """(token, bytes) of every rank of the file at ``path``."""
     with open(path, "rb") as f:
-        ranks = {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in f if line.strip())}
+        ranks = sorted((int(rank), base64.b64decode(token)) for token, rank in (line.split() for line in f if line.strip()))
     if len(ranks) > MOST_TOKENS:
         raise ValueError(f"a vocabulary of {len(ranks)} tokens is more than {MOST_TOKENS}")
-    each = [ranks.get(i, b"") for i in range(max(ranks, default=-1) + 1)]
-    return np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+    return spark.createDataFrame(pa.table({"token": pa.array([r for r, _ in ranks], pa.int32()), "bytes": pa.array([b for _, b in ranks], pa.binary())}))
 
 
 def _shut(values: np.ndarray) -> bytes:
@@ -122,38 +122,48 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, buckets: int, words_on
     return own.mapInArrow(explode, "chunk long, bucket int, words binary, place binary" if words_only else f"chunk long, bucket int, ids array<{kind}>, lengths binary, codes binary")
 
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_words(words: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
     """(chunk, bucket, place, sizes, flat): the ids of every word. All chunks' words of a bucket are in one task, which
-    encodes each distinct word once."""
+    encodes each distinct word once, as long as it remembers it: past KNOWN words it starts anew, to bound memory."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+        encode = rank_words(path, pattern)
         known: dict[str, list[int]] = {}
         for batch in batches:
             sizes, flat = [], []
             for packed in batch.column("words"):
                 size, ids = [], []
+                if len(known) > KNOWN:
+                    known = {}
                 for w in _unpacked(packed.as_py()):
                     x = known.get(w)
                     if x is None:
-                        x = known[w] = e.encode_ordinary(w)
+                        x = known[w] = encode(w)
                     size.append(len(x))
                     ids += x
                 sizes.append(_shut(np.array(size, np.uint32)))
                 flat.append(_shut(np.array(ids, np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), batch.column("place"), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())], ["chunk", "bucket", "place", "sizes", "flat"])
 
-    return words.repartition("bucket").mapInArrow(look_up, "chunk long, bucket int, place binary, sizes binary, flat binary")
+    few = buckets <= int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (words.repartition("bucket") if few else words.repartition(buckets, "bucket")).mapInArrow(look_up, "chunk long, bucket int, place binary, sizes binary, flat binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, n_tokens, ids) of every document by the ranks at ``path``; ids are little-endian unsigned 32-bit.
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False) -> DataFrame:
+    """(``id_col``, n_tokens, ids) of every document by the ranks at ``path``.
 
-    Each match of the pattern is encoded by itself and special tokens are ordinary text, as in the library. A null or
-    empty text has no ids. Ids of documents may be null or repeated; each row gives one row.
+    Each match of the pattern is encoded by itself and special tokens are ordinary text, as in the library; another
+    pattern than that of the vocabularies is an error. A null or empty text has no ids, a text of any length is one row,
+    and an empty table gives an empty result. Ids of documents may be null or repeated; each row gives one row. Other
+    columns are not looked at. The rows are read twice and must come in the same order both times: they are written as a
+    table first, unless ``from_files`` says that ``docs`` is nothing but a scan of files with narrow steps.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = encode_words(exploded(docs, id_col, text_col, buckets, True), path, pattern)
+    rank_words(path, pattern)
+    docs = docs.select(id_col, text_col)
+    if not from_files:
+        docs = cut(docs, "codec-input")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, docs.rdd.getNumPartitions()))
+    encoded = encode_words(exploded(docs, id_col, text_col, buckets, True), path, pattern, buckets)
     texts = exploded(docs, id_col, text_col, buckets, False).withColumn("bucket", F.lit(1 << 30))
     both = encoded.unionByName(texts, allowMissingColumns=True)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -181,51 +191,92 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     hi = min(len(lengths), lo + 256)
                     out, each = gather(every, begin, slot[which[to[lo] : to[hi]]], lengths[lo:hi])
                     ends = np.concatenate([[0], np.cumsum(each)])
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(each, pa.int64()), pa.array([out[p:q].tobytes() for p, q in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "n_tokens", "ids"])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.view(np.int32)))
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(each, pa.int64()), lists], ["id", "n_tokens", "ids"])
 
     together = both.repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return together.select("bucket", "place", "sizes", "flat", "ids", "lengths", "codes").mapInArrow(reassemble, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return together.select("bucket", "place", "sizes", "flat", "ids", "lengths", "codes").mapInArrow(reassemble, f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def _glued(encoded: DataFrame, path: str, own: list[str], ids_col: str, start: Callable[[], object], add: Callable, finish: Callable, made: list[tuple[str, str]]) -> DataFrame:
+    """``own`` columns and ``made`` ones of each row: its ids are exploded, joined with their bytes and glued.
+
+    ``start()`` makes the state of a row, ``add(state, first, ids, bytes, ends)`` takes a run of its ids and their bytes,
+    ``finish(state)`` gives the values of ``made``; the state of a row without ids is null.
+    """
+    table = F.broadcast(token_table(encoded.sparkSession, path))
+    rows = encoded.select(*own, F.posexplode_outer(ids_col).alias("__pos", "__id"), F.col(ids_col).isNull().alias("__none"))
+    first: Column = F.coalesce("__pos", F.lit(0)) == 0
+    rows = rows.select(F.when(first, F.struct(*own, "__none")).alias("__own"), F.coalesce("__pos", F.lit(-1)).alias("__pos"), F.coalesce("__id", F.lit(-1)).alias("__id"))
+    joined = rows.join(table, rows["__id"] == table["token"], "left").select("__own", "__pos", "__id", "bytes")
+
+    def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, head, last = None, None, -1
+
+        def done(heads: list, values: list) -> pa.RecordBatch:
+            flat = pa.concat_arrays(heads)
+            columns = [pa.array([v[i] for v in values], pa.binary() if kind == "binary" else pa.string()) for i, (_, kind) in enumerate(made)]
+            return pa.RecordBatch.from_arrays([*(flat.field(c) for c in own), *columns], [*own, *(n for n, _ in made)])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos, ids, data = batch.column("__pos").to_numpy(), batch.column("__id").to_numpy(), batch.column("bytes")
+            if ((pos >= 0) & np.asarray(data.is_null())).any():
+                raise ValueError("an id is not in the vocabulary")
+            if (np.diff(pos, prepend=last)[pos > 0] != 1).any():
+                raise RuntimeError("the rows of a document were not kept in order")
+            last = int(pos[-1])
+            offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset)
+            body = memoryview(data.buffers()[2] or b"")
+            cuts = np.union1d(np.flatnonzero(pos <= 0), [0, len(pos)]).tolist()
+            heads, values = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if pos[lo] <= 0:  # a document begins
+                    if head is not None:
+                        heads.append(head)
+                        values.append(finish(state))
+                    head = batch.column("__own").slice(lo, 1)
+                    state = None if head.field("__none")[0].as_py() else start()
+                if pos[lo] >= 0:
+                    add(state, pos[lo] == 0, ids[lo:hi], body[offsets[lo] : offsets[hi]])
+            if heads:
+                yield done(heads, values)
+        if head is not None:
+            yield done([head], [finish(state)])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*own).schema]
+    return joined.mapInArrow(glue, ", ".join([*fields, *(f"`{n}` {k}" for n, k in made)]))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with data: the bytes that the ids in ``ids_col`` stand for. A null gives a null, no ids no bytes; an
-    id outside the vocabulary is an error."""
-    names = encoded.columns
+    id outside the vocabulary is an error. A column of that name is replaced; repeated rows are kept."""
+    own = [c for c in encoded.columns if c != "data"]
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, begin = token_bytes(path)
-        for batch in batches:
-            data = []
-            for x in batch.column(ids_col):
-                ids = None if not x.is_valid else np.frombuffer(x.as_py(), "<u4").astype(np.int64)
-                data.append(None if ids is None else gather(flat, begin, ids, np.array([len(ids)]))[0].tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(data, pa.binary())], [*names, "data"])
+    def add(state: list[bytes], first: bool, ids: np.ndarray, data: memoryview) -> None:
+        state.append(bytes(data))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(look_up, f"{fields}, data binary")
+    return _glued(encoded, path, own, ids_col, list, add, lambda s: (None if s is None else b"".join(s),), [("data", "binary")])
 
 
 @lru_cache(2)
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
-    each = [b"%d," % i for i in range(n)]
+    each = [b",%d" % i for i in range(n)]
     return np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
 def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by commas, and of the bytes
-    that decoding the ids gives. One pass, so that decoded bytes never leave the task."""
+    that decoding the ids gives. Digests grow as rows pass, so that decoded bytes never leave the task."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, start = token_bytes(path)
-        for batch in batches:
-            shown, data = [], []
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_py(), "<u4").astype(np.int64)
-                n = np.array([len(ids)])
-                flat, begin = _decimals(max(1 << 16, 1 << int(ids.max() + 1).bit_length()) if len(ids) else 1 << 16)
-                shown.append(hashlib.sha256(gather(flat, begin, ids, n)[0].tobytes()[:-1]).hexdigest())
-                data.append(hashlib.sha256(gather(table, start, ids, n)[0].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n_tokens"), pa.array(shown, pa.string()), pa.array(data, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "n_tokens", "ids").mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def add(state: tuple, first: bool, ids: np.ndarray, data: memoryview) -> None:
+        flat, begin = _decimals(max(1 << 16, 1 << int(ids.max() + 1).bit_length()))
+        shown = gather(flat, begin, ids, np.array([len(ids)]))[0].tobytes()
+        state[0].update(shown[1:] if first else shown)
+        state[1].update(data)
+
+    def finish(state: tuple | None) -> tuple[str | None, str | None]:
+        return (None, None) if state is None else (state[0].hexdigest(), state[1].hexdigest())
+
+    return _glued(encoded, path, [id_col, "n_tokens"], "ids", lambda: (hashlib.sha256(), hashlib.sha256()), add, finish, [("ids_sha256", "string"), ("decoded_sha256", "string")])

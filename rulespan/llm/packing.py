@@ -1,10 +1,12 @@
 """Packing of documents into token sequences by a grouping genetic algorithm on islands.
 
 Documents become pieces of at most the sequence length. Pieces are dealt by hash into shards of bounded size; a shard is
-packed by several islands. An individual is a grouping of the shard's pieces into bins; crossover injects whole
-well-filled bins of one parent into another, removes the bins that then hold a piece twice and puts the displaced
-pieces back by best fit. After each epoch the best individual of an island migrates to the next island. Only lengths and
-groupings travel between islands; shards grow in number, not in size, with the input.
+packed by several islands. An individual is a grouping of the shard's pieces into bins; an island starts from individuals
+packed in random and in blurred orders. Crossover injects whole well-filled bins of one parent into another, removes the
+bins that then hold a piece twice and puts the displaced pieces back by best fit; a child that is better than the worst
+individual takes its place. After each epoch the best individual of an island migrates to the next island. An island
+stops early only where its best individual has as few bins as the sum of lengths allows, which is proof of an optimum.
+Only lengths and groupings travel between islands; shards grow in number, not in size, with the input.
 """
 
 from __future__ import annotations
@@ -17,20 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import Encoder, groups
+from .pretokens import Tokens, groups
 from .shared import cut
 
-#: Pieces of a shard, islands of a shard, individuals of an island, epochs, and generations of an epoch.
-SHARD, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 50_000, 2, 3, 2, 2
+#: Pieces of a shard, islands of a shard, epochs, and generations of an epoch.
+SHARD, ISLANDS, EPOCHS, GENERATIONS = 50_000, 2, 3, 24
+#: How far the order of each first individual departs from falling length; None is a random order.
+BLUR = (0.5, 1.0, None, None)
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, size: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """(``id_col``, piece, start, length, ids_crc32) of the ids of every document, ``end_id`` after them. A document of
     more than ``size`` ids is cut so that only its first piece may be shorter."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(path, pattern)
+        e = Tokens(path)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             texts = batch.column(1)
@@ -98,13 +102,15 @@ def fitness(lengths: np.ndarray, own: np.ndarray, size: int) -> tuple[int, float
 
 
 def crossover(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """``a`` with half of the well-filled bins of ``b``; displaced pieces go back by best fit, largest first."""
+    """``a`` with half of the well-filled bins of ``b``, those filled no less than the median; displaced pieces go back by
+    best fit, largest first. Mutation dissolves some bins of ``a`` as well, above all loose ones and the two emptiest."""
     fill_a, fill_b = np.bincount(a, weights=lengths), np.bincount(b, weights=lengths)
-    chosen = (fill_b >= 0.998 * size) & (rng.random(len(fill_b)) < 0.5)
+    chosen = (fill_b >= np.median(fill_b)) & (rng.random(len(fill_b)) < 0.5)
     injected = chosen[b]
     hit = np.zeros(len(fill_a), bool)
     hit[a[injected]] = True
-    hit |= (fill_a < np.quantile(fill_a, 0.02)) | (rng.random(len(fill_a)) < 0.01)  # mutation: dissolve some bins
+    hit |= rng.random(len(fill_a)) < np.where(fill_a < size, 0.3, 0.02)
+    hit[np.argsort(fill_a)[:2]] = True
     stay = ~injected & ~hit[a]
     out = np.empty(len(a), np.int64)
     out[injected] = b[injected]
@@ -123,42 +129,48 @@ def crossover(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, size: int, rng:
     return out.astype(np.int32)
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], size: int, seed: int) -> list[np.ndarray]:
-    """The best POPULATION individuals after GENERATIONS of crossover."""
+def evolve(lengths: np.ndarray, population: list[np.ndarray], size: int, seed: int, generations: int = GENERATIONS) -> tuple[list[np.ndarray], int]:
+    """(the individuals after ``generations`` of crossover, best first; how many children took a place)."""
     rng = np.random.default_rng(seed)
-    rank = lambda p: sorted(p, key=lambda x: fitness(lengths, x, size), reverse=True)[:POPULATION]
-    population = rank(population)
-    least = -(-int(lengths.sum()) // size)
-    for _ in range(GENERATIONS):
-        if -fitness(lengths, population[0], size)[0] <= least:
+    ranked = sorted(((fitness(lengths, x, size), i, x) for i, x in enumerate(population)), reverse=True)
+    least, taken = -(-int(lengths.sum()) // size), 0
+    for g in range(generations):
+        if -ranked[0][0][0] <= least or len(ranked) < 2:
             break
-        pairs = [(0, 1), (1, 0)] if len(population) > 1 else [(0, 0)]
-        population = rank(population + [crossover(lengths, population[i], population[j], size, rng) for i, j in pairs])
-    return population
+        pair = [0, 1 + int(rng.integers(len(ranked) - 1))]
+        i, j = pair if rng.random() < 0.5 else pair[::-1]
+        child = crossover(lengths, ranked[i][2], ranked[j][2], size, rng)
+        entry = (fitness(lengths, child, size), -1 - g, child)
+        if entry[0] > ranked[-1][0]:
+            ranked, taken = sorted([*ranked[:-1], entry], key=lambda x: x[:2], reverse=True), taken + 1
+    return [x for *_, x in ranked], taken
 
 
 def first_population(lengths: np.ndarray, size: int, seed: int) -> list[np.ndarray]:
-    """Best fit in falling order of length, exact and blurred."""
+    """Individuals by best fit in random orders and in blurred orders of falling length."""
     rng = np.random.default_rng(seed)
-    blur = [0.0, 0.02, 0.1]
-    return [best_fit(lengths, np.argsort(-lengths * (1 + s * rng.random(len(lengths))), kind="stable"), size) for s in blur[:POPULATION]]
+    orders = (rng.random(len(lengths)) if s is None else -lengths * (1 + s * rng.random(len(lengths))) for s in BLUR)
+    return [best_fit(lengths, np.argsort(o, kind="stable"), size) for o in orders]
 
 
 def grouped(shards: DataFrame, size: int) -> DataFrame:
-    """(shard, own): the bins of each shard's pieces after all epochs, for ``shards`` of (shard, lengths as bytes)."""
-    shape = "shard long, island int, lengths binary, population array<binary>"
+    """(shard, own, taken): the bins of each shard's pieces after all epochs, for ``shards`` of (shard, lengths as bytes),
+    and how many children took a place in its islands."""
+    shape = "shard long, island int, taken long, lengths binary, population array<binary>"
+    fields = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("taken", pa.int64()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary()))])
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, list[np.ndarray]]]:
         for r in batch.to_pylist():
-            yield r["shard"], r["island"], np.frombuffer(r["lengths"], "<i4").astype(np.int64), [np.frombuffer(x, "<i4") for x in r.get("population") or []]
+            yield r, np.frombuffer(r["lengths"], "<i4").astype(np.int64), [np.frombuffer(x, "<i4") for x in r.get("population") or []]
 
     def epoch(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard, island, lengths, population in rows(batch):
-                    seed = (shard * 64 + island) * 64 + number
-                    done = evolve(lengths, population or first_population(lengths, size, seed), size, seed)
-                    yield pa.RecordBatch.from_pylist([{"shard": shard, "island": island, "lengths": lengths.astype("<i4").tobytes(), "population": [x.astype("<i4").tobytes() for x in done]}], pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary()))]))
+                for r, lengths, population in rows(batch):
+                    seed = (r["shard"] * 64 + r["island"]) * 64 + number
+                    done, taken = evolve(lengths, population or first_population(lengths, size, seed), size, seed)
+                    row = {"shard": r["shard"], "island": r["island"], "taken": taken + r.get("taken", 0), "lengths": r["lengths"], "population": [x.astype("<i4").tobytes() for x in done[: len(BLUR)]]}
+                    yield pa.RecordBatch.from_pylist([row], fields)
 
         return run
 
@@ -166,26 +178,28 @@ def grouped(shards: DataFrame, size: int) -> DataFrame:
     state = cut(state.mapInArrow(epoch(0), shape), "islands")
     for number in range(1, EPOCHS):
         elite = state.select("shard", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.get("population", F.lit(0)).alias("elite"))
-        state = state.join(elite, ["shard", "island"]).select("shard", "island", "lengths", F.array_append("population", F.col("elite")).alias("population"))
+        state = state.join(elite, ["shard", "island"]).select("shard", "island", "taken", "lengths", F.array_append("population", F.col("elite")).alias("population"))
         state = cut(state.repartition("shard", "island").mapInArrow(epoch(number), shape), "islands")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, island, lengths, population in rows(batch):
+            for r, lengths, population in rows(batch):
                 bins, fill = fitness(lengths, population[0], size)
-                yield pa.RecordBatch.from_pylist([{"shard": shard, "bins": bins, "fill": fill, "own": population[0].tobytes()}], pa.schema([("shard", pa.int64()), ("bins", pa.int64()), ("fill", pa.float64()), ("own", pa.binary())]))
+                yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "taken": r["taken"], "bins": bins, "fill": fill, "own": population[0].tobytes()}], pa.schema([("shard", pa.int64()), ("taken", pa.int64()), ("bins", pa.int64()), ("fill", pa.float64()), ("own", pa.binary())]))
 
-    ranked = state.mapInArrow(best, "shard long, bins long, fill double, own binary")
-    return ranked.groupBy("shard").agg(F.max_by("own", F.struct("bins", "fill")).alias("own"))
+    ranked = state.mapInArrow(best, "shard long, taken long, bins long, fill double, own binary")
+    return ranked.groupBy("shard").agg(F.max_by("own", F.struct("bins", "fill")).alias("own"), F.sum("taken").alias("taken"))
 
 
-def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece of each document.
 
+    Ids are those of the byte-level ``tokenizers`` file at ``path`` without special tokens around a text; added tokens
+    that a text holds are one id each, as the library has it.
     A null or empty text is the one id ``end_id``. Ids of documents may be null or repeated; each row is packed. An
     empty table gives an empty result. sequence_id is any number, offset the piece's place in its sequence.
     """
-    all_pieces = cut(pieces(docs, path, pattern, end_id, size, id_col, text_col), "pieces")
+    all_pieces = cut(pieces(docs, path, end_id, size, id_col, text_col), "pieces")
     short = all_pieces.where(F.col("length") < size)
     n = short.count()
     shards = max(1, round(n / SHARD))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -104,6 +105,16 @@ def tokenised(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.n
     return words, h, which.astype(np.int32), np.diff(np.searchsorted(start, starts))
 
 
+#: The only pattern that :func:`split` knows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def check_pattern(pattern: str) -> None:
+    """Raise for any pattern but the one that the vectorised splitting follows."""
+    if pattern != PATTERN:
+        raise ValueError(f"texts are split by {PATTERN!r} only, not by {pattern!r}")
+
+
 @lru_cache(2)
 def encoder(path: str, pattern: str):
     """The tiktoken encoding of a file of ranks."""
@@ -114,11 +125,74 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-class Encoder:
-    """Ids of pre-tokens, each encoded once as long as it is remembered; at most ``most`` are, to bound memory."""
+def rank_words(path: str, pattern: str) -> Callable[[str], list[int]]:
+    """Ids of one pre-token by a file of ranks."""
+    check_pattern(pattern)
+    return encoder(path, pattern).encode_ordinary
+
+
+@lru_cache(2)
+def _tokenizer(path: str):
+    """(the tokenizer of a file, a pattern of its added tokens or None, their ids by content)."""
+    import json
+    import re
+
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["model"]["type"] != "BPE":
+        raise ValueError("only byte-level tokenizers without a normaliser or a prefix blank are split by words")
+    added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
+    if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in spec.get("added_tokens", [])):
+        raise ValueError("added tokens that look at their surroundings are not supported")
+    parts = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
+    return Tokenizer.from_file(path), parts, added
+
+
+def _shown_bytes() -> str:
+    """The sign by which byte-level vocabularies show each byte: printable ones as they are, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(other)) for b in range(256))
+
 
-    def __init__(self, path: str, pattern: str, most: int = 300_000):
-        self.encoding, self.most = encoder(path, pattern), most
+class Tokens:
+    """Ids of texts as a ``tokenizers`` file gives them, without special tokens around a text; added tokens that stand in
+    a text are one id each. Words go through the model of the library, each once as long as it is remembered."""
+
+    def __init__(self, path: str, most: int = 300_000):
+        tokenizer, self.parts, self.added = _tokenizer(path)
+        model, shown = tokenizer.model, _shown_bytes()
+        self.words = Words(lambda w: [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(shown))], most)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, how many each text has)."""
+        if self.parts is None or not any(c in t for c in self.added for t in texts):
+            return self.words.ids(texts)
+        pieces = [self.parts.split(t) for t in texts]  # plain texts at even places, added tokens between them
+        flat, counts = self.words.ids([p for own in pieces for p in own[::2]])
+        out, n, at, k = [], [], 0, 0
+        for own in pieces:
+            size = 0
+            for j, p in enumerate(own):
+                if j % 2:
+                    out.append(np.array([self.added[p]], np.uint32))
+                else:
+                    out.append(flat[at : at + counts[k]])
+                    at, k = at + int(counts[k]), k + 1
+                size += len(out[-1])
+            n.append(size)
+        return np.concatenate(out), np.array(n, np.int64)
+
+
+class Words:
+    """Ids of texts by a function of one pre-token, each asked once as long as it is remembered; at most ``most`` are,
+    to bound memory."""
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000):
+        self.encode, self.most = encode, most
         self.known: dict[int, int] = {}
         self.start, self.flat = array("q", [0]), array("I")
 
@@ -132,7 +206,7 @@ class Encoder:
             k = self.known.get(key)
             if k is None:
                 k = self.known[key] = len(self.known)
-                self.flat.extend(self.encoding.encode_ordinary(word))
+                self.flat.extend(self.encode(word))
                 self.start.append(len(self.flat))
             slot[i] = k
         begin, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.uint32)

@@ -41,13 +41,12 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the ranks of the tokenizer byte_bpe_50k.json
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), path, pattern)
+    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), path, pattern, from_files=True)
     return bpe_codec.digests(encoded, path)
 
 
