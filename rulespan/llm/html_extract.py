@@ -9,7 +9,7 @@ job is one pass without a shuffle.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 #: Elements without text of their own, elements that end a block, and elements and names of boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video map".split())
+DROPPED = frozenset("script style noscript template svg math title iframe object canvas audio video map".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 BAD_TAGS = frozenset("nav footer aside form button select textarea menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer masthead header topbar toolbar cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments reply replies respond disqus discussion pagination pager widget tags copyright".split())
 GOOD_NAMES = frozenset("article content main post story entry body text articlebody maincontent".split())
+#: Parts of names of boilerplate, wherever they stand in a name; "commentary" is none.
+BAD_STEMS = re.compile("comment(?!ar)|footer|sidebar|newsletter|cookie|advert|sponsor|breadcrumb|disqus|navbar|masthead|pagination|toolbar|subscri")
+HEAD_TAGS = frozenset("base basefont bgsound link meta title script style noscript template".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -32,95 +35,114 @@ _ENDS = re.compile(r"[.!?…。！？][\"'”’)\]]*$")
 
 
 class Block:
-    """A run of text between block boundaries: its words, its place in the tree and what the classifier looks at."""
+    """A run of text between block boundaries: its words, its place in the tree and what the classifier looks at.
 
-    __slots__ = ("text", "path", "linked", "bad", "good", "tag")
+    ``depth`` is the number of open elements, ``shared`` how many of them the block before has too, ``parent`` the
+    element around the one that holds the text.
+    """
+
+    __slots__ = ("text", "depth", "shared", "parent", "linked", "bad", "good", "tag")
+
+    def __init__(self, text: str, depth: int, shared: int, parent: int, linked: int, bad: int, good: int, tag: str):
+        self.text, self.depth, self.shared, self.parent, self.linked, self.bad, self.good, self.tag = text, depth, shared, parent, linked, bad, good, tag
 
-    def __init__(self, text: str, path: tuple[int, ...], linked: int, bad: int, good: int, tag: str):
-        self.text, self.path, self.linked, self.bad, self.good, self.tag = text, path, linked, bad, good, tag
+
+def _bad_name(names: set[str]) -> bool:
+    return bool(names & BAD_NAMES) or any(BAD_STEMS.search(n) for n in names)
 
 
 class _Page(HTMLParser):
-    def __init__(self) -> None:
+    """Blocks of a page in one pass. Open elements are a stack, and each knows the nearest block element around it, so
+    that the work grows with the page, however deeply and badly it is nested."""
+
+    def __init__(self, dropped: frozenset[str] = DROPPED) -> None:
         super().__init__(convert_charrefs=True)
+        self.without = dropped
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, number, bad, good
+        self.open: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]  # tag, number, bad, good, place of the nearest block element
+        self.names: Counter[str] = Counter()
+        self.inner: Counter[str] = Counter()  # elements that are open inside a dropped one
         self.parts: list[str] = []
-        self.linked = self.in_link = self.dropped = self.count = 0
+        self.linked = self.in_link = self.count = 0
+        self.dropped = False
+        self.unclosed: set[str] = set()  # dropped elements that ended with one around them, or not at all
+        self.low = 1  # the smallest height of the stack since the last block
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tag, _, bad, good = self.open[-1]
-            block = next((t for t, *_ in reversed(self.open) if t in BLOCKS), "")
-            self.blocks.append(Block(text, tuple(x[1] for x in self.open), min(self.linked, len(text)), bad, good, block))
+            _, _, bad, good, block = self.open[-1]
+            parent = self.open[-2][1] if len(self.open) > 1 else -1
+            self.blocks.append(Block(text, len(self.open), self.low, parent, min(self.linked, len(text)), bad, good, self.open[block][0]))
+            self.low = len(self.open)
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.dropped:
-            if tag == self.open[-1][0]:
-                self.dropped += tag not in VOID
+            self.inner[tag] += tag not in VOID
             return
         if tag == "br":
             self.parts.append(" ")
+        if self.names["head"] and tag not in HEAD_TAGS:
+            self.close_tag("head")  # its end tag may be left out
         if tag in VOID:
             if tag == "hr":
                 self.flush()
             return
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "head":
             self.flush()
-            if tag not in ("html", "body"):
-                self.close_implied(tag)
-        _, _, bad, good = self.open[-1]
+            if tag not in ("html", "body", "head"):
+                nearest = self.open[-1][4]
+                if self.open[nearest][0] in (*CLOSED_BY.get(tag, ()), "p"):
+                    self.cut(nearest)
+        _, _, bad, good, block = self.open[-1]
         names = {n.lower() for k, v in attrs if k in ("class", "id") and v for n in _NAME.findall(v)}
         role = next((v for k, v in attrs if k == "role" and v), "").lower()
         inside = good > 0
-        bad += (tag in BAD_TAGS) + (tag == "header" and not inside) + bool(names & BAD_NAMES and not (tag in GOOD_TAGS or tag in ("html", "body") or (tag in ("header", "h1") and inside))) + (role in BAD_ROLES)
+        bad += (tag in BAD_TAGS) + (tag == "header" and not inside) + 2 * (tag == "head") + (role in BAD_ROLES)
+        bad += _bad_name(names) and not (tag in GOOD_TAGS or tag in ("html", "body") or (tag in ("header", "h1") and inside))
         bad += any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
         good += (tag in GOOD_TAGS) + bool(names & GOOD_NAMES) + (role in ("main", "article"))
         self.count += 1
-        self.open.append((tag, self.count, bad, good))
-        if tag in DROPPED:
-            self.dropped = 1
+        self.open.append((tag, self.count, bad, good, len(self.open) if tag in BLOCKS else block))
+        self.names[tag] += 1
+        if tag in self.without:
+            self.dropped = True
+            self.inner.clear()
         elif tag == "a":
             self.in_link += 1
 
-    def close_implied(self, tag: str) -> None:
-        ends = CLOSED_BY.get(tag, ()) + ("p",)
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
-            if name in ends:
-                self.cut(i)
-                return
-            if name in BLOCKS:
-                return
-
     def cut(self, i: int) -> None:
-        self.in_link -= sum(t == "a" for t, *_ in self.open[i:])
+        for tag, *_ in self.open[i:]:
+            self.in_link -= tag == "a"
+            self.names[tag] -= 1
         del self.open[i:]
+        self.low = min(self.low, len(self.open))
+
+    def close_tag(self, tag: str) -> None:
+        if self.names[tag]:
+            self.cut(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID or self.dropped:
-            if not self.dropped:
-                self.handle_starttag(tag, attrs)
+        if self.dropped:
             return
         self.handle_starttag(tag, attrs)
-        if tag not in DROPPED or tag in ("svg", "math"):
+        if tag not in VOID and (tag not in self.without or tag in ("svg", "math")):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self.dropped:
-            if tag == self.open[-1][0]:
-                self.dropped -= 1
-                if not self.dropped:
-                    self.open.pop()
-            return
+            if self.inner[tag]:
+                self.inner[tag] -= 1
+                return
+            if not self.names[tag]:
+                return
+            self.dropped = False
+            if tag != self.open[-1][0]:
+                self.unclosed.add(self.open[-1][0])
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self.cut(i)
-                return
+        self.close_tag(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
@@ -130,12 +152,18 @@ class _Page(HTMLParser):
 
 
 def blocks(html: str) -> list[Block]:
-    """The blocks of text of a page in order."""
-    page = _Page()
-    page.feed(html)
-    page.close()
-    page.flush()
-    return page.blocks
+    """The blocks of text of a page in order. An element without text of its own that never closes, other than a script,
+    a style or a title, is read as if it had text: it must not swallow the page."""
+    dropped = DROPPED
+    while True:
+        page = _Page(dropped)
+        page.feed(html)
+        page.close()
+        page.flush()
+        again = (page.unclosed | ({page.open[-1][0]} if page.dropped else set())) - {"script", "style", "title"}
+        if not again:
+            return page.blocks
+        dropped -= again
 
 
 def cost(b: Block, article: bool) -> float:
@@ -155,18 +183,11 @@ def ties(page: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for j, b in enumerate(page):
         if j:
-            a = page[j - 1]
-            same = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                same += 1
-            out.append((j - 1, j, 0.8 / (1 + len(a.path) + len(b.path) - 2 * same)))
-        parent = b.path[:-1]
-        i = last.get(parent)
+            out.append((j - 1, j, 0.8 / (1 + page[j - 1].depth + b.depth - 2 * b.shared)))
+        i = last.get(b.parent)
         if i is not None and i < j - 1:
             out.append((i, j, 0.3))
-        last[parent] = j
+        last[b.parent] = j
     return out
 
 
@@ -174,7 +195,8 @@ def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     """The side of the content terminal in a minimum cut: terminal capacities max(0, score) and max(0, -score).
 
     A node whose terminal outweighs all its edges is on that side in every minimum cut; such nodes are settled first
-    and what they add to their neighbours' terminals is carried over. Augmenting paths solve the rest.
+    and what they add to their neighbours' terminals is carried over. A maximum flow by shortest augmenting paths, level
+    by level, solves the rest.
     """
     n = len(score)
     near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
@@ -193,36 +215,51 @@ def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                     queue.append(j)
     rest = [i for i in range(n) if side[i] is None]
     if rest:
-        flow: dict[int, dict[int, float]] = {i: {} for i in (*rest, -1, -2)}
+        reached = _max_flow({i: max(0.0, score[i]) for i in rest}, {i: max(0.0, -score[i]) for i in rest}, {i: [(j, w) for j, w in near[i] if side[j] is None] for i in rest})
         for i in rest:
-            flow[-1][i], flow[i][-1] = max(0.0, score[i]), 0.0
-            flow[i][-2], flow[-2][i] = max(0.0, -score[i]), 0.0
-            for j, w in near[i]:
-                if side[j] is None:
-                    flow[i][j] = flow[i].get(j, 0.0) + w
-        while True:
-            came, todo = {-1: -1}, deque([-1])
-            while todo and -2 not in came:
-                i = todo.popleft()
-                for j, room in flow[i].items():
-                    if room > 1e-9 and j not in came:
-                        came[j] = i
-                        todo.append(j)
-            if -2 not in came:
-                break
-            path, j = [], -2
-            while j != -1:
-                path.append((came[j], j))
-                j = came[j]
-            push = min(flow[i][j] for i, j in path)
-            for i, j in path:
-                flow[i][j] -= push
-                flow[j][i] += push
-        for i in rest:
-            side[i] = i in came
+            side[i] = i in reached
     return side
 
 
+def _max_flow(source: dict[int, float], sink: dict[int, float], near: dict[int, list[tuple[int, float]]]) -> set[int]:
+    """The nodes that the source terminal (-1) still reaches when no flow to the other (-2) can be added."""
+    flow: dict[int, dict[int, float]] = {-1: dict(source), -2: dict.fromkeys(sink, 0.0)}
+    for i, own in near.items():
+        flow[i] = {-1: 0.0, -2: sink[i]}
+        for j, w in own:
+            flow[i][j] = flow[i].get(j, 0.0) + w
+    least = 1e-9
+    while True:
+        level, todo = {-1: 0}, deque([-1])
+        while todo:
+            i = todo.popleft()
+            for j, room in flow[i].items():
+                if room > least and j not in level:
+                    level[j] = level[i] + 1
+                    todo.append(j)
+        if -2 not in level:
+            return {i for i in level if i >= 0}
+        arcs = {i: [*flow[i]] for i in level}
+        at, path = dict.fromkeys(level, 0), [-1]
+        while path:
+            i = path[-1]
+            if i == -2:
+                steps = list(zip(path, path[1:], strict=False))
+                push = min(flow[a][b] for a, b in steps)
+                for a, b in steps:
+                    flow[a][b] -= push
+                    flow[b][a] += push
+                del path[next(k for k, (a, b) in enumerate(steps) if flow[a][b] <= least) + 1 :]
+            elif at[i] == len(arcs[i]):  # a dead end of this round
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
+            elif flow[i][j := arcs[i][at[i]]] > least and level.get(j) == level[i] + 1:
+                path.append(j)
+            else:
+                at[i] += 1
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of a page in order, joined by two line feeds."""
     page = blocks(html) if html else []
@@ -236,7 +273,8 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without ``html_col`` and with text and n_chars (its code points).
 
-    Null, empty and contentless pages have an empty text. White space inside a block is one blank, character
+    Null, empty and contentless pages have an empty text; a page of any length is read whole, in time and memory that
+    grow with it, and an empty table gives an empty result. White space inside a block is one blank, character
     references are decoded. Columns of ``pages`` named text or n_chars are replaced; repeated rows are kept.
     """
     own = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
