@@ -90,21 +90,21 @@ def _stems(text: str) -> set[str]:
 
 def learn_lexicon(rows: DataFrame, most: int = 2_000) -> dict[str, float]:
     """Log-odds of word beginnings in (text, label) ``rows``: at most ``most``, in at least four toxic texts and 0.5 %
-    of them, at odds of eight or more. Texts with the same longest word count once: copies are no evidence."""
+    of them, at odds of eight or more. Texts with the same longest word count once: copies are no evidence. What is
+    counted does not depend on how rows fall into partitions."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 (toxic if label else clean).update(_stems(text.as_py()))
-        stems = [*(s for s in clean if clean[s] > 1 or s in toxic), *(s for s in toxic if s not in clean)]
+        stems = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array([toxic[s] for s in stems], pa.int64()), pa.array([clean[s] for s in stems], pa.int64())], ["stem", "t", "c"])
 
     longest = F.max_by(F.col("w"), F.struct(F.length("w"), F.col("w")))
-    keyed = rows.withColumn("__i", F.monotonically_increasing_id())
-    keyed = cut(keyed, "toxicity-lexicon")
+    keyed = cut(rows.groupBy(F.xxhash64("text").alias("__i"), "label").agg(F.min("text").alias("text")), "toxicity-lexicon")
     one = keyed.select("__i", "label", F.explode(F.split(F.lower("text"), r"\W+")).alias("w")).groupBy("__i", "label").agg(longest.alias("w")).groupBy("w", "label").agg(F.min("__i").alias("__i"))
-    rows = keyed.join(one.select("__i"), "__i", "left_semi").select("text", "label")
+    rows = keyed.join(one.select("__i", "label"), ["__i", "label"], "left_semi").select("text", "label")
     size = rows.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in size}
     t_all, c_all = n.get(1, 0), n.get(0, 0)
@@ -115,16 +115,16 @@ def learn_lexicon(rows: DataFrame, most: int = 2_000) -> dict[str, float]:
 
 
 def featurised(docs: DataFrame, text_col: str, lexicon: dict[str, float]) -> DataFrame:
-    """``docs`` without ``text_col`` and with x, the features of the whole text (null: empty)."""
+    """``docs`` without ``text_col`` and with __x, the features of the whole text (null: empty)."""
     names = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t.as_py() or "", lexicon) for t in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(x, pa.list_(pa.float64()))], [*names, "__x"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
-    return docs.mapInArrow(run, fields + "x array<double>")
+    return docs.mapInArrow(run, fields + "__x array<double>")
 
 
 class ToxicityModel:
@@ -134,40 +134,47 @@ class ToxicityModel:
         self.lexicon, self.trees, self.isotonic, self.constant = lexicon, trees, isotonic, constant
 
     def raw(self, x: DataFrame) -> DataFrame:
-        """``x`` with p, the uncalibrated probability by the trees."""
-        made = self.trees.setFeaturesCol("__v").setPredictionCol("__y").setProbabilityCol("__p").setRawPredictionCol("__r").transform(x.withColumn("__v", array_to_vector("x")))
-        return made.withColumn("p", vector_to_array("__p")[1]).drop("__v", "__y", "__p", "__r")
+        """``x`` with __prob, the uncalibrated probability by the trees."""
+        made = self.trees.setFeaturesCol("__v").setPredictionCol("__y").setProbabilityCol("__p").setRawPredictionCol("__r").transform(x.withColumn("__v", array_to_vector("__x")))
+        return made.withColumn("__prob", vector_to_array("__p")[1]).drop("__v", "__y", "__p", "__r")
 
     def score(self, docs: DataFrame, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-        """``docs`` without ``text_col`` and with score (0 to 1) and predicted (1 if score >= threshold)."""
+        """``docs`` without ``text_col`` and with score (0 to 1) and predicted (1 if score >= threshold).
+
+        A null text is scored as an empty one, a text of any length as a whole; repeated rows are kept and scored alike,
+        and an empty table gives an empty result. Columns named score or predicted are replaced; all others, whatever
+        their names, pass through and are no inputs of the score.
+        """
         own = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
         if self.trees is None:
-            out = docs.select(*own).withColumn("score", F.lit(self.constant))
+            kept, score = docs.select(F.struct(*own, F.lit(0).alias("__0")).alias("__own")), F.lit(self.constant)
         else:
-            x = featurised(docs.select(*own, F.col(text_col).cast("string").alias("__text")), "__text", self.lexicon)
-            out = self.isotonic.transform(self.raw(x)).withColumnRenamed("prediction", "score")
-        score = F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0))
-        return out.select(*own, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+            x = featurised(docs.select(F.struct(*own, F.lit(0).alias("__0")).alias("__own"), F.col(text_col).cast("string").alias("__text")), "__text", self.lexicon)
+            kept, score = self.isotonic.setPredictionCol("__score").transform(self.raw(x)), F.greatest(F.least("__score", F.lit(1.0)), F.lit(0.0))
+        out = kept.select("__own", score.alias("score"))
+        return out.select(*(F.col("__own")[c].alias(c) for c in own), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", bound: int = 24_000) -> ToxicityModel:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", bound: int = 24_000, most: int = 2_000) -> ToxicityModel:
     """Fit on a sample of about ``bound`` of the ``labelled`` rows, chosen by a hash of the text; rows without a label are
-    left out and a null text is empty. 40 % of the sample make the lexicon, 40 % the trees, 20 % the calibration."""
+    left out and a null text is empty. 40 % of the sample make the lexicon of up to ``most`` beginnings of words, 40 % the
+    trees, 20 % the calibration. The same rows give the same model, however they are partitioned. Rows of one label
+    only, or none, give a constant score."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = labelled.where(F.col(label_col).isNotNull()).select(text.alias("text"), (F.col(label_col) > 0).cast("int").alias("label"))
     n = rows.count()
     h = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
     rows = rows.withColumn("h", h).where(F.col("h") < F.lit(int(1_000_003 * min(1.0, bound / max(n, 1))) + 1))
     rows = cut(rows.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(5))), "toxicity-sample")
-    lexicon = learn_lexicon(rows.where("part < 2").select("text", "label"))
-    x = cut(featurised(rows.where("part >= 2").select("label", "part", "text"), "text", lexicon), "toxicity-features")
+    lexicon = learn_lexicon(rows.where("part < 2").select("text", "label"), most)
+    x = cut(featurised(rows.where("part >= 2").select("label", "part", "h", "text"), "text", lexicon), "toxicity-features")
     counts = {(r["fit"], r["label"]): r["count"] for r in x.groupBy((F.col("part") < 4).alias("fit"), "label").count().collect()}
     if not all(counts.get((part, label)) for part in (True, False) for label in (0, 1)):
         total = sum(counts.values())
         return ToxicityModel(lexicon, None, None, sum(v for k, v in counts.items() if k[1]) / total if total else 0.0)
     trees = GBTClassifier(featuresCol="__v", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, seed=7, maxBins=64)
-    train = x.where("part < 4").select("label", array_to_vector("x").alias("__v")).coalesce(6)
+    train = x.where("part < 4").repartition(6, "h").sortWithinPartitions("h", "label", "__x").select("label", array_to_vector("__x").alias("__v"))
     model = ToxicityModel(lexicon, trees.fit(train), None, 0.0)
-    held = model.raw(x.where("part = 4")).select("p", F.col("label").cast("double").alias("label"))
-    model.isotonic = IsotonicRegression(featuresCol="p", labelCol="label").fit(held)
+    held = model.raw(x.where("part = 4")).select("__prob", F.col("label").cast("double").alias("__label"))
+    model.isotonic = IsotonicRegression(featuresCol="__prob", labelCol="__label").fit(held)
     return model
