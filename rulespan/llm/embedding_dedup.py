@@ -1,14 +1,16 @@
 """Near-duplicate vectors by NN-descent.
 
 1. Equal vectors form a class; one of each goes on, with the number of its copies.
-2. A neighbour graph starts from buckets of random hyperplane signs, cut into blocks of bounded size.
-3. NN-descent: every vector shows its neighbours, in both directions, to each other; better ones replace worse ones.
-4. Saturated lists, all of whose places are links, may hide further links to saturated vectors of other components:
-   these are searched exactly, and components that meet are joined.
+2. A neighbour graph starts from a few sets of buckets of random hyperplane signs, cut into blocks of bounded size.
+3. NN-descent: every vector shows its neighbours, in both directions, to each other; better ones replace worse ones. A
+   list has 12 places and grows to 48 while all its entries are links. Rounds go on while they still find links; pairs
+   that met before are not compared again.
+4. Lists that are full at 48 may hide further links to full lists of other components: these are searched exactly, and
+   components that meet are joined.
 5. The members of each component of threshold edges are compared with each other in blocks, exactly and in double
    precision. Blocks return counts and a spanning forest, never all pairs.
 6. Audit: all link ends of a sample of vectors are counted by brute force against all rows in blocks. While too many
-   of them are missing, more buckets and another descent follow.
+   of them are missing, more buckets and another descent follow; if that does not help, the job fails.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import components, cut, small
+from .shared import components, cut
 
-#: Neighbours kept for a vector, rows of a block, and vectors of the audit.
-NEIGHBOURS, BLOCK, AUDIT = 12, 256, 1_024
+#: Places of a list of neighbours, places of one whose entries are all links, rows of a block, vectors of the audit.
+NEIGHBOURS, MOST, BLOCK, AUDIT = 12, 48, 256, 1_024
+#: Bucket sets of each seeding, rounds of a descent at most, and the share of new links at which it stops.
+TABLES, DESCENTS, STILL = 6, 10, 0.01
+#: Bytes of result rows that may be broadcast.
+MOST_BYTES = 64_000_000
 #: Below the threshold by so much an edge found in single precision is still looked at in double precision.
 SLACK = 1e-4
 
@@ -54,10 +60,12 @@ def _matrix(values: list[bytes], kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1).astype(kind, copy=False)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, floor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(v, u, sim) of the ``most`` best others of each row above its floor."""
+def _best(ids: np.ndarray, sims: np.ndarray, floor: np.ndarray, most: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(v, u, sim) of the ``most`` best others of each row above its floor; pairs of ``known`` rows have met before."""
     sims = sims.copy()
     np.fill_diagonal(sims, -2)
+    if known is not None:
+        sims[known[:, None] & known[None, :]] = -2
     k = min(most, len(ids) - 1)
     if k <= 0:
         return ids[:0], ids[:0], sims.ravel()[:0]
@@ -77,18 +85,18 @@ def seeded(vectors: DataFrame, n: int, tables: range, most: int = 4) -> DataFram
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                x = _matrix(part.column("v").to_pylist())
+                x = np.frombuffer(b"".join(part.column("w").to_pylist()), np.float32).reshape(part.num_rows, -1)
                 for t in tables:
                     planes = np.random.default_rng(1000 * t + 1).standard_normal((int(dim), bits))
                     key = (x @ planes > 0) @ (1 << np.arange(bits)) + (int(dim) << 32)
                     out["t"].append(np.full(len(key), t))
                     out["key"].append(key)
                     out["id"].append(part.column("id").to_numpy())
-                    out["v"] += [a.tobytes() for a in x.astype(np.float32)]
+                    out["v"] += part.column("w").to_pylist()
             if out["v"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out["t"]), pa.int32()), pa.array(np.concatenate(out["key"]), pa.int64()), pa.array(np.concatenate(out["id"]), pa.int64()), pa.array(out["v"], pa.binary())], ["t", "key", "id", "v"])
 
-    keyed = vectors.mapInArrow(sign, "t int, key long, id long, v binary")
+    keyed = vectors.select("id", "dim", "w").mapInArrow(sign, "t int, key long, id long, v binary")
     size = keyed.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocked = keyed.join(size, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("t", "id"), F.col("blocks")))
     cells = blocked.groupBy("t", "key", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).where(F.size("rows") > 1).select("rows")
@@ -111,21 +119,26 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(u.astype(np.int64)), pa.array(s.astype(np.float32))], ["v", "u", "sim"])
 
 
-def nearest(edges: DataFrame, key: str, most: int) -> DataFrame:
-    """The ``most`` most similar distinct edges of each ``key``; surplus rows are dropped before the shuffle as well."""
-    other = "u" if key == "v" else "v"
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), other))
-    return edges.dropDuplicates(["v", "u"]).withColumn("__r", rank).where(F.col("__r") <= most).drop("__r")
+def nearest(edges: DataFrame, least: float) -> DataFrame:
+    """(v, u, sim, new): the NEIGHBOURS most similar distinct edges of each v, up to MOST while they are links; new if
+    none of an edge's rows is old. Surplus rows are dropped before the shuffle as well."""
+    one = edges.groupBy("v", "u").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
+    keep = (F.col("__r") <= NEIGHBOURS) | (F.col("sim") >= least - SLACK)
+    return one.withColumn("__r", rank).where(F.col("__r") <= MOST).where(keep).drop("__r")
 
 
-def descended(graph: DataFrame, vectors: DataFrame, n: int, most: int = 4) -> DataFrame:
-    """One round: the neighbours of each vector, in both directions, are compared with each other; better ones join."""
-    floor = graph.groupBy("v").agg(F.min("sim").alias("floor"), F.count("*").alias("k")).select("v", F.when(F.col("k") >= NEIGHBOURS, F.col("floor")).otherwise(-2.0).cast("float").alias("floor"))
-    known = vectors.select("id", "v").join(floor.select(F.col("v").alias("id"), "floor"), "id", "left").select("id", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"), "v")
-    forward = graph.select(F.col("v").alias("mid"), F.col("u").alias("id"))
-    backward = nearest(graph, "u", NEIGHBOURS).select(F.col("u").alias("mid"), F.col("v").alias("id"))
-    shown = forward.unionByName(backward).distinct()
-    cells = shown.join(known, "id").groupBy("mid").agg(F.collect_list(F.struct("id", "floor", "v")).alias("rows")).where(F.size("rows") > 1).select("rows")
+def descended(graph: DataFrame, vectors: DataFrame, least: float, most: int = 6) -> DataFrame:
+    """One round: the neighbours of each vector, in both directions, are compared with each other unless both are old;
+    better ones join."""
+    at = F.min("sim")
+    floor = F.when(F.count("*") >= MOST, at).when((F.count("*") >= NEIGHBOURS) & (at < least - SLACK), at).when(F.count("*") >= NEIGHBOURS, least - SLACK).otherwise(-2.0)
+    known = vectors.select("id", "w").join(graph.groupBy(F.col("v").alias("id")).agg(floor.cast("float").alias("floor")), "id", "left").select("id", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"), "w")
+    forward = graph.select(F.col("v").alias("mid"), F.col("u").alias("id"), "new")
+    back = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("new"), F.desc("sim"), "v"))
+    backward = graph.withColumn("__r", back).where(F.col("__r") <= NEIGHBOURS).select(F.col("u").alias("mid"), F.col("v").alias("id"), "new")
+    shown = forward.unionByName(backward).groupBy("mid", "id").agg(F.min("new").alias("new"))
+    cells = shown.join(known, "id").groupBy("mid").agg(F.collect_list(F.struct("id", "floor", "new", "w")).alias("rows")).where(F.exists("rows", lambda r: r["new"]) & (F.size("rows") > 1)).select("rows")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,11 +146,23 @@ def descended(graph: DataFrame, vectors: DataFrame, n: int, most: int = 4) -> Da
             for cell in batch.column("rows"):
                 own = cell.values
                 ids = own.field("id").to_numpy()
-                x = _matrix(own.field("v").to_pylist(), np.float32)
-                found.append(_best(ids, x @ x.T, own.field("floor").to_numpy(), most))
+                x = np.frombuffer(b"".join(own.field("w").to_pylist()), np.float32).reshape(len(ids), -1)
+                found.append(_best(ids, x @ x.T, own.field("floor").to_numpy(), most, ~own.field("new").to_numpy(zero_copy_only=False)))
             yield _edges(found)
 
-    return nearest(graph.unionByName(cells.mapInArrow(compare, "v long, u long, sim float")), "v", NEIGHBOURS)
+    better = cells.mapInArrow(compare, "v long, u long, sim float").withColumn("new", F.lit(True))
+    return nearest(graph.withColumn("new", F.lit(False)).unionByName(better), least)
+
+
+def converged(graph: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """The graph after rounds of descent, until fewer than STILL of its links are new."""
+    links = F.count_if(F.col("sim") >= least - SLACK)
+    for _ in range(DESCENTS):
+        graph = cut(descended(graph, vectors, least), "neighbours")
+        r = graph.agg(links.alias("n"), F.count_if((F.col("sim") >= least - SLACK) & F.col("new")).alias("new")).first()
+        if r["new"] <= STILL * r["n"]:
+            break
+    return graph
 
 
 def audited(links: DataFrame, vectors: DataFrame, least: float) -> float:
@@ -175,7 +200,7 @@ def bridged(graph: DataFrame, label: DataFrame, vectors: DataFrame, least: float
     size. Balls whose centres are further apart than their radii and the threshold allow hold no link; the members of
     all others are compared exactly.
     """
-    full = graph.groupBy("v").agg(F.count("*").alias("k"), F.min("sim").alias("floor")).where((F.col("k") >= NEIGHBOURS) & (F.col("floor") >= least - SLACK))
+    full = graph.groupBy("v").agg(F.count("*").alias("k"), F.min("sim").alias("floor")).where((F.col("k") >= MOST) & (F.col("floor") >= least - SLACK))
     m = full.select(F.col("v").alias("id")).join(label.withColumnRenamed("node", "id"), "id").join(vectors.select("id", "dim", "v"), "id")
     size = m.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     m = m.join(size, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -274,27 +299,38 @@ def linked_within(label: DataFrame, vectors: DataFrame, least: float) -> tuple[D
     return out.where("u is null").groupBy("v").agg(F.sum("links").alias("links")), out.where("u is not null").select(F.col("v").alias("a"), F.col("u").alias("b"))
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, target: float = 0.99, rounds: int = 4) -> DataFrame:
+def _single(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with w, v in single precision: half the bytes for the steps that only search."""
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = [np.frombuffer(v, np.float64).astype(np.float32).tobytes() for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, pa.binary())], [*batch.schema.names, "w"])
+
+    return vectors.mapInArrow(halve, "id long, dim int, copies long, v binary, w binary")
+
+
+def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, target: float = 0.99, floor: float = 0.9, rounds: int = 4) -> DataFrame:
     """One row per row of ``df``: ``id_col``, n_links (other rows linked directly), component_id (smallest id reachable)
     and kept (its id is component_id).
 
     Rows are linked if the cosine of their vectors in double precision is at least ``least``. Vectors that are null,
     empty, zero or hold null or non-finite components are linked with nothing, and so are vectors of different lengths.
-    Ids should be unique; a row without an id is kept, without links. Links are searched until a brute-force audit of
-    1024 vectors finds ``target`` of their link ends, and of the linked ones as many with none missing, for at most
-    ``rounds`` rounds.
+    Ids should be unique: rows that repeat one are links of each other if their vectors are; a row without an id is
+    kept, without links. Other columns are not looked at, and an empty table gives an empty result. Links are searched
+    until a brute-force audit of 1024 vectors finds ``target`` of their link ends, and of the linked ones as many with
+    none missing. After ``rounds`` rounds that do not reach it, less than ``floor`` is an error.
     """
     rows = cut(unit_vectors(df, id_col, vector_col), "vectors")
     good = rows.where("v is not null and id is not null")
     classes = good.groupBy("dim", "v").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    vectors = cut(classes.select(F.col("class").alias("id"), "dim", "copies", "v"), "vector-classes")
+    vectors = cut(_single(classes.select(F.col("class").alias("id"), "dim", "copies", "v")), "vector-classes")
     n = vectors.count()
     graph = None
     for r in range(rounds):
-        tables = range(12) if r == 0 else range(8 * r + 4, 8 * r + 12)
-        found = seeded(vectors, n, tables)
-        graph = cut(nearest(found if graph is None else graph.unionByName(found), "v", NEIGHBOURS), "neighbours")
-        graph = cut(descended(graph, vectors, n), "neighbours")
+        found = seeded(vectors, n, range(TABLES * r, TABLES * (r + 1))).withColumn("new", F.lit(True))
+        graph = cut(nearest(found if graph is None else graph.withColumn("new", F.lit(False)).unionByName(found), least), "neighbours")
+        graph = converged(graph, vectors, least)
         close = graph.where(F.col("sim") >= least - SLACK).select(F.col("v").alias("a"), F.col("u").alias("b"))
         label = components(close)
         bridges = bridged(graph, label, vectors, least)
@@ -302,11 +338,16 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
             joined = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("__joined"))
             label = label.join(joined, "component", "left").select("node", F.coalesce("__joined", "component").alias("component"))
         links, forest = linked_within(label, vectors, least)
-        if audited(links, vectors, least) >= target:
+        recall = audited(links, vectors, least)
+        if recall >= target:
             break
+    else:
+        if recall < floor:
+            raise RuntimeError(f"the audit finds {recall:.3f} of the links after {rounds} rounds")
     label = components(forest)
     of_class = vectors.select("id", "copies", "v", "dim").join(links.select(F.col("v").alias("id"), "links"), "id", "left").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
     of_class = of_class.select("dim", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.withColumn("__ok", F.col("v").isNotNull() & F.col("id").isNotNull()).join(small(of_class, n, 100_000), ["dim", "v"], "left")
+    size = vectors.agg(F.sum(F.length("v") + 64)).first()[0] or 0
+    out = rows.withColumn("__ok", F.col("v").isNotNull() & F.col("id").isNotNull()).join(F.broadcast(of_class) if size <= MOST_BYTES else of_class, ["dim", "v"], "left")
     component = F.when(F.col("__ok"), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.when(F.col("__ok"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
