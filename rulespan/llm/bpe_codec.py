@@ -5,9 +5,9 @@
 2. Every distinct word of the whole table is encoded exactly once. Hot words are a single row per chunk before the
    shuffle and one row after a partial aggregation, whatever their frequency.
 3. The ids go back to the chunks and every chunk is reassembled by position.
-4. Decoding explodes the ids with their positions and joins them with the table of token bytes; that table is broadcast,
-   its size is that of the vocabulary, which is checked. A broadcast join keeps the rows of a document together and in
-   order, so that they are glued by position without a shuffle; the positions are checked.
+4. Decoding joins the distinct ids of a chunk with the table of token bytes; that table is broadcast, its size is that of
+   the vocabulary, which is checked. A broadcast join keeps rows in order, so that the tokens of a chunk go ahead of its
+   documents, whose bytes are put together by position without a shuffle; a document whose tokens are not there fails.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pretokens import gather, groups, rank_words, tokenised
@@ -149,14 +149,15 @@ def encode_words(words: DataFrame, path: str, pattern: str, buckets: int) -> Dat
     return (words.repartition("bucket") if few else words.repartition(buckets, "bucket")).mapInArrow(look_up, "chunk long, bucket int, place binary, sizes binary, flat binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False, tokens: bool = False) -> DataFrame:
     """(``id_col``, n_tokens, ids) of every document by the ranks at ``path``.
 
     Each match of the pattern is encoded by itself and special tokens are ordinary text, as in the library; another
     pattern than that of the vocabularies is an error. A null or empty text has no ids, a text of any length is one row,
     and an empty table gives an empty result. Ids of documents may be null or repeated; each row gives one row. Other
     columns are not looked at. The rows are read twice and must come in the same order both times: they are written as a
-    table first, unless ``from_files`` says that ``docs`` is nothing but a scan of files with narrow steps.
+    table first, unless ``from_files`` says that ``docs`` is nothing but a scan of files with narrow steps. With ``tokens`` the
+    rows of each chunk come after rows of __token, its distinct ids, as :func:`decode` wants them.
     """
     rank_words(path, pattern)
     docs = docs.select(id_col, text_col)
@@ -187,96 +188,116 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 lengths = _opened(batch.column("lengths")[i].as_py()).astype(np.int64)
                 to = np.concatenate([[0], np.cumsum(lengths)])
                 ids = batch.column("ids").slice(i, 1).flatten()
+                if tokens:
+                    yield _token_rows(np.unique(every), ids.type, "id")
                 for lo in range(0, len(lengths), 256):
                     hi = min(len(lengths), lo + 256)
                     out, each = gather(every, begin, slot[which[to[lo] : to[hi]]], lengths[lo:hi])
                     ends = np.concatenate([[0], np.cumsum(each)])
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.view(np.int32)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(each, pa.int64()), lists], ["id", "n_tokens", "ids"])
+                    columns = [ids.slice(lo, hi - lo), pa.array(each, pa.int64()), lists, pa.nulls(hi - lo, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns[: 3 + tokens], ["id", "n_tokens", "ids", "__token"][: 3 + tokens])
 
     together = both.repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return together.select("bucket", "place", "sizes", "flat", "ids", "lengths", "codes").mapInArrow(reassemble, f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
+    shape = f"id {kind}, n_tokens long, ids array<int>" + ", __token int" * tokens
+    return together.select("bucket", "place", "sizes", "flat", "ids", "lengths", "codes").mapInArrow(reassemble, shape).withColumnRenamed("id", id_col)
 
 
-def _glued(encoded: DataFrame, path: str, own: list[str], ids_col: str, start: Callable[[], object], add: Callable, finish: Callable, made: list[tuple[str, str]]) -> DataFrame:
-    """``own`` columns and ``made`` ones of each row: its ids are exploded, joined with their bytes and glued.
+def _token_rows(token: np.ndarray, kind: pa.DataType, id_col: str) -> pa.RecordBatch:
+    n = len(token)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(token.astype(np.int32))], [id_col, "n_tokens", "ids", "__token"])
 
-    ``start()`` makes the state of a row, ``add(state, first, ids, bytes, ends)`` takes a run of its ids and their bytes,
-    ``finish(state)`` gives the values of ``made``; the state of a row without ids is null.
-    """
-    table = F.broadcast(token_table(encoded.sparkSession, path))
-    rows = encoded.select(*own, F.posexplode_outer(ids_col).alias("__pos", "__id"), F.col(ids_col).isNull().alias("__none"))
-    first: Column = F.coalesce("__pos", F.lit(0)) == 0
-    rows = rows.select(F.when(first, F.struct(*own, "__none")).alias("__own"), F.coalesce("__pos", F.lit(-1)).alias("__pos"), F.coalesce("__id", F.lit(-1)).alias("__id"))
-    joined = rows.join(table, rows["__id"] == table["token"], "left").select("__own", "__pos", "__id", "bytes")
 
-    def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, head, last = None, None, -1
+def with_tokens(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` in chunks of CHUNK ids or more, and ahead of each chunk its distinct ids, as rows of __token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            flat = [b.column(ids_col).flatten().to_numpy(zero_copy_only=False) for b in held]
+            token = np.unique(np.concatenate(flat))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(token), f.type) for f in held[0].schema), pa.array(token.astype(np.int32))], [*held[0].schema.names, "__token"])
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int32())], [*b.schema.names, "__token"])
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch.column(ids_col).flatten())
+            if size >= CHUNK:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
-        def done(heads: list, values: list) -> pa.RecordBatch:
-            flat = pa.concat_arrays(heads)
-            columns = [pa.array([v[i] for v in values], pa.binary() if kind == "binary" else pa.string()) for i, (_, kind) in enumerate(made)]
-            return pa.RecordBatch.from_arrays([*(flat.field(c) for c in own), *columns], [*own, *(n for n, _ in made)])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(run, f"{fields}, __token int")
 
+
+def _decoded(rows: DataFrame, path: str, own: list[str], ids_col: str, made: list[tuple[str, pa.DataType]], finish: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """``own`` columns of the rows of :func:`with_tokens` and ``made`` ones, ``finish(ids, bytes)`` of each row."""
+    table = F.broadcast(token_table(rows.sparkSession, path))
+    joined = rows.join(table, rows["__token"] == table["token"], "left").select(*dict.fromkeys([*own, ids_col]), "__token", "bytes")
+
+    def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, begin, slot, fresh = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64), False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pos, ids, data = batch.column("__pos").to_numpy(), batch.column("__id").to_numpy(), batch.column("bytes")
-            if ((pos >= 0) & np.asarray(data.is_null())).any():
-                raise ValueError("an id is not in the vocabulary")
-            if (np.diff(pos, prepend=last)[pos > 0] != 1).any():
-                raise RuntimeError("the rows of a document were not kept in order")
-            last = int(pos[-1])
-            offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset)
-            body = memoryview(data.buffers()[2] or b"")
-            cuts = np.union1d(np.flatnonzero(pos <= 0), [0, len(pos)]).tolist()
-            heads, values = [], []
+            is_token = np.asarray(batch.column("__token").is_valid())
+            cuts = [0, *(np.flatnonzero(np.diff(is_token)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if pos[lo] <= 0:  # a document begins
-                    if head is not None:
-                        heads.append(head)
-                        values.append(finish(state))
-                    head = batch.column("__own").slice(lo, 1)
-                    state = None if head.field("__none")[0].as_py() else start()
-                if pos[lo] >= 0:
-                    add(state, pos[lo] == 0, ids[lo:hi], body[offsets[lo] : offsets[hi]])
-            if heads:
-                yield done(heads, values)
-        if head is not None:
-            yield done([head], [finish(state)])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*own).schema]
+                part = batch.slice(lo, hi - lo)
+                if is_token[lo]:
+                    if part.column("bytes").null_count:
+                        raise ValueError("an id is not in the vocabulary")
+                    if not fresh:  # a new chunk
+                        flat, begin, slot = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64)
+                    token, data = part.column("__token").to_numpy(), part.column("bytes").to_pylist()
+                    if token.max() >= len(slot):
+                        slot = np.concatenate([slot, np.full(int(token.max()) + 1 - len(slot), -1, np.int64)])
+                    slot[token] = len(begin) - 1 + np.arange(len(token))
+                    begin = np.concatenate([begin, begin[-1] + np.cumsum([len(x) for x in data], dtype=np.int64)])
+                    flat = np.concatenate([flat, np.frombuffer(b"".join(data), np.uint8)])
+                    fresh = True
+                    continue
+                fresh, values = False, []
+                for x in part.column(ids_col):
+                    if not x.is_valid:
+                        values.append((None,) * len(made))
+                        continue
+                    ids = x.values.to_numpy()
+                    if len(ids) and (ids.min() < 0 or ids.max() >= len(slot) or slot[ids].min() < 0):
+                        raise ValueError("an id has no token row in its chunk")
+                    values.append(finish(ids, gather(flat, begin, slot[ids], np.array([len(ids)]))[0]))
+                columns = [pa.array([v[i] for v in values], kind) for i, (_, kind) in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *columns], [*own, *(n for n, _ in made)])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema]
     return joined.mapInArrow(glue, ", ".join([*fields, *(f"`{n}` {k}" for n, k in made)]))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with data: the bytes that the ids in ``ids_col`` stand for. A null gives a null, no ids no bytes; an
-    id outside the vocabulary is an error. A column of that name is replaced; repeated rows are kept."""
+    id outside the vocabulary is an error. A column of that name is replaced; repeated rows are kept, and an empty table
+    gives an empty result."""
     own = [c for c in encoded.columns if c != "data"]
-
-    def add(state: list[bytes], first: bool, ids: np.ndarray, data: memoryview) -> None:
-        state.append(bytes(data))
-
-    return _glued(encoded, path, own, ids_col, list, add, lambda s: (None if s is None else b"".join(s),), [("data", "binary")])
+    return _decoded(with_tokens(encoded.select(*own), ids_col), path, own, ids_col, [("data", pa.binary())], lambda ids, data: (data.tobytes(),))
 
 
 @lru_cache(2)
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
-    each = [b",%d" % i for i in range(n)]
+    each = [b"%d," % i for i in range(n)]
     return np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
 def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by commas, and of the bytes
-    that decoding the ids gives. Digests grow as rows pass, so that decoded bytes never leave the task."""
-
-    def add(state: tuple, first: bool, ids: np.ndarray, data: memoryview) -> None:
-        flat, begin = _decimals(max(1 << 16, 1 << int(ids.max() + 1).bit_length()))
-        shown = gather(flat, begin, ids, np.array([len(ids)]))[0].tobytes()
-        state[0].update(shown[1:] if first else shown)
-        state[1].update(data)
+    that decoding the ids gives, for what :func:`encode` gives with tokens or without. Decoded bytes never leave the task.
+    """
 
-    def finish(state: tuple | None) -> tuple[str | None, str | None]:
-        return (None, None) if state is None else (state[0].hexdigest(), state[1].hexdigest())
+    def digest(ids: np.ndarray, data: np.ndarray) -> tuple[str, str]:
+        flat, begin = _decimals(max(1 << 16, 1 << int(ids.max() + 1).bit_length()) if len(ids) else 1 << 16)
+        shown = gather(flat, begin, ids.astype(np.int64), np.array([len(ids)]))[0].tobytes()[:-1]
+        return hashlib.sha256(shown).hexdigest(), hashlib.sha256(data.tobytes()).hexdigest()
 
-    return _glued(encoded, path, [id_col, "n_tokens"], "ids", lambda: (hashlib.sha256(), hashlib.sha256()), add, finish, [("ids_sha256", "string"), ("decoded_sha256", "string")])
+    rows = encoded if "__token" in encoded.columns else with_tokens(encoded.select(id_col, "n_tokens", "ids"))
+    return _decoded(rows, path, [id_col, "n_tokens"], "ids", [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], digest)

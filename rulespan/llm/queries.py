@@ -46,7 +46,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), path, pattern, from_files=True)
+    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), path, pattern, from_files=True, tokens=True)
     return bpe_codec.digests(encoded, path)
 
 
