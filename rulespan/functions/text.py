@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words without a signal of their own, and signals too common to count.
+# Words without a signal of their own, signals too common to count, hints of rules about form, patterns of
+# error types and of diagnostics that find nothing, words that are no symbols, and other spellings of symbols.
 STOPWORDS = "a an and are as at be by can check checks correct derive description determine domain equation error errors for form from given if in into is it its logic must of on or physics problem process result rule rules should solution such that the their them then this those through to topic under use using verify when where which with without 题目 公式 关系 分析 出现 判断 前提 利用 可能 必须 条件 检查 根据 正确 注意 涉及 过程 逻辑 结果 要求 计算 证明 验证 解答 说明 需要".split()
 LOW_SIGNAL = "about all area being body center com constant current dynamics energy equal field fields function initial first length mass model models motion number numbers object objects per physical results surface sum system systems term terms theory time total use used vec no relations relation applications principles second".split()
 META_HINTS = ["chart", "data extraction", "diagram", "dimensional", "distinguish given", "figure", "graph", "known/unknown", "notation", "read graph", "semantic", "table", "unit consistency", "区分给定", "区分已知", "区分给定演化规律", "区分待求", "图区", "图像", "图表", "图表数据", "已知", "待求", "数据提取", "文字描述", "标注", "量纲", "量纲一致", "表格", "读图", "语义"]
@@ -21,6 +22,8 @@ NEGATIVE = [
     r"\bunrelated to\b", r"\bnot relevant\b", r"\bcomplies with\b", r"\bcompliant\b", r"\bno direct contradiction\b", r"\bno violation (?:exists|is present|can be assessed)\b", r"\bno .* violation .* found\b",
     r"\btherefore,? .* no violation\b", r"未(?:发现|构成|触发|违反)", r"没有(?:发现)?(?:明显)?(?:违规|违反|错误)", r"不(?:适用|相关|触发|违反)", r"无法(?:判断|确认|确定)", r"证据不足", r"条件不足",
 ]
+NOT_SYMBOLS = "the of a an is in on for with and or not sin cos tan log ln exp".split()
+ALIASES = {"tau": ["τ"], "omega": ["ω"], "theta": ["θ"], "phi": ["φ"], "pi": ["π"], "delta": ["δ"], "gamma": ["γ"], "lambda": ["λ"], "rms": ["effective", "有效值"], "avg": ["average", "mean", "平均值"]}
 TOKEN = "[A-Za-z0-9_一-鿿]+"
 
 
@@ -58,10 +61,53 @@ def contains_phrase(hay: Column, needle: Column) -> Column:
     return F.when(F.length(needle) == 0, False).when(needle.rlike("^[a-z]$"), alone).otherwise(F.contains(hay, needle))
 
 
+def looks_like_symbol(s: Column) -> Column:
+    """At most 20 characters, no stop word, and no lower-case word of four letters or more."""
+    return (F.length(s) <= 20) & ~F.lower(s).isin(NOT_SYMBOLS) & ~s.rlike("^[a-z]{4,}$")
+
+
+def symbols(x: Column) -> Column:
+    """Words that look like symbols, in order, a leading backslash left out."""
+    return F.filter(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\\?([a-zA-Z][a-zA-Z0-9_]*)"), F.lit(1)), looks_like_symbol)
+
+
 def symbol_set(x: Column) -> Column:
-    """Distinct lower-case words that look like symbols, sorted: at most three characters after an optional backslash."""
-    found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\\?([a-zA-Z][a-zA-Z0-9_]*)"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda s: F.length(s) <= 3), F.lower)))
+    """Distinct symbols in lower case, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(symbols(x), F.lower)))
+
+
+def surface(x: Column) -> Column:
+    """A text without \\mathrm{}, \\text{}, thin spaces and ties, its white space as single blanks."""
+    plain = F.regexp_replace(F.regexp_replace(norm_text(x), r"(?i)\\mathrm\{([^}]*)\}", "$1"), r"(?i)\\text\{([^}]*)\}", "$1")
+    return norm_text(F.regexp_replace(plain, r"\\,|~", " "))
+
+
+def matches_loosely(hay: Column, phrase: Column, least: int = 2, share: float = 0.45) -> Column:
+    """Whether enough of a phrase's words of four or more letters stand in a lower-case text: 45 %, and two or more."""
+    words = F.filter(tokens(norm_text(phrase)), lambda t: keep_token(t) & (F.length(t) >= 4))
+    hits = F.size(F.filter(words, lambda t: F.contains(hay, F.lower(t))))
+    return (F.size(words) > 0) & (hits >= F.greatest(F.lit(least), (F.size(words) * share + 0.5).cast("int")))
+
+
+def math_text(x: Column) -> Column:
+    """A formula without \\left, \\right, braces, dollar signs and blanks, in lower case."""
+    return F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"\\left|\\right|[{}$ ]", ""))
+
+
+def spellings(symbol: Column) -> Column:
+    """A symbol as :func:`math_text` has it, and its other spellings."""
+    base = math_text(symbol)
+    out = F.array(base)
+    for name, others in ALIASES.items():
+        out = F.when(base.isin([name, *others]), F.array_distinct(F.concat(F.array(base), F.array(*map(F.lit, [name, *others]))))).otherwise(out)
+    return F.filter(out, lambda v: v != "")
+
+
+def has_symbol(text: Column, symbol: Column) -> Column:
+    """Whether a spelling of a symbol stands in a text; a single ASCII letter must stand alone."""
+    hay = math_text(text)
+    alone = lambda v: F.regexp_like(F.lower(F.coalesce(text, F.lit(""))), F.concat(F.lit("(^|[^a-z0-9_])"), v, F.lit("([^a-z0-9_]|$)")))
+    return F.exists(spellings(symbol), lambda v: F.when(v.rlike("^[a-z]$"), alone(v)).otherwise(F.contains(hay, v)))
 
 
 def error_type(x: Column) -> Column:

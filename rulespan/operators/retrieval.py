@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Signals of a catalog that may be broadcast; a larger one is joined by tokens instead.
+#: Signals and rules of a catalog that may be broadcast; a larger catalog is joined with a shuffle.
 MOST_SIGNALS = 50_000
 
 
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """``df`` dealt by its key: what follows it by that key needs no further shuffle, and no core idles because a file
+    has fewer parts than there are cores."""
+    return df.repartition(key)
+
+
+def small(df: DataFrame, most: int = MOST_SIGNALS) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``most`` rows: it is counted, and never read past that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def extract_keywords(df: DataFrame, key: list[str], text: Column, most: int) -> DataFrame:
     """(key, keyword, n, rank): the ``most`` commonest tokens of each key, ties by first place, in their first spelling."""
-    seen = df.select(*key, F.posexplode(T.tokens(text)).alias("pos", "token")).where(T.keep_token(F.col("token")))
+    df = spread(df.select(*key, text.alias("__text")), key[0]) if len(key) == 1 else df.select(*key, text.alias("__text"))
+    seen = df.select(*key, F.posexplode(T.tokens(F.col("__text"))).alias("pos", "token")).where(T.keep_token(F.col("token")))
     order = F.struct(*([F.col("rule_no")] if "rule_no" in df.columns and "rule_no" in key else []), F.col("pos"), F.col("token"))
     counted = seen.groupBy(*key, T.fold(F.col("token")).alias("folded")).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.min_by("token", order).alias("keyword"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "first", "folded"))
@@ -48,7 +60,7 @@ def weighted_signals(signals: DataFrame) -> DataFrame:
     symbol = F.when((F.length("signal") == 1) & (df > 6), 0.0).when(df <= 2, 1.0).when(df <= 6, 0.5).otherwise(0.25)
     w = F.when(F.col("type") == "scene", df_weight(df, 3.5, 0.75)).when(F.col("type") == "keyword", df_weight(df, 2.0, 0.35)).when(F.col("type") == "symbol", symbol).otherwise(6.0)
     weak = (F.col("type") == "keyword") & (F.col("signal").rlike("^[a-z]{1,2}$") | F.col("signal").isin(T.LOW_SIGNAL) | ((df > 18) & (F.length("signal") <= 8)))
-    return signals.join(F.broadcast(signal_df(signals)), ["type", "signal"]).where(~weak).withColumn("w", w)
+    return signals.join(small(signal_df(signals)), ["type", "signal"]).where(~weak).withColumn("w", w)
 
 
 def retrieval_text(df: DataFrame) -> DataFrame:
@@ -57,25 +69,45 @@ def retrieval_text(df: DataFrame) -> DataFrame:
     return df.withColumn("hay", T.fold(F.concat_ws("\n", *parts)))
 
 
+def rule_text(df: DataFrame) -> DataFrame:
+    """``df`` with hay: question, context and the whole prediction, folded."""
+    parts = [F.when(F.col(c) != "", F.col(c)) for c in ("question", "context", "prediction")]
+    return df.withColumn("hay", T.fold(F.concat_ws("\n", *parts)))
+
+
 def topic_scores(samples: DataFrame, signals: DataFrame) -> DataFrame:
     """(id, domain, topic, score) of every sample and topic.
 
-    The catalog is small and counted before it is broadcast. A sample meets all signals in one row, as an array that is
-    filtered by what its text contains: no row is made for a signal that does not match.
+    Each distinct signal is looked for once in a text, single letters as one set; what is found is then joined with the
+    topics that have it. A mark that every topic has gives the topics without a hit their zero. Texts are dealt by id
+    once, before the search; sums and ranks by id follow without a shuffle, and no text goes beyond the search.
     """
     w = weighted_signals(signals)
-    if w.count() > MOST_SIGNALS:
-        raise ValueError("the catalog has too many signals to be broadcast")
-    per_topic = w.groupBy("domain", "topic").agg(F.sort_array(F.collect_list(F.struct("type", "signal", "w"))).alias("s"))
-    topics = per_topic.agg(F.sort_array(F.collect_list(F.struct("domain", "topic", "s"))).alias("topics"))
-    hay = retrieval_text(samples).select("id", "hay")
-    both = hay.join(F.broadcast(topics)).select("id", "hay", F.explode("topics").alias("t"))
-    hit = both.select("id", F.col("t.domain").alias("domain"), F.col("t.topic").alias("topic"), F.filter("t.s", lambda s: T.contains_phrase(F.col("hay"), s["signal"])).alias("h"))
-    of = lambda kind: F.filter("h", lambda s: s["type"] == kind)
-    total = lambda kind: F.aggregate(of(kind), F.lit(0.0), lambda a, s: a + s["w"])
-    gate = (F.size(of("alias")) > 0) | (F.size(of("scene")) > 0) | (F.size(of("keyword")) >= 2)
-    score = F.when(F.size(of("alias")) > 0, 6.0).otherwise(0.0) + F.least(total("scene"), F.lit(12.0)) + F.least(total("keyword"), F.lit(8.0)) + F.when(gate, F.least(total("symbol"), F.lit(3.0))).otherwise(0.0)
-    return hit.select("id", "domain", "topic", F.round(score, 6).alias("score"))
+    letter = F.col("signal").rlike("^[a-z]$")
+    distinct = w.select("signal").where("signal <> ''").distinct()
+    if distinct.limit(MOST_SIGNALS + 1).count() > MOST_SIGNALS:
+        raise ValueError("a catalog of more signals than can be matched in one pass: score its domains one by one")
+    every = distinct.agg(F.sort_array(F.collect_list(F.when(~letter, F.col("signal")))).alias("phrases"), F.collect_list(F.when(letter, F.col("signal"))).alias("letters"))
+    hay = spread(retrieval_text(samples).select("id", "hay")).join(F.broadcast(every))
+    alone = F.regexp_extract_all("hay", F.lit("(?<![a-z0-9_])([a-z])(?![a-z0-9_])"), F.lit(1))
+    found = F.concat(F.array(F.lit("")), F.filter("phrases", lambda s: F.contains(F.col("hay"), s)), F.array_intersect(alone, "letters"))
+    hits = hay.select("id", F.explode(found).alias("signal"))
+    marks = w.select("domain", "topic").distinct().select("domain", "topic", F.lit("none").alias("type"), F.lit("").alias("signal"), F.lit(0.0).alias("w"))
+    per = hits.join(small(w.select("domain", "topic", "type", "signal", "w").unionByName(marks), 4 * MOST_SIGNALS), "signal")
+    n = lambda kind: F.count_if(F.col("type") == kind)
+    total = lambda kind: F.sum(F.when(F.col("type") == kind, F.col("w")).otherwise(0.0))
+    gate = (n("alias") > 0) | (n("scene") > 0) | (n("keyword") >= 2)
+    score = F.when(n("alias") > 0, 6.0).otherwise(0.0) + F.least(total("scene"), F.lit(12.0)) + F.least(total("keyword"), F.lit(8.0)) + F.when(gate, F.least(total("symbol"), F.lit(3.0))).otherwise(0.0)
+    return per.groupBy("id", "domain", "topic").agg(F.round(score, 6).alias("score"))
+
+
+def symbol_boost(scores: DataFrame, samples: DataFrame, required: DataFrame, per_hit: float = 0.45, most: float = 2.2) -> DataFrame:
+    """``scores`` with overlap and a score raised by it: ``per_hit`` for each symbol of the prediction that the topic
+    requires, ``most`` in all. ``required`` (domain, topic, symbols in lower case)."""
+    own = samples.select("id", T.symbol_set(F.col("prediction")).alias("__s"))
+    both = scores.join(own, "id").join(small(required), ["domain", "topic"], "left")
+    overlap = F.coalesce(F.size(F.array_intersect("__s", "symbols")), F.lit(0))
+    return both.withColumn("overlap", F.greatest(overlap, F.lit(0))).select("id", "domain", "topic", "overlap", F.round(F.col("score") + F.least(F.lit(most), F.col("overlap") * per_hit), 6).alias("score"))
 
 
 def top_topics(scores: DataFrame, most: int = 3) -> DataFrame:
@@ -95,8 +127,8 @@ def rule_features(rules: DataFrame) -> DataFrame:
 def rule_scores(samples: DataFrame, topics: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, topic_rank, topic_score, rule_id, is_meta, t_hits, o_hits, s_hits, score) of the rules of each sample's topics."""
     f = rule_features(rules).select("domain", "topic", "rule_id", "is_meta", "support", "t", "o", "s")
-    hay = retrieval_text(samples).select("id", "hay")
-    pairs = topics.withColumnRenamed("score", "topic_score").join(F.broadcast(f), ["domain", "topic"]).join(hay, "id")
+    hay = spread(rule_text(samples).select("id", "hay"))
+    pairs = topics.withColumnRenamed("score", "topic_score").join(small(f), ["domain", "topic"]).join(hay, "id")
     hits = lambda c: F.size(F.filter(c, lambda s: T.contains_phrase(F.col("hay"), s)))
     df = pairs.select("id", "topic_rank", "topic_score", "domain", "topic", "rule_id", "is_meta", "support", hits("t").alias("t_hits"), hits("o").alias("o_hits"), hits("s").alias("s_hits"))
     t, o, s, n = F.col("t_hits"), F.col("o_hits"), F.col("s_hits"), F.col("support")

@@ -28,7 +28,7 @@ def extract_keywords_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_unique_tokens(spark: SparkSession, d: str) -> DataFrame:
-    seen = samples(spark, d).select("id", F.posexplode(T.tokens(F.col("question"))).alias("pos", "token"))
+    seen = samples(spark, d).select("id", F.posexplode(T.tokens(F.col("prediction"))).alias("pos", "token"))
     first = seen.groupBy("id", T.fold(F.col("token")).alias("k")).agg(F.min(F.struct("pos", "token")).alias("f"))
     return first.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["token"]), " ").alias("tokens"))
 
@@ -49,6 +49,11 @@ def topic_topk(spark: SparkSession, d: str) -> DataFrame:
     return _topics(spark, d)
 
 
+def symbol_boost(spark: SparkSession, d: str) -> DataFrame:
+    required = rules(spark, d).where("NOT is_meta").groupBy("domain", "topic").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(T.symbol_set(F.col("trigger")))))).alias("symbols"))
+    return R.symbol_boost(topic_score(spark, d), samples(spark, d), required)
+
+
 def rule_score(spark: SparkSession, d: str) -> DataFrame:
     return R.rule_scores(samples(spark, d), _topics(spark, d), rules(spark, d)).select("id", "topic_rank", "rule_id", "t_hits", "o_hits", "s_hits", "score")
 
@@ -97,7 +102,7 @@ def _keywords_sql(source: str, key: str, text: str, most: int) -> str:
     ) WHERE rank <= {most}"""
 
 
-_SYMBOLS = r"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({}, '\\?([a-zA-Z][a-zA-Z0-9_]*)', 1), lambda s: length(s) <= 3), lambda s: lower(s))))"
+_SYMBOLS = r"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({}, '\\?([a-zA-Z][a-zA-Z0-9_]*)', 1), lambda s: length(s) <= 20 AND lower(s) NOT IN (" + ", ".join(f"'{x}'" for x in T.NOT_SYMBOLS) + ") AND NOT (length(s) >= 4 AND NOT regexp_matches(s, '[^a-z]'))), lambda s: lower(s))))"
 _MATCH = "(length({n}) > 0 AND CASE WHEN regexp_matches({n}, '^[a-z]$') THEN regexp_matches({h}, '(^|[^a-z0-9_])' || {n} || '([^a-z0-9_]|$)') ELSE contains({h}, {n}) END)"
 _SIGNALS = f"""words_of AS (SELECT domain, topic, string_agg(trim(title || ' ' || "trigger"), ' ' ORDER BY rule_no) AS t, string_agg(check_logic, ' ' ORDER BY rule_no) AS c FROM rules GROUP BY ALL),
 kw AS ({_keywords_sql("words_of", "domain, topic", "t", 8)}), sc AS ({_keywords_sql("words_of", "domain, topic", "c", 4)}),
@@ -112,7 +117,8 @@ weighted AS (SELECT domain, topic, type, signal, df, CASE
         WHEN type = 'symbol' THEN CASE WHEN length(signal) = 1 AND df > 6 THEN 0 WHEN df <= 2 THEN 1 WHEN df <= 6 THEN 0.5 ELSE 0.25 END ELSE 6 END::DOUBLE AS w
     FROM signals JOIN dfs USING (type, signal)
     WHERE NOT (type = 'keyword' AND (regexp_matches(signal, '^[a-z]{{1,2}}$') OR signal IN ({", ".join(f"'{w}'" for w in T.LOW_SIGNAL)}) OR (df > 18 AND length(signal) <= 8))))"""
-_HAY = f"hay AS (SELECT id, {_FOLD.format('concat_ws(chr(10), nullif(question, ' + chr(39) * 2 + '), nullif(context, ' + chr(39) * 2 + '), substr(prediction, 1, 4000))')} AS hay FROM samples)"
+_HAY = f"""hay AS (SELECT id, {_FOLD.format('concat_ws(chr(10), nullif(question, ' + chr(39) * 2 + '), nullif(context, ' + chr(39) * 2 + '), substr(prediction, 1, 4000))')} AS hay FROM samples),
+whole AS (SELECT id, {_FOLD.format('concat_ws(chr(10), nullif(question, ' + chr(39) * 2 + '), nullif(context, ' + chr(39) * 2 + '), nullif(prediction, ' + chr(39) * 2 + '))')} AS hay FROM samples)"""
 _SCORES = f"""hits AS (SELECT id, domain, topic, type, w FROM hay JOIN weighted ON {_MATCH.format(n="signal", h="hay")}),
 sums AS (SELECT id, domain, topic, count(*) FILTER (type = 'alias') AS a, count(*) FILTER (type = 'scene') AS sn, count(*) FILTER (type = 'keyword') AS kn,
     coalesce(sum(w) FILTER (type = 'scene'), 0) AS sw, coalesce(sum(w) FILTER (type = 'keyword'), 0) AS kws, coalesce(sum(w) FILTER (type = 'symbol'), 0) AS yw FROM hits GROUP BY ALL),
@@ -124,7 +130,7 @@ fo AS (SELECT rule_no, list(folded) AS o FROM ({_keywords_sql("rules", "rule_no"
 feats AS (SELECT rules.*, coalesce(t, []) AS t, coalesce(o, []) AS o, {_SYMBOLS.format("title")} AS s FROM rules LEFT JOIN ft USING (rule_no) LEFT JOIN fo USING (rule_no)),
 hit AS (SELECT topics.id, topic_rank, topics.score AS topic_score, topics.domain, topics.topic, rule_id, is_meta, support,
     len(list_filter(t, lambda n: {_MATCH.format(n="n", h="hay")})) AS t_hits, len(list_filter(o, lambda n: {_MATCH.format(n="n", h="hay")})) AS o_hits, len(list_filter(s, lambda n: {_MATCH.format(n="n", h="hay")})) AS s_hits
-    FROM topics JOIN feats USING (domain, topic) JOIN hay USING (id)),
+    FROM topics JOIN feats USING (domain, topic) JOIN whole USING (id)),
 raws AS (SELECT *, least(3 * t_hits, 9) + least(2 * o_hits, 6) + least(2 * s_hits, 4)
     + CASE WHEN support > 0 AND (t_hits > 0 OR s_hits > 0 OR (t_hits + o_hits + s_hits >= 2 AND o_hits > 0)) THEN least(log2(support + 1), 3) ELSE 0 END AS raw FROM hit),
 scored AS (SELECT *, round(CASE WHEN NOT is_meta THEN raw WHEN t_hits = 0 AND o_hits = 0 THEN greatest(greatest(raw - 1.5, 0) - 0.5, 0) ELSE greatest(raw - 1.5, 0) END, 6)::DOUBLE AS score FROM raws),
@@ -144,7 +150,7 @@ kept AS (SELECT * FROM sides WHERE CASE WHEN margin >= 3 THEN is_first OR (n_fir
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY is_meta::INT, score DESC, domain, topic, rule_id) AS place FROM kept) WHERE place <= 6)"""
 _ERROR = "CASE " + " ".join(f"WHEN regexp_matches(coalesce({{}}, ''), '(?i){p}') THEN '{name}'" for name, p in T.ERROR_TYPES) + " ELSE 'logic' END"
 
-FUNCTIONS = [norm_text, symbol_set, rule_classes, extract_keywords_topk, ordered_unique_tokens, signal_df, topic_score, topic_topk, rule_score, rule_context, publish_gate, quota_select, matching_summary, tuning_sweep]
+FUNCTIONS = [norm_text, symbol_set, rule_classes, extract_keywords_topk, ordered_unique_tokens, signal_df, topic_score, topic_topk, symbol_boost, rule_score, rule_context, publish_gate, quota_select, matching_summary, tuning_sweep]
 SQL = {
     "norm_text": rf"""WITH {SAMPLES_SQL} SELECT id, md5(trim(regexp_replace(prediction, '\s+', ' ', 'g'))) AS norm_md5,
         regexp_replace(regexp_replace(lower(trim(regexp_replace(context, '\s+', ' ', 'g'))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
@@ -154,11 +160,14 @@ SQL = {
         SELECT rule_id, {_ERROR.format(*["check_logic"] * len(T.ERROR_TYPES))} AS error_class, lower(error_type) = 'info' OR x = '' OR regexp_matches(x, '(?i){"|".join(T.NEGATIVE)}') AS negative,
         {" OR ".join(f"contains(low, '{h}')" for h in T.META_HINTS)} AS meta FROM t""",
     "extract_keywords_topk": f"WITH {SAMPLES_SQL} {_keywords_sql('samples', 'id', 'prediction', 10)}",
-    "ordered_unique_tokens": f"""WITH {SAMPLES_SQL}, s AS (SELECT id, unnest({_TOKENS.format("question")}) AS token, generate_subscripts({_TOKENS.format("question")}, 1) AS pos FROM samples),
+    "ordered_unique_tokens": f"""WITH {SAMPLES_SQL}, s AS (SELECT id, unnest({_TOKENS.format("prediction")}) AS token, generate_subscripts({_TOKENS.format("prediction")}, 1) AS pos FROM samples),
         f AS (SELECT id, {_FOLD.format("token")} AS k, arg_min(token, pos) AS token, min(pos) AS pos FROM s GROUP BY ALL) SELECT id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM f GROUP BY id""",
     "signal_df": f"{_T} SELECT domain, topic, type, signal, df, w FROM weighted",
     "topic_score": f"{_S} SELECT id, domain, topic, score FROM scores",
     "topic_topk": f"{_S} SELECT id, domain, topic, score, topic_rank FROM topics",
+    "symbol_boost": f"""{_S}, req AS (SELECT domain, topic, list_distinct(flatten(list({_SYMBOLS.format('"trigger"')}))) AS symbols FROM rules WHERE NOT is_meta GROUP BY ALL),
+        o AS (SELECT scores.*, coalesce(len(list_intersect({_SYMBOLS.format("prediction")}, symbols)), 0) AS overlap FROM scores JOIN samples USING (id) LEFT JOIN req USING (domain, topic))
+        SELECT id, domain, topic, overlap::INT AS overlap, round(score + least(2.2, overlap * 0.45), 6)::DOUBLE AS score FROM o""",
     "rule_score": f"{_C} SELECT id, topic_rank, rule_id, t_hits, o_hits, s_hits, score FROM context",
     "rule_context": f"{_C} SELECT id, rule_id, gap, min_score, adjusted, margin FROM context",
     "publish_gate": f"""{_C}, r AS (SELECT id, rule_id, concat_ws(',', CASE WHEN is_meta THEN 'rule_marked_unpublishable' END, CASE WHEN t_hits = 0 THEN 'missing_precondition_evidence' END,
