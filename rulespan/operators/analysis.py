@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +42,6 @@ def capped(df: DataFrame, sample: str, paragraph: str, order: list[Column], per_
     return df.withColumn("dropped", F.when(keep, None).when(kept >= p, "over_paragraph_cap").otherwise("over_sample_cap")).drop("__p", "__s")
 
 
-def reconcile(diagnostics: DataFrame, checks: DataFrame, key: list[str]) -> DataFrame:
-    """``diagnostics`` with status: supported if a check fails, suppressed if one passes and none fails, else untouched."""
-    seen = checks.groupBy(*key).agg(F.bool_or(F.col("result") == "fail").alias("failed"), F.bool_or(F.col("result") == "pass").alias("passed"))
-    status = F.when(F.col("failed"), "supported").when(F.col("passed"), "suppressed").otherwise("untouched")
-    return diagnostics.join(seen, key, "left").withColumn("status", status).drop("failed", "passed")
-
-
 def normal_form(x: Column) -> Column:
     """Lower case without layout commands and signs, for loose comparison of symbols."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\\[a-z]+", " "), r"[\\{}$^_~`\s]+", " "))
@@ -69,6 +63,33 @@ def required_symbols(df: DataFrame, text: str, symbols: str) -> DataFrame:
     return df.withColumn("n_present", n).withColumn("result", result)
 
 
+def primitive(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with result, of its primitive on a text: pass, fail or inconclusive.
+
+    Columns: primitive, required_symbols, canonical, dependent, independent, phrases (arrays). formula_pattern passes if all
+    symbols are there; equation_equivalence and inequality_consistency if a canonical form of four or more characters
+    stands in the text, and fail if two thirds of the symbols (two at least) do without it; power_law fails if only one of
+    the two sides is named; compliance_phrase passes on any phrase; required_symbols passes on all symbols, fails on none.
+    """
+    low, norm = F.lower(F.coalesce(text, F.lit(""))), normal_form(F.coalesce(text, F.lit("")))
+    given = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    here = lambda c: F.filter(given(c), lambda x: token_present(x, low, norm))
+    k, n = F.size(given("required_symbols")), F.size(here("required_symbols"))
+    form = F.exists(given("canonical"), lambda x: (F.length(normal_form(x)) >= 4) & F.contains(norm, normal_form(x)))
+    enough = (k > 0) & (n >= F.greatest(F.lit(2), (k * 0.66).cast("int")))
+    dep, ind = F.size(here("dependent")) > 0, F.size(here("independent")) > 0
+    said = F.exists(given("phrases"), lambda x: F.contains(low, F.lower(x)))
+    p = F.lower(F.trim("primitive"))
+    result = (
+        F.when(p == "formula_pattern", F.when((k > 0) & (n == k), "pass"))
+        .when(p.isin("equation_equivalence", "inequality_consistency"), F.when(form, "pass").when(enough, "fail"))
+        .when(p == "power_law", F.when(dep != ind, "fail"))
+        .when(p == "compliance_phrase", F.when(said, "pass"))
+        .when(p == "required_symbols", F.when((k > 0) & (n == k), "pass").when((k > 0) & (n == 0), "fail"))
+    )
+    return df.withColumn("result", F.coalesce(result, F.lit("inconclusive")))
+
+
 def run_checks(samples: DataFrame, checks: dict[str, Callable[[dict], dict]]) -> DataFrame:
     """(id, rule_id, result, message) of every check on every sample; a check that raises or answers oddly is
     inconclusive. The checks are small functions of one sample and run in Arrow batches."""
@@ -105,34 +126,72 @@ def heuristic_clusters(rules: DataFrame, topic_least: int, bucket_least: int) ->
     return g.select("domain", "topic", F.concat(F.lit("cluster_"), T.slugify(F.col("error_type"))).alias("cluster_id"), "n")
 
 
-def cosine_edges(vectors: DataFrame, group: str, least: float) -> DataFrame:
-    """(group, a, b) of vectors a < b of one group with a cosine of at least ``least``; groups are small topics."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
-    norm = F.sqrt(dot(F.col("v"), F.col("v")))
-    unit = vectors.withColumn("u", F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
-    a, b = unit.select(group, F.col("id").alias("a"), F.col("u").alias("x")), unit.select(group, F.col("id").alias("b"), F.col("u").alias("y"))
-    return a.join(b, group).where("a < b").where(dot(F.col("x"), F.col("y")) >= least).select(group, "a", "b")
+#: Vectors of a block: two blocks are compared in one call.
+BLOCK = 256
 
 
-def topic_components(vectors: DataFrame, group: str, least: float) -> DataFrame:
-    """(group, id, component): connected components of the threshold graph of each small topic."""
+def _blocks(vectors: DataFrame, group: str) -> DataFrame:
+    """(group, i, j, rows): the pairs of blocks of each group, so that a group of any size is compared in bounded calls."""
+    size = vectors.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
+    own = vectors.select(group, "id", "v").join(size, group).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
+    dealt = own.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return dealt.groupBy(group, F.least("__b", "__o").alias("i"), F.greatest("__b", "__o").alias("j")).agg(F.collect_list(F.struct("id", "v", F.col("__b").alias("b"))).alias("rows"))
+
+
+def cosine_edges(vectors: DataFrame, group: str, least: float) -> DataFrame:
+    """(group, a, b) of vectors a < b of one group with a cosine of at least ``least``, compared as matrices of blocks."""
     import numpy as np
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id").reset_index(drop=True)
-        x = np.stack([np.asarray(v, float) for v in f["v"]])
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        near = (x / np.where(norm > 0, norm, 1)) @ (x / np.where(norm > 0, norm, 1)).T >= least
-        label = np.arange(len(f))
-        while True:
-            new = np.array([label[row | (np.arange(len(f)) == i)].min() for i, row in enumerate(near)])
-            if (new == label).all():
-                break
-            label = new
-        return pd.DataFrame({group: f[group], "id": f["id"], "component": f["id"].to_numpy()[label]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for g, i, j, rows in zip(f[group], f["i"], f["j"], f["rows"], strict=True):
+                ids, b = np.array([r["id"] for r in rows]), np.array([r["b"] for r in rows])
+                x = np.array([r["v"] for r in rows], float)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(norm > 0, norm, 1)
+                near = np.triu(x @ x.T >= least, 1)
+                if i != j:
+                    near &= b[:, None] != b[None, :]
+                p, q = np.nonzero(near)
+                out += [(g, min(ids[m], ids[n]), max(ids[m], ids[n])) for m, n in zip(p, q, strict=True)]
+            yield pd.DataFrame(out, columns=[group, "a", "b"])
 
     kind = {c.name: c.dataType.simpleString() for c in vectors.schema}
-    return vectors.select(group, "id", "v").groupBy(group).applyInPandas(run, f"`{group}` {kind[group]}, id {kind['id']}, component {kind['id']}")
+    return _blocks(vectors, group).mapInPandas(run, f"`{group}` {kind[group]}, a {kind['id']}, b {kind['id']}")
+
+
+def topic_components(vectors: DataFrame, group: str, least: float) -> DataFrame:
+    """(group, id, component): connected components of the threshold graph of each group, by the smallest id.
+
+    Labels spread over the edges of :func:`cosine_edges` and jump to the label of their label, until none changes; each
+    round is two equi-joins and is checkpointed, so that a lost executor costs one round.
+    """
+    spark = vectors.sparkSession
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist(StorageLevel.DISK_ONLY))
+    e = cosine_edges(vectors, group, least).select("a", "b")
+    e = keep(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = keep(vectors.select("id", F.col("id").alias("label")))
+    while True:
+        low = e.join(label, e["b"] == label["id"]).groupBy("a").agg(F.min("label").alias("low"))
+        step = label.join(low, label["id"] == low["a"], "left").select("id", F.least("label", "low").alias("label"), F.col("label").alias("old"))
+        jump = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        new = keep(step.join(jump, "label", "left").select("id", F.least("label", "up").alias("label"), "old"))
+        if new.where("label <> old").isEmpty():
+            return vectors.select(group, "id").join(new.select("id", F.col("label").alias("component")), "id").select(group, "id", "component")
+        label = new.select("id", "label")
+
+
+def embedding_clusters(components: DataFrame, group: str, least: int = 4, exemplars: int = 5) -> DataFrame:
+    """(group, id, cluster_id, place): components of ``least`` members or more, numbered by size and smallest id among all
+    components of the group, with each member's place and, for the first ``exemplars``, the mark of an example; a member
+    of a smaller one has a null cluster."""
+    size = components.groupBy(group, "component").agg(F.count("*").alias("n"))
+    no = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "component"))
+    named = size.withColumn("__no", no).select(group, "component", F.when(F.col("n") >= least, F.format_string("embedding_cluster_%02d", no)).alias("cluster_id"))
+    place = F.row_number().over(Window.partitionBy(group, "component").orderBy("id"))
+    df = components.withColumn("place", place).join(named, [group, "component"])
+    return df.select(group, "id", "cluster_id", "place", (F.col("cluster_id").isNotNull() & (F.col("place") <= exemplars)).alias("is_example"))
 
 
 def hash_rank(seed: str, key: Column) -> Column:
@@ -153,8 +212,43 @@ def stratified_splits(df: DataFrame, key: str, by: str, sizes: dict[str, int], s
     return df.select(key, by).withColumn("__r", rank).where(F.col("__r") <= at).select(key, by, split.alias("split"))
 
 
+#: Signs between the two sides of a relation, and of a definition.
+RELATIONS = r"=|<=|>=|<|>|≈|~|∝|≤|≥|\\leq|\\geq|\\le|\\ge"
+_CANDIDATE = r"([A-Za-z0-9_\\{}()^+\-*/'., ]{0,100}(?:" + RELATIONS + r")[A-Za-z0-9_\\{}()^+\-*/'., ]{1,120})"
+_SYMBOL = r"\\?([a-zA-Z][a-zA-Z0-9_]*)"
+
+
 def formulas(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, lhs, rhs): the first ``=`` or ``:`` definition of each line of a text."""
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "x")).where(F.col("x").rlike("[=:]"))
-    part = lambda i: F.trim(F.regexp_extract("x", "^([^=:]*)[=:](.*)$", i))
-    return lines.select(key, "line", part(1).alias("lhs"), part(2).alias("rhs")).where(F.length("lhs") > 0)
+    """(key, line, no, raw, relation, lhs, rhs, head, symbols): the relations of each line of a text.
+
+    Parts around a sign of relation count; a line with a sign but without such a part counts whole. The first of
+    ``= ≈ ~ ∝`` splits a formula, without one it is all right side. head is the first name on the left, symbols all names
+    that look like symbols.
+    """
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "x")).withColumn("x", F.trim("x")).where(F.col("x").rlike(RELATIONS))
+    parts = F.filter(F.transform(F.regexp_extract_all("x", F.lit(_CANDIDATE), F.lit(1)), lambda c: F.btrim(c, F.lit(" .,;:"))), lambda c: c != "")
+    f = lines.select(key, "line", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("x"))).alias("no", "raw"))
+    sign = F.regexp_extract("raw", "[=≈~∝]", 0)
+    at = F.locate("~", F.translate("raw", "=≈~∝", "~~~~"))
+    f = f.withColumns({"relation": F.when(at > 0, sign).otherwise("unknown"), "lhs": F.when(at > 0, F.trim(F.expr("substring(raw, 1, locate('~', translate(raw, '=≈~∝', '~~~~')) - 1)"))), "rhs": F.when(at > 0, F.trim(F.expr("substring(raw, locate('~', translate(raw, '=≈~∝', '~~~~')) + 1)"))).otherwise(F.col("raw"))})
+    return f.withColumns({"head": F.regexp_extract(F.coalesce("lhs", F.lit("")), "[A-Za-z][A-Za-z0-9_]*", 0), "symbols": F.array_sort(F.array_distinct(T.symbols(F.concat_ws(" ", "lhs", "rhs"))))})
+
+
+def symbol_table(df: DataFrame, key: str, text: str, parsed: DataFrame) -> DataFrame:
+    """(key, symbol, n_lines, n_used, n_defined): the symbols of each text, the lines that hold them as whole words, the
+    formulas that use them and those that define them (their head)."""
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "x"))
+    found = lines.select(key, "line", F.explode(F.array_distinct(T.symbols(F.col("x")))).alias("symbol")).select(key, "symbol").distinct()
+    seen = lines.select(key, F.explode(F.array_distinct(F.filter(F.regexp_extract_all("x", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-Za-z][A-Za-z0-9_]*$")))).alias("symbol")).groupBy(key, "symbol").agg(F.count("*").alias("n_lines"))
+    used = parsed.select(key, F.explode("symbols").alias("symbol"), (F.array_contains("symbols", F.col("head")) & F.col("lhs").isNotNull()).alias("__d"), "head").groupBy(key, "symbol").agg(F.count("*").alias("n_used"), F.count_if(F.col("__d") & (F.col("head") == F.col("symbol"))).alias("n_defined"))
+    return found.join(seen, [key, "symbol"], "left").join(used, [key, "symbol"], "left").fillna(0, ["n_lines", "n_used", "n_defined"])
+
+
+def graph_findings(parsed: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """(key, finding, symbol, n): formulas whose head is among several symbols of their own, short or underlined symbols
+    that are used twice and never defined, and heads with different right sides."""
+    defines = F.col("relation").isin("=", "≈", "~") & (F.col("head") != "")
+    own = parsed.where(defines & F.array_contains("symbols", F.col("head")) & (F.size("symbols") > 1)).groupBy(key, F.col("head").alias("symbol")).agg(F.count("*").alias("n")).select(key, F.lit("self_reference").alias("finding"), "symbol", "n")
+    loose = table.where(((F.length("symbol") <= 3) | F.contains("symbol", F.lit("_"))) & (F.col("n_defined") == 0) & (F.col("n_used") >= 2) & (F.col("n_lines") >= 2)).select(key, F.lit("used_not_defined").alias("finding"), "symbol", F.col("n_used").alias("n"))
+    many = parsed.where(defines & (F.col("rhs") != "")).groupBy(key, F.col("head").alias("symbol")).agg(F.count_distinct("rhs").alias("n")).where("n >= 2").select(key, F.lit("conflict").alias("finding"), "symbol", "n")
+    return own.unionByName(loose).unionByName(many)

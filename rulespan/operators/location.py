@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,31 +58,82 @@ def locate(df: DataFrame, text: str = "text", quote: str = "quote") -> DataFrame
     return native.unionByName(rest)
 
 
+#: Where a paragraph may end: after a mark that ends a sentence before white space, and after line feeds.
+_ENDS = re.compile(r"[。！？!?；;](?:\s+|$)|\n+")
+
+
 def paragraph_bounds(text: str, target: int = 220, least: int = 120, most: int = 360) -> list[tuple[int, int]]:
-    """Greedy paragraphs: each ends at the sentence or line end nearest the target length within its limits."""
-    ends = [m.end() for m in re.finditer(r"[.!?。！？]+(?=\s|$)|\n+", text)]
+    """Greedy paragraphs without the white space around them: each ends at the boundary nearest ``target`` between ``least``
+    and ``most``, or at ``most``; a rest of ``most`` or less is the last one. Blank ones are left out."""
+    ends = sorted({0, len(text), *(m.end() for m in _ENDS.finditer(text))})
     out, start = [], 0
     while start < len(text):
-        fit = [e for e in ends if start + least <= e <= start + most]
-        stop = min(fit, key=lambda e: abs(e - start - target)) if fit else min(len(text), start + most)
-        if len(text) - stop < least // 2:
-            stop = len(text)
-        out.append((start, stop))
+        stop = len(text)
+        if stop - start > most:
+            near = ends[bisect_left(ends, start + least) : bisect_right(ends, start + most)]
+            stop = min(near, key=lambda e: abs(e - start - target)) if near else start + most
+        own = text[start:stop]
+        if own.strip():
+            first = start + len(own) - len(own.lstrip())
+            out.append((first, first + len(own.strip())))
         start = stop
     return out
 
 
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, paragraph, start, end) of every paragraph of every text; an empty text has none."""
+    """(key, paragraph, start, end) of every paragraph of every text, counted from 1; a blank text has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, i, a, b) for k, t in zip(f[key], f[text], strict=True) for i, (a, b) in enumerate(paragraph_bounds(t or ""))]
+            rows = [(k, i, a, b) for k, t in zip(f[key], f[text], strict=True) for i, (a, b) in enumerate(paragraph_bounds(t or ""), 1)]
             yield pd.DataFrame(rows, columns=[key, "paragraph", "start", "end"])
 
     return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, paragraph int, start int, end int")
 
 
+def paragraph_of(spans: DataFrame, bounds: DataFrame, key: str = "sample") -> DataFrame:
+    """``spans`` (key, start, …) with the paragraph that holds their start, or null: a range join inside a key."""
+    b = bounds.select(key, "paragraph", F.col("start").alias("__s"), F.col("end").alias("__e"))
+    on = (spans[key] == b[key]) & (F.col("__s") <= spans["start"]) & (spans["start"] < F.col("__e"))
+    return spans.join(b, on, "left").select(*(spans[c] for c in spans.columns), "paragraph")
+
+
+def context_window(text: Column, start: Column, end: Column, left: int = 90, right: int = 120, most: int = 320) -> Column:
+    """A struct (start, end): a span with ``left`` and ``right`` characters around it, grown to whole words by less than 50
+    characters, cut to ``most`` around the middle, without white space at its ends; -1 for an invalid span."""
+    n = F.length(text)
+    s, e = F.greatest(F.lit(0), start - left), F.least(n, end + right)
+    room = lambda used, limit: F.greatest(F.lit(0), F.lit(limit + 50) - used)
+    back = F.length(F.regexp_extract(F.substring(text, F.greatest(F.lit(1), s - room(start - s, left) + 1), F.least(s, room(start - s, left))), r"(?U)\S*$", 0))
+    ahead = F.length(F.regexp_extract(F.substring(text, e + 1, room(e - end, right)), r"(?U)^\S*", 0))
+    s, e = s - back, e + ahead
+    middle = F.greatest(F.lit(0), F.floor((start + end) / 2).cast("int") - most // 2)
+    wide = e - s > most
+    s, e = F.when(wide, middle).otherwise(s), F.when(wide, F.least(n, middle + most)).otherwise(e)
+    own = F.substring(text, s + 1, e - s)
+    lead, tail = F.length(F.regexp_extract(own, r"(?U)^\s*", 0)), F.length(F.regexp_extract(own, r"(?U)\s*$", 0))
+    ok = (start >= 0) & (end > start) & (n > 0) & (lead < e - s)
+    return F.struct(F.when(ok, s + lead).otherwise(-1).cast("int").alias("start"), F.when(ok, e - tail).otherwise(-1).cast("int").alias("end"))
+
+
+def infer_paragraph(items: DataFrame, bounds: DataFrame, texts: DataFrame, key: str = "sample") -> DataFrame:
+    """``items`` (key, no, declared, start, words) with paragraph and source: the declared one if the text has it, else the
+    one that holds the start of the span, else the one that shares most words with the item, the first of these."""
+    b = bounds.join(texts.select(key, "text"), key).select(key, "paragraph", F.col("start").alias("__s"), F.col("end").alias("__e"), evaluator_tokens(F.expr("substring(text, start + 1, end - start)")).alias("__w"))
+    both = items.join(b, key, "left")
+    holds = (F.col("__s") <= F.col("start")) & (F.col("start") < F.col("__e"))
+    shared = F.size(F.array_intersect("words", "__w"))
+    g = both.groupBy(key, "no").agg(F.max(F.when(F.col("paragraph") == F.col("declared"), F.col("paragraph"))).alias("d"), F.min(F.when(holds, F.col("paragraph"))).alias("s"), F.max(F.when(shared > 0, F.struct(shared.alias("n"), (-F.col("paragraph")).alias("p")))).alias("w"))
+    at = F.coalesce("d", "s", -F.col("w.p"))
+    source = F.when(F.col("d").isNotNull(), "declared").when(F.col("s").isNotNull(), "span").when(at.isNotNull(), "words").otherwise("none")
+    return g.select(key, "no", at.alias("paragraph"), source.alias("source"))
+
+
+def evaluator_tokens(text: Column) -> Column:
+    """Distinct runs of ASCII letters, digits and underscores of three or more, in lower case."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.length(t) >= 3))
+
+
 def span_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Intersection over union of two spans; 0 for empty ones."""
     both = F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
@@ -89,23 +141,54 @@ def span_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def greedy_match(pairs: DataFrame, key: str = "sample", truth: str = "gt", found: str = "pred") -> DataFrame:
-    """One-to-one matches of ``pairs`` (key, gt, pred, iou): each truth in its order takes the free prediction with the
-    best overlap, the first on a tie. One sample's pairs are few and are matched in one call."""
+def match_candidates(truth: DataFrame, found: DataFrame, key: str = "sample") -> DataFrame:
+    """(key, gt, pred, iou, coverage, span_score, paragraph_score) of the pairs of one sample that may match: spans that
+    overlap score IoU and a hundredth of the better coverage; paragraphs that overlap, or have one number, score shared
+    words, their own IoU and a twentieth of the better coverage.
+
+    Both sides: key, no, start, end, paragraph, p_start, p_end, words; nulls where a span or paragraph is unknown.
+    """
+    g, p = (df.select(key, *(F.col(c).alias(f"{side}_{c}") for c in ("no", "start", "end", "paragraph", "p_start", "p_end", "words"))) for side, df in (("g", truth), ("p", found)))
+    c = F.col
+
+    def overlap(a: str, b: str) -> tuple[Column, Column, Column]:
+        both = F.coalesce(F.least(c(f"g_{b}"), c(f"p_{b}")) - F.greatest(c(f"g_{a}"), c(f"p_{a}")), F.lit(0))
+        ok = (both > 0) & (c(f"g_{a}") >= 0) & (c(f"p_{a}") >= 0)
+        wide = F.greatest(c(f"g_{b}"), c(f"p_{b}")) - F.least(c(f"g_{a}"), c(f"p_{a}"))
+        return ok, both / wide, F.greatest(both / (c(f"g_{b}") - c(f"g_{a}")), both / (c(f"p_{b}") - c(f"p_{a}")))
+
+    on_span, iou, cov = overlap("start", "end")
+    on_region, r_iou, r_cov = overlap("p_start", "p_end")
+    known = (c("g_paragraph") >= 1) & (c("p_paragraph") >= 1)
+    near = known & (on_region | (c("g_paragraph") == c("p_paragraph")))
+    score = F.size(F.array_intersect("g_words", "p_words")) + F.when(on_region, r_iou + 0.05 * r_cov).otherwise(0.0)
+    rows = g.join(p, key).where(F.coalesce(on_span, F.lit(False)) | F.coalesce(near, F.lit(False)))
+    return rows.select(key, c("g_no").alias("gt"), c("p_no").alias("pred"), F.when(on_span, iou).otherwise(0.0).alias("iou"), F.when(on_span, cov).otherwise(0.0).alias("coverage"), F.when(on_span, iou + 0.01 * cov).alias("span_score"), F.when(near, score.cast("double")).alias("paragraph_score"))
+
+
+def greedy_match(pairs: DataFrame, key: str = "sample", least_iou: float = 0.5, least_coverage: float = 0.6) -> DataFrame:
+    """(key, gt, pred, iou, kind): one-to-one matches of :func:`match_candidates`.
+
+    Each truth in its order takes the free prediction of the best span, the first on a tie; only where no free one
+    overlaps its span, the best paragraph. A span counts with enough IoU or coverage; one that does not, blocks the
+    paragraph. The order matters, so that one sample's pairs, which are few, are matched in one call.
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
-        for g, rows in f.sort_values([truth, found]).groupby(truth, sort=True):
-            free = rows[~rows[found].isin(used)]
-            if len(free):
-                best = free.loc[free["iou"].idxmax()]
-                if best["iou"] >= 0.5:
-                    used.add(best[found])
-                    out.append((best[key], g, best[found], best["iou"]))
-        return pd.DataFrame(out, columns=[key, truth, found, "iou"])
+        for g, rows in f.sort_values(["gt", "pred"]).groupby("gt", sort=True):
+            free = rows[~rows["pred"].isin(used)]
+            kind = "span" if free["span_score"].notna().any() else "paragraph"
+            scores = free[f"{kind}_score"].dropna()
+            if len(scores):
+                best = free.loc[scores.idxmax()]
+                if kind == "paragraph" or best["iou"] >= least_iou or best["coverage"] >= least_coverage:
+                    used.add(best["pred"])
+                    out.append((best[key], g, best["pred"], float(best["iou"]) if kind == "span" else 0.0, kind))
+        return pd.DataFrame(out, columns=[key, "gt", "pred", "iou", "kind"])
 
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.select(key, truth, found, "iou").groupBy(key).applyInPandas(run, f"`{key}` {kind[key]}, `{truth}` {kind[truth]}, `{found}` {kind[found]}, iou double")
+    return pairs.groupBy(key).applyInPandas(run, f"`{key}` {kind[key]}, gt {kind['gt']}, pred {kind['pred']}, iou double, kind string")
 
 
 def quotes_of(rules: DataFrame, n: int = 40) -> DataFrame:

@@ -152,14 +152,6 @@ def rule_context(scored: DataFrame) -> DataFrame:
     return scored.select("*", F.round(gap, 6).alias("gap"), (least + 0.5 * meta).alias("min_score"), F.round(F.col("score") + bonus - 0.75 * meta, 6).alias("adjusted"), F.round(top1 - top2, 6).alias("margin"))
 
 
-def publish_gate(context: DataFrame) -> DataFrame:
-    """``context`` with reasons, why a rule may not be published, joined by commas in fixed order, and publishable."""
-    least = F.greatest(F.lit(4.0), F.col("min_score")) + 0.5 * F.col("is_meta").cast("int") + F.when(F.col("topic_rank") > 1, 1.0).otherwise(0.0)
-    no_signature = (F.col("o_hits") == 0) & (F.col("s_hits") == 0)
-    reasons = F.array_compact(F.array(F.when(F.col("is_meta"), "rule_marked_unpublishable"), F.when(F.col("t_hits") == 0, "missing_precondition_evidence"), F.when(no_signature, "missing_violation_signature"), F.when(F.col("score") < least, "below_dynamic_publish_score")))
-    return context.withColumn("reasons", F.array_join(reasons, ",")).withColumn("publishable", F.col("reasons") == "")
-
-
 def select_rules(context: DataFrame, most: int = 6) -> DataFrame:
     """The rules of each sample under quotas for topics behind the best one, with their place.
 

@@ -66,10 +66,6 @@ def rule_context(spark: SparkSession, d: str) -> DataFrame:
     return _context(spark, d).select("id", "rule_id", "gap", "min_score", "adjusted", "margin")
 
 
-def publish_gate(spark: SparkSession, d: str) -> DataFrame:
-    return R.publish_gate(_context(spark, d)).select("id", "rule_id", "reasons", "publishable")
-
-
 def quota_select(spark: SparkSession, d: str) -> DataFrame:
     return R.select_rules(_context(spark, d))
 
@@ -150,7 +146,7 @@ kept AS (SELECT * FROM sides WHERE CASE WHEN margin >= 3 THEN is_first OR (n_fir
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY is_meta::INT, score DESC, domain, topic, rule_id) AS place FROM kept) WHERE place <= 6)"""
 _ERROR = "CASE " + " ".join(f"WHEN regexp_matches(coalesce({{}}, ''), '(?i){p}') THEN '{name}'" for name, p in T.ERROR_TYPES) + " ELSE 'logic' END"
 
-FUNCTIONS = [norm_text, symbol_set, rule_classes, extract_keywords_topk, ordered_unique_tokens, signal_df, topic_score, topic_topk, symbol_boost, rule_score, rule_context, publish_gate, quota_select, matching_summary, tuning_sweep]
+FUNCTIONS = [norm_text, symbol_set, rule_classes, extract_keywords_topk, ordered_unique_tokens, signal_df, topic_score, topic_topk, symbol_boost, rule_score, rule_context, quota_select, matching_summary, tuning_sweep]
 SQL = {
     "norm_text": rf"""WITH {SAMPLES_SQL} SELECT id, md5(trim(regexp_replace(prediction, '\s+', ' ', 'g'))) AS norm_md5,
         regexp_replace(regexp_replace(lower(trim(regexp_replace(context, '\s+', ' ', 'g'))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
@@ -170,10 +166,6 @@ SQL = {
         SELECT id, domain, topic, overlap::INT AS overlap, round(score + least(2.2, overlap * 0.45), 6)::DOUBLE AS score FROM o""",
     "rule_score": f"{_C} SELECT id, topic_rank, rule_id, t_hits, o_hits, s_hits, score FROM context",
     "rule_context": f"{_C} SELECT id, rule_id, gap, min_score, adjusted, margin FROM context",
-    "publish_gate": f"""{_C}, r AS (SELECT id, rule_id, concat_ws(',', CASE WHEN is_meta THEN 'rule_marked_unpublishable' END, CASE WHEN t_hits = 0 THEN 'missing_precondition_evidence' END,
-        CASE WHEN o_hits = 0 AND s_hits = 0 THEN 'missing_violation_signature' END,
-        CASE WHEN score < greatest(4, min_score) + CASE WHEN is_meta THEN 0.5 ELSE 0 END + CASE WHEN topic_rank > 1 THEN 1 ELSE 0 END THEN 'below_dynamic_publish_score' END) AS reasons FROM context)
-        SELECT id, rule_id, reasons, reasons = '' AS publishable FROM r""",
     "quota_select": f"{_Q} SELECT id, place, topic_rank, rule_id, score, adjusted FROM chosen",
     "matching_summary": f"""{_Q}, n AS (SELECT samples.id, count(chosen.id) AS n FROM samples LEFT JOIN chosen ON chosen.id = samples.id GROUP BY samples.id)
         SELECT count(*) AS n_samples, count(*) FILTER (n > 0) AS n_selected, round(avg(n), 6) AS mean_rules, quantile_disc(n, 0.95) AS p95_rules FROM n""",
