@@ -69,7 +69,7 @@ def verify_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def collect_findings(spark: SparkSession, d: str) -> DataFrame:
     diag = _candidates(spark, d).select("sample", "pos", "rule", "message", "quote")
-    checks = _checks(spark, d).select("sample", F.crc32(F.col("spec_id").cast("binary")).cast("int").alias("pos"), F.substring("spec_id", 1, 2).alias("rule"), "result", F.lit("failed").alias("message"), F.lit("").alias("quote"))
+    checks = _checks(spark, d).select("sample", F.crc32(F.col("spec_id").cast("binary")).alias("pos"), F.substring("spec_id", 1, 2).alias("rule"), "result", F.lit("failed").alias("message"), F.lit("").alias("quote"))
     return V.findings(diag, checks)
 
 

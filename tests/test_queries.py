@@ -40,12 +40,6 @@ def test_matches_sql(spark, sf, duck, name):
     assert rows(got) == rows(want)
 
 
-def test_paragraphs_cover_texts(spark, sf):
-    p = plans.QUERIES["paragraphs"](spark, sf).toPandas()
-    for _, g in p.sort_values("paragraph").groupby("id"):
-        assert g.start.iloc[0] == 0 and (g.start.values[1:] == g.end.values[:-1]).all()
-
-
 def test_cascade_finds_loose_quotes(spark, sf):
     r = plans.QUERIES["quote_locate_cascade"](spark, sf).toPandas()
     assert (r.confidence > 0).mean() > 0.95
@@ -53,7 +47,7 @@ def test_cascade_finds_loose_quotes(spark, sf):
 
 def test_greedy_match_is_one_to_one(spark, sf):
     r = plans.QUERIES["greedy_span_match"](spark, sf).toPandas()
-    assert not r.duplicated(["sample", "gt"]).any() and not r.duplicated(["sample", "pred"]).any()
+    assert not r.duplicated(["sample", "gt"]).any() and not r.duplicated(["sample", "pred"]).any() and len(r)
 
 
 def test_faulty_check_is_inconclusive(spark, sf):
