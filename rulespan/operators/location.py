@@ -175,16 +175,18 @@ def greedy_match(pairs: DataFrame, key: str = "sample", least_iou: float = 0.5,
     """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
+        by: dict[int, list[tuple]] = {}
+        for row in sorted(zip(f["gt"].tolist(), f["pred"].tolist(), f["iou"].tolist(), f["coverage"].tolist(), f["span_score"].tolist(), f["paragraph_score"].tolist(), strict=True)):
+            by.setdefault(row[0], []).append(row)
         used, out = set(), []
-        for g, rows in f.sort_values(["gt", "pred"]).groupby("gt", sort=True):
-            free = rows[~rows["pred"].isin(used)]
-            kind = "span" if free["span_score"].notna().any() else "paragraph"
-            scores = free[f"{kind}_score"].dropna()
-            if len(scores):
-                best = free.loc[scores.idxmax()]
-                if kind == "paragraph" or best["iou"] >= least_iou or best["coverage"] >= least_coverage:
-                    used.add(best["pred"])
-                    out.append((best[key], g, best["pred"], float(best["iou"]) if kind == "span" else 0.0, kind))
+        for g, rows in by.items():
+            free = [r for r in rows if r[1] not in used]
+            spans = [r for r in free if r[4] == r[4]]  # not a NaN
+            near = [] if spans else [r for r in free if r[5] == r[5]]
+            best = max(spans, key=lambda r: r[4], default=None) or max(near, key=lambda r: r[5], default=None)
+            if best and (near or best[2] >= least_iou or best[3] >= least_coverage):
+                used.add(best[1])
+                out.append((f[key].iloc[0], g, best[1], 0.0 if near else best[2], "paragraph" if near else "span"))
         return pd.DataFrame(out, columns=[key, "gt", "pred", "iou", "kind"])
 
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
