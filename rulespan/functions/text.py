@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words without a signal of their own, signals too common to count, hints of rules about form, patterns of
-# error types and of diagnostics that find nothing, words that are no symbols, and other spellings of symbols.
+# error types and of diagnostics that find nothing, words that are no symbols, signals that say little of a rule, and
+# other spellings of symbols.
 STOPWORDS = "a an and are as at be by can check checks correct derive description determine domain equation error errors for form from given if in into is it its logic must of on or physics problem process result rule rules should solution such that the their them then this those through to topic under use using verify when where which with without 题目 公式 关系 分析 出现 判断 前提 利用 可能 必须 条件 检查 根据 正确 注意 涉及 过程 逻辑 结果 要求 计算 证明 验证 解答 说明 需要".split()
 LOW_SIGNAL = "about all area being body center com constant current dynamics energy equal field fields function initial first length mass model models motion number numbers object objects per physical results surface sum system systems term terms theory time total use used vec no relations relation applications principles second".split()
 META_HINTS = ["chart", "data extraction", "diagram", "dimensional", "distinguish given", "figure", "graph", "known/unknown", "notation", "read graph", "semantic", "table", "unit consistency", "区分给定", "区分已知", "区分给定演化规律", "区分待求", "图区", "图像", "图表", "图表数据", "已知", "待求", "数据提取", "文字描述", "标注", "量纲", "量纲一致", "表格", "读图", "语义"]
@@ -23,6 +24,7 @@ NEGATIVE = [
     r"\btherefore,? .* no violation\b", r"未(?:发现|构成|触发|违反)", r"没有(?:发现)?(?:明显)?(?:违规|违反|错误)", r"不(?:适用|相关|触发|违反)", r"无法(?:判断|确认|确定)", r"证据不足", r"条件不足",
 ]
 NOT_SYMBOLS = "the of a an is in on for with and or not sin cos tan log ln exp".split()
+GENERIC_SIGNALS = ["sin", "cos", "tan", "cot", "sec", "csc", "sqrt", "根式", "代换", "恒等式", "三角", "三角代换", "根式方程"]
 ALIASES = {"tau": ["τ"], "omega": ["ω"], "theta": ["θ"], "phi": ["φ"], "pi": ["π"], "delta": ["δ"], "gamma": ["γ"], "lambda": ["λ"], "rms": ["effective", "有效值"], "avg": ["average", "mean", "平均值"]}
 TOKEN = "[A-Za-z0-9_一-鿿]+"
 
@@ -82,13 +84,27 @@ def surface(x: Column) -> Column:
     return norm_text(F.regexp_replace(plain, r"\\,|~", " "))
 
 
-def matches_loosely(hay: Column, phrase: Column, least: int = 2, share: float = 0.45) -> Column:
-    """Whether enough of a phrase's words of four or more letters stand in a lower-case text: 45 %, and two or more."""
-    words = F.filter(tokens(norm_text(phrase)), lambda t: keep_token(t) & (F.length(t) >= 4))
-    hits = F.size(F.filter(words, lambda t: F.contains(hay, F.lower(t))))
+def is_generic(signal: Column) -> Column:
+    """Whether a folded signal holds a term that says little of a rule."""
+    return signal.rlike("|".join(GENERIC_SIGNALS))
+
+
+def loose_words(phrase: Column) -> Column:
+    """The words of four or more letters by which a phrase is found loosely, folded."""
+    return F.transform(F.filter(tokens(norm_text(phrase)), lambda t: keep_token(t) & (F.length(t) >= 4)), fold)
+
+
+def holds_loosely(hay: Column, words: Column, least: int = 2, share: float = 0.45) -> Column:
+    """Whether enough of a phrase's :func:`loose_words` stand in a folded text: 45 %, and two or more."""
+    hits = F.size(F.filter(words, lambda t: F.contains(hay, t)))
     return (F.size(words) > 0) & (hits >= F.greatest(F.lit(least), (F.size(words) * share + 0.5).cast("int")))
 
 
+def matches_loosely(hay: Column, phrase: Column, least: int = 2, share: float = 0.45) -> Column:
+    """Whether enough of a phrase's words stand in a folded text."""
+    return holds_loosely(hay, loose_words(phrase), least, share)
+
+
 def math_text(x: Column) -> Column:
     """A formula without \\left, \\right, braces, dollar signs and blanks, in lower case."""
     return F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"\\left|\\right|[{}$ ]", ""))

@@ -70,13 +70,45 @@ def retrieval_text(df: DataFrame) -> DataFrame:
 
 
 def rule_text(df: DataFrame) -> DataFrame:
-    """``df`` with hay: question, context and the whole prediction, folded."""
+    """``df`` with hay: question, context and the whole prediction, folded; where they hold LaTeX layout, followed by the
+    same text without it, so that a signal may stand in either."""
     parts = [F.when(F.col(c) != "", F.col(c)) for c in ("question", "context", "prediction")]
-    return df.withColumn("hay", T.fold(F.concat_ws("\n", *parts)))
+    raw = F.concat_ws("\n", *parts)
+    return df.withColumn("hay", T.fold(F.when(raw.rlike(r"[\\~]"), F.concat_ws("\n", raw, T.surface(raw))).otherwise(raw)))
+
+
+def topic_hints(samples: DataFrame, hints: DataFrame) -> DataFrame:
+    """(id, domain, topic, hint): what the hints of a language model add to a topic's score, where they add anything.
+
+    ``hints`` (domain, topic, phrases, terms), one row a topic; a phrase is found loosely, a term as it is. Null lists
+    are empty ones. The hints are one array that is held against each text in place, so no text is repeated for topics.
+    """
+    empty = F.array().cast("array<string>")
+    if hints.limit(MOST_SIGNALS + 1).count() > MOST_SIGNALS:
+        raise ValueError("hints of more topics than can be matched in one pass: score the domains one by one")
+    words = F.array_distinct(F.transform(F.coalesce("phrases", empty), T.loose_words)).alias("phrases")
+    topic = F.struct("domain", "topic", words, F.array_distinct(F.transform(F.coalesce("terms", empty), lambda t: T.fold(T.norm_text(t)))).alias("terms"))
+    every = hints.select(topic.alias("h")).agg(F.collect_list("h").alias("hints"))
+    hay = F.col("hay")
+
+    def score(h: Column) -> Column:
+        phrases = F.size(F.filter(h["phrases"], lambda p: T.holds_loosely(hay, p)))
+        terms = F.size(F.filter(h["terms"], lambda t: T.contains_phrase(hay, t)))
+        return F.least(phrases * 3.0, F.lit(6.0)) + F.least(terms * 0.8, F.lit(5.0))
+
+    scored = F.transform("hints", lambda h: F.struct(h["domain"].alias("domain"), h["topic"].alias("topic"), score(h).alias("hint")))
+    per = spread(retrieval_text(samples).select("id", "hay")).join(F.broadcast(every)).select("id", F.explode(scored).alias("h"))
+    return per.select("id", "h.domain", "h.topic", "h.hint").where("hint > 0")
+
+
+def with_hints(scores: DataFrame, found: DataFrame) -> DataFrame:
+    """``scores`` of topics raised by what :func:`topic_hints` found."""
+    both = scores.join(found, ["id", "domain", "topic"], "left")
+    return both.withColumn("score", F.round(F.col("score") + F.coalesce("hint", F.lit(0.0)), 6)).drop("hint")
 
 
 def topic_scores(samples: DataFrame, signals: DataFrame) -> DataFrame:
-    """(id, domain, topic, score) of every sample and topic.
+    """(id, domain, topic, score, anchored) of every sample and topic; anchored if a name, an alias or a scene is hit.
 
     Each distinct signal is looked for once in a text, single letters as one set; what is found is then joined with the
     topics that have it. A mark that every topic has gives the topics without a hit their zero. Texts are dealt by id
@@ -98,7 +130,7 @@ def topic_scores(samples: DataFrame, signals: DataFrame) -> DataFrame:
     total = lambda kind: F.sum(F.when(F.col("type") == kind, F.col("w")).otherwise(0.0))
     gate = (n("alias") > 0) | (n("scene") > 0) | (n("keyword") >= 2)
     score = F.when(n("alias") > 0, 6.0).otherwise(0.0) + F.least(total("scene"), F.lit(12.0)) + F.least(total("keyword"), F.lit(8.0)) + F.when(gate, F.least(total("symbol"), F.lit(3.0))).otherwise(0.0)
-    return per.groupBy("id", "domain", "topic").agg(F.round(score, 6).alias("score"))
+    return per.groupBy("id", "domain", "topic").agg(F.round(score, 6).alias("score"), ((n("alias") > 0) | (n("scene") > 0)).alias("anchored"))
 
 
 def symbol_boost(scores: DataFrame, samples: DataFrame, required: DataFrame, per_hit: float = 0.45, most: float = 2.2) -> DataFrame:
@@ -124,23 +156,47 @@ def rule_features(rules: DataFrame) -> DataFrame:
     return rules.join(trigger, "rule_no", "left").join(objects, "rule_no", "left").withColumns({"t": F.coalesce("t", empty), "o": F.coalesce("o", empty), "s": T.symbol_set(F.col("title"))})
 
 
-def rule_scores(samples: DataFrame, topics: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, topic_rank, topic_score, rule_id, is_meta, t_hits, o_hits, s_hits, score) of the rules of each sample's topics."""
-    f = rule_features(rules).select("domain", "topic", "rule_id", "is_meta", "support", "t", "o", "s")
+def rule_scores(samples: DataFrame, topics: DataFrame, rules: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """(id, topic_rank, topic_score, domain, topic, anchored, rule_id, is_meta, t_hits, o_hits, s_hits, neg_hits, llm_hits,
+    generic_only, score) of the rules of each sample's topics.
+
+    ``hints`` (rule_no, negatives, phrases, terms): keywords that speak against a rule, and a language model's phrases and
+    terms; a rule without a row, or with null lists, has none. generic_only: something is hit, but no trigger or object
+    but generic ones.
+    """
+    empty = F.array().cast("array<string>")
+    folded = lambda c: F.array_distinct(F.transform(F.coalesce(c, empty), lambda x: T.fold(T.norm_text(x))))
+    f = rule_features(rules)
+    if hints is None:
+        f = f.withColumns({"__neg": empty, "__terms": empty, "__phrases": F.array().cast("array<array<string>>")})
+    else:
+        own = hints.select("rule_no", folded("negatives").alias("__neg"), folded("terms").alias("__terms"), F.array_distinct(F.transform(F.coalesce("phrases", empty), T.loose_words)).alias("__phrases"))
+        f = f.join(small(own), "rule_no", "left")
+    f = f.select("domain", "topic", "rule_id", "is_meta", "support", "t", "o", "s", "__neg", "__terms", "__phrases")
     hay = spread(rule_text(samples).select("id", "hay"))
     pairs = topics.withColumnRenamed("score", "topic_score").join(small(f), ["domain", "topic"]).join(hay, "id")
-    hits = lambda c: F.size(F.filter(c, lambda s: T.contains_phrase(F.col("hay"), s)))
-    df = pairs.select("id", "topic_rank", "topic_score", "domain", "topic", "rule_id", "is_meta", "support", hits("t").alias("t_hits"), hits("o").alias("o_hits"), hits("s").alias("s_hits"))
+    hits = lambda c: F.filter(c, lambda s: T.contains_phrase(F.col("hay"), s))
+    size = lambda c: F.greatest(F.size(c), F.lit(0))  # noqa: E731  (of a null list: 0)
+    loose = F.filter("__phrases", lambda p: T.holds_loosely(F.col("hay"), p))
+    key = ["id", "topic_rank", "topic_score", "domain", "topic", "anchored", "rule_id", "is_meta"]
+    found = pairs.select(*key, "support", hits("t").alias("t"), hits("o").alias("o"), hits("s").alias("s"), size(hits("__neg")).alias("neg_hits"), size(hits("__terms")).alias("__n_terms"), size(loose).alias("__n_phrases"))
+    specific = lambda c: F.exists(c, lambda s: ~T.is_generic(s))
+    only = (F.size("t") + F.size("o") + F.size("s") > 0) & ~specific("t") & ~specific("o")
+    df = found.select(*key, "support", F.size("t").alias("t_hits"), F.size("o").alias("o_hits"), F.size("s").alias("s_hits"), "neg_hits", "__n_terms", "__n_phrases", (F.col("__n_terms") + F.col("__n_phrases")).alias("llm_hits"), only.alias("generic_only"))
     t, o, s, n = F.col("t_hits"), F.col("o_hits"), F.col("s_hits"), F.col("support")
     prior = F.when((n > 0) & ((t > 0) | (s > 0) | ((t + o + s >= 2) & (o > 0))), F.least(F.log2(n + 1.0), F.lit(3.0))).otherwise(0.0)
-    raw = F.least(3 * t, F.lit(9)) + F.least(2 * o, F.lit(6)) + F.least(2 * s, F.lit(4)) + prior
+    hint = (F.least(F.col("__n_phrases") * 2.5, F.lit(7.5)) + F.least(F.col("__n_terms") * 1.0, F.lit(4.0))) * F.when(t + o + s == 0, 0.35).otherwise(1.0)
+    raw = F.least(3 * t, F.lit(9)) + F.least(2 * o, F.lit(6)) + F.least(2 * s, F.lit(4)) + prior + hint
+    raw = F.greatest(raw - F.least(F.col("neg_hits") * 2.0, F.lit(8.0)), F.lit(0.0))
     meta = F.greatest(raw - 1.5, F.lit(0.0))
     score = F.when(~F.col("is_meta"), raw).when((t == 0) & (o == 0), F.greatest(meta - 0.5, F.lit(0.0))).otherwise(meta)
-    return df.withColumn("score", F.round(score, 6)).drop("support")
+    return df.withColumn("score", F.round(score, 6)).drop("support", "__n_terms", "__n_phrases")
 
 
-def rule_context(scored: DataFrame) -> DataFrame:
-    """``scored`` with gap, min_score, adjusted and margin, from how far a rule's topic lies behind the best one."""
+def rule_context(scored: DataFrame, min_delta: float = 0.0, bonus_delta: float = 0.0) -> DataFrame:
+    """``scored`` with gap, min_score, adjusted and margin, from how far a rule's topic lies behind the best one. Rules
+    about form and rules with generic hits only need more, the latter more yet in a topic that is not anchored. The
+    deltas are those of a tuning."""
     per = Window.partitionBy("id")
     top1 = F.max(F.when(F.col("topic_rank") == 1, F.col("topic_score"))).over(per)
     top2 = F.coalesce(F.max(F.when(F.col("topic_rank") == 2, F.col("topic_score"))).over(per), F.lit(0.0))
@@ -148,18 +204,21 @@ def rule_context(scored: DataFrame) -> DataFrame:
     first = F.col("topic_rank") == 1
     least = F.when(first, 1.0).when(gap <= 0.5, 4.0).when(gap <= 1.5, 6.0).when(gap <= 3, 7.0).otherwise(8.0)
     bonus = F.when(first, 1.5).when(gap <= 0.5, 0.0).when(gap <= 1.5, -0.75).when(gap <= 3, -1.75).otherwise(-2.5)
-    meta = F.col("is_meta").cast("int")
-    return scored.select("*", F.round(gap, 6).alias("gap"), (least + 0.5 * meta).alias("min_score"), F.round(F.col("score") + bonus - 0.75 * meta, 6).alias("adjusted"), F.round(top1 - top2, 6).alias("margin"))
+    meta, generic, adrift = F.col("is_meta").cast("int"), F.col("generic_only").cast("int"), (F.col("generic_only") & ~F.col("anchored")).cast("int")
+    least = least + 0.5 * meta + generic + 2.0 * adrift + min_delta
+    bonus = bonus - 0.75 * meta - generic - 1.5 * adrift + bonus_delta
+    return scored.select("*", F.round(gap, 6).alias("gap"), least.alias("min_score"), F.round(F.col("score") + bonus, 6).alias("adjusted"), F.round(top1 - top2, 6).alias("margin"))
 
 
-def select_rules(context: DataFrame, most: int = 6) -> DataFrame:
-    """The rules of each sample under quotas for topics behind the best one, with their place.
+def select_rules(context: DataFrame, most: int = 6, offline: bool = False) -> DataFrame:
+    """The rules of each sample under quotas for topics behind the best one, with their place. ``offline``: as a report on
+    the matching takes them, by adjusted score and without regard to their least score.
 
     margin >= 3: rules of the best topic only (or two others if it has none). Else a rule of another topic stays while
     its rank among them is within the quota of the margin, or while the best topic leaves room.
     """
-    ok = context.where((F.col("score") > 0) & (F.col("score") >= F.col("min_score")) & (F.col("adjusted") > 0))
-    order = [F.col("is_meta").cast("int"), F.desc("score"), F.col("domain"), F.col("topic"), F.col("rule_id")]
+    ok = context.where((F.col("score") > 0) if offline else (F.col("score") > 0) & (F.col("score") >= F.col("min_score")) & (F.col("adjusted") > 0))
+    order = [F.col("is_meta").cast("int"), F.desc("adjusted" if offline else "score"), F.col("domain"), F.col("topic"), F.col("rule_id")]
     first = F.col("topic_rank") == 1
     ok = ok.withColumn("is_first", first)
     ok = ok.withColumn("n_first", F.sum(F.col("is_first").cast("int")).over(Window.partitionBy("id"))).withColumn("r_side", F.row_number().over(Window.partitionBy("id", "is_first").orderBy(*order)))
