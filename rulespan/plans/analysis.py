@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import admission as N
 from ..operators import analysis as A
 from ..operators import location as L
 from ..operators.roles import RULES_SQL, SAMPLES_SQL, rules, samples, table
@@ -81,6 +82,26 @@ def experience_checks(spark: SparkSession, d: str) -> DataFrame:
     return A.run_checks(samples(spark, d).select("id", "prediction"), checks)
 
 
+#: Bodies of written checks, the admissible ones first.
+WRITTEN = [
+    "def check_{no}(sample):\n    return {{'result': 'pass' if sample['prediction'] else 'inconclusive'}}",
+    "```python\nimport re\ndef other(sample):\n    return {{'result': 'fail' if re.search('kg', sample['prediction']) else 'pass'}}\n```",
+    "def check_{no}(sample):\n    return {{'result': 'maybe'}}",
+    "def check_{no}(sample):\n    return eval('1')",
+    "def check_{no}(text):\n    return {{'result': 'pass'}}",
+    "def check_{no}(sample:\n    return 1",
+    "def check_{no}(sample):\n    return sample['missing']",
+]
+
+
+def admitted_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the checks written for the rules may run: one for each rule, tidied and tried."""
+    no = F.col("rule_no")
+    code = F.element_at(F.array(*(F.lit(w.format(no="{no}")) for w in WRITTEN)), (no % len(WRITTEN) + 1).cast("int"))
+    df = rules(spark, d).select("rule_id", F.concat(F.lit("check_"), no).alias("name"), F.replace(code, F.lit("{no}"), no.cast("string")).alias("code"))
+    return N.admitted(N.tidied(df)).select("rule_id", "reason", "admitted")
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
 
@@ -241,7 +262,7 @@ def ext_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed(table(spark, d, "events"))
 
 
-FUNCTIONS = [quote_locate_exact, quote_locate_cascade, paragraphs, span_iou_pairs, greedy_span_match, diag_dedupe, diag_caps, symbolic_primitives, primitive_checks, formula_parse, symbol_table, embedding_clusters, experience_checks, confusion_strict, question_metrics, domain_type_cube, fingerprint_distill, exact_dup_merge, heuristic_clusters, catalog_counts, catalog_diff, catalog_validate, orphan_rules, residual_chunks, cosine_edges, embedding_components, symbol_graph, hash_sample, stratified_splits, prefix_checkpoints, eval_audit_median, rollout_p95, dialogue_samples, ext_event_windows]
+FUNCTIONS = [quote_locate_exact, quote_locate_cascade, paragraphs, span_iou_pairs, greedy_span_match, diag_dedupe, diag_caps, symbolic_primitives, primitive_checks, formula_parse, symbol_table, embedding_clusters, experience_checks, admitted_checks, confusion_strict, question_metrics, domain_type_cube, fingerprint_distill, exact_dup_merge, heuristic_clusters, catalog_counts, catalog_diff, catalog_validate, orphan_rules, residual_chunks, cosine_edges, embedding_components, symbol_graph, hash_sample, stratified_splits, prefix_checkpoints, eval_audit_median, rollout_p95, dialogue_samples, ext_event_windows]
 
 _LOC = f"""WITH {SAMPLES_SQL}, q0 AS (SELECT id, prediction AS text, substr(prediction, CAST(floor(length(prediction) / 3) AS INT) + 1, 40) AS q FROM samples WHERE length(prediction) >= 60),
 q AS (SELECT id, text, CASE WHEN id % 2 = 1 THEN translate(q, 'abcdefgh', 'ABCDEFGH') ELSE q END AS quote FROM q0)"""
