@@ -94,10 +94,14 @@ def loose_words(phrase: Column) -> Column:
     return F.transform(F.filter(tokens(norm_text(phrase)), lambda t: keep_token(t) & (F.length(t) >= 4)), fold)
 
 
+def enough(hits: Column, words: Column, least: int = 2, share: float = 0.45) -> Column:
+    """Whether so many hits are enough of a phrase's words: 45 %, and two or more."""
+    return (F.size(words) > 0) & (hits >= F.greatest(F.lit(least), (F.size(words) * share + 0.5).cast("int")))
+
+
 def holds_loosely(hay: Column, words: Column, least: int = 2, share: float = 0.45) -> Column:
     """Whether enough of a phrase's :func:`loose_words` stand in a folded text: 45 %, and two or more."""
-    hits = F.size(F.filter(words, lambda t: F.contains(hay, t)))
-    return (F.size(words) > 0) & (hits >= F.greatest(F.lit(least), (F.size(words) * share + 0.5).cast("int")))
+    return enough(F.size(F.filter(words, lambda t: F.contains(hay, t))), words, least, share)
 
 
 def matches_loosely(hay: Column, phrase: Column, least: int = 2, share: float = 0.45) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .phrase_index import found_sets
 
 #: Signals and rules of a catalog that may be broadcast; a larger catalog is joined with a shuffle.
 MOST_SIGNALS = 50_000
@@ -81,24 +82,21 @@ def topic_hints(samples: DataFrame, hints: DataFrame) -> DataFrame:
     """(id, domain, topic, hint): what the hints of a language model add to a topic's score, where they add anything.
 
     ``hints`` (domain, topic, phrases, terms), one row a topic; a phrase is found loosely, a term as it is. Null lists
-    are empty ones. The hints are one array that is held against each text in place, so no text is repeated for topics.
+    are empty ones. Each distinct word and term is looked for once in a text; what is found is joined with the phrases
+    and terms that have it.
     """
-    empty = F.array().cast("array<string>")
-    if hints.limit(MOST_SIGNALS + 1).count() > MOST_SIGNALS:
-        raise ValueError("hints of more topics than can be matched in one pass: score the domains one by one")
-    words = F.array_distinct(F.transform(F.coalesce("phrases", empty), T.loose_words)).alias("phrases")
-    topic = F.struct("domain", "topic", words, F.array_distinct(F.transform(F.coalesce("terms", empty), lambda t: T.fold(T.norm_text(t)))).alias("terms"))
-    every = hints.select(topic.alias("h")).agg(F.collect_list("h").alias("hints"))
-    hay = F.col("hay")
-
-    def score(h: Column) -> Column:
-        phrases = F.size(F.filter(h["phrases"], lambda p: T.holds_loosely(hay, p)))
-        terms = F.size(F.filter(h["terms"], lambda t: T.contains_phrase(hay, t)))
-        return F.least(phrases * 3.0, F.lit(6.0)) + F.least(terms * 0.8, F.lit(5.0))
-
-    scored = F.transform("hints", lambda h: F.struct(h["domain"].alias("domain"), h["topic"].alias("topic"), score(h).alias("hint")))
-    per = spread(retrieval_text(samples).select("id", "hay")).join(F.broadcast(every)).select("id", F.explode(scored).alias("h"))
-    return per.select("id", "h.domain", "h.topic", "h.hint").where("hint > 0")
+    empty, key = F.array().cast("array<string>"), ["domain", "topic"]
+    terms = hints.select(*key, F.explode(F.array_distinct(F.transform(F.coalesce("terms", empty), lambda t: T.fold(T.norm_text(t))))).alias("phrase"))
+    loose = hints.select(*key, F.explode(F.array_distinct(F.transform(F.coalesce("phrases", empty), T.loose_words))).alias("words"))
+    words = loose.select(*key, "words", F.explode("words").alias("phrase"))
+    every = terms.select("phrase").unionByName(words.select("phrase")).distinct()
+    hits = found_sets(spread(retrieval_text(samples).select("id", "hay")), every).select("id", F.explode("found").alias("phrase"))
+    least = F.greatest(F.lit(2), (F.size("words") * 0.45 + 0.5).cast("int"))
+    by_phrase = hits.join(words.groupBy(*key, "words", "phrase").agg(F.count("*").alias("times")), "phrase").groupBy("id", *key, "words").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
+    by_term = hits.join(terms, "phrase")
+    both = by_phrase.select("id", *key, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(by_term.select("id", *key, F.lit(0).alias("p"), F.lit(1).alias("t")))
+    hint = F.least(F.sum("p") * 3.0, F.lit(6.0)) + F.least(F.sum("t") * 0.8, F.lit(5.0))
+    return both.groupBy("id", *key).agg(hint.alias("hint"))
 
 
 def with_hints(scores: DataFrame, found: DataFrame) -> DataFrame:
@@ -110,20 +108,13 @@ def with_hints(scores: DataFrame, found: DataFrame) -> DataFrame:
 def topic_scores(samples: DataFrame, signals: DataFrame) -> DataFrame:
     """(id, domain, topic, score, anchored) of every sample and topic; anchored if a name, an alias or a scene is hit.
 
-    Each distinct signal is looked for once in a text, single letters as one set; what is found is then joined with the
+    Each distinct signal is looked for once in a text, by :mod:`phrase_index`; what is found is then joined with the
     topics that have it. A mark that every topic has gives the topics without a hit their zero. Texts are dealt by id
     once, before the search; sums and ranks by id follow without a shuffle, and no text goes beyond the search.
     """
     w = weighted_signals(signals)
-    letter = F.col("signal").rlike("^[a-z]$")
-    distinct = w.select("signal").where("signal <> ''").distinct()
-    if distinct.limit(MOST_SIGNALS + 1).count() > MOST_SIGNALS:
-        raise ValueError("a catalog of more signals than can be matched in one pass: score its domains one by one")
-    every = distinct.agg(F.sort_array(F.collect_list(F.when(~letter, F.col("signal")))).alias("phrases"), F.collect_list(F.when(letter, F.col("signal"))).alias("letters"))
-    hay = spread(retrieval_text(samples).select("id", "hay")).join(F.broadcast(every))
-    alone = F.regexp_extract_all("hay", F.lit("(?<![a-z0-9_])([a-z])(?![a-z0-9_])"), F.lit(1))
-    found = F.concat(F.array(F.lit("")), F.filter("phrases", lambda s: F.contains(F.col("hay"), s)), F.array_intersect(alone, "letters"))
-    hits = hay.select("id", F.explode(found).alias("signal"))
+    found = found_sets(spread(retrieval_text(samples).select("id", "hay")), w.select(F.col("signal").alias("phrase")).distinct())
+    hits = found.select("id", F.explode(F.concat(F.array(F.lit("")), "found")).alias("signal"))
     marks = w.select("domain", "topic").distinct().select("domain", "topic", F.lit("none").alias("type"), F.lit("").alias("signal"), F.lit(0.0).alias("w"))
     per = hits.join(small(w.select("domain", "topic", "type", "signal", "w").unionByName(marks), 4 * MOST_SIGNALS), "signal")
     n = lambda kind: F.count_if(F.col("type") == kind)
@@ -173,11 +164,12 @@ def rule_scores(samples: DataFrame, topics: DataFrame, rules: DataFrame, hints:
         own = hints.select("rule_no", folded("negatives").alias("__neg"), folded("terms").alias("__terms"), F.array_distinct(F.transform(F.coalesce("phrases", empty), T.loose_words)).alias("__phrases"))
         f = f.join(small(own), "rule_no", "left")
     f = f.select("domain", "topic", "rule_id", "is_meta", "support", "t", "o", "s", "__neg", "__terms", "__phrases")
-    hay = spread(rule_text(samples).select("id", "hay"))
-    pairs = topics.withColumnRenamed("score", "topic_score").join(small(f), ["domain", "topic"]).join(hay, "id")
-    hits = lambda c: F.filter(c, lambda s: T.contains_phrase(F.col("hay"), s))
+    every = f.select(F.explode(F.concat("t", "o", "s", F.coalesce("__neg", empty), F.coalesce("__terms", empty), F.flatten(F.coalesce("__phrases", F.array().cast("array<array<string>>"))))).alias("phrase")).distinct()
+    found = found_sets(spread(rule_text(samples).select("id", "hay")), every)
+    pairs = topics.withColumnRenamed("score", "topic_score").join(small(f), ["domain", "topic"]).join(found, "id")
+    hits = lambda c: F.array_intersect(c, "found")
     size = lambda c: F.greatest(F.size(c), F.lit(0))  # noqa: E731  (of a null list: 0)
-    loose = F.filter("__phrases", lambda p: T.holds_loosely(F.col("hay"), p))
+    loose = F.filter("__phrases", lambda p: T.enough(F.size(F.filter(p, lambda w: F.array_contains(F.col("found"), w))), p))
     key = ["id", "topic_rank", "topic_score", "domain", "topic", "anchored", "rule_id", "is_meta"]
     found = pairs.select(*key, "support", hits("t").alias("t"), hits("o").alias("o"), hits("s").alias("s"), size(hits("__neg")).alias("neg_hits"), size(hits("__terms")).alias("__n_terms"), size(loose).alias("__n_phrases"))
     specific = lambda c: F.exists(c, lambda s: ~T.is_generic(s))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .analysis import ratio
+from .phrase_index import found_sets
 from .retrieval import small, spread
 
 #: Marks of error texts that speak about the reference answer, and of those that are not sure.
@@ -141,11 +142,10 @@ def applicable_specs(samples: DataFrame, specs: DataFrame, most: int = 3, long:
     """(id, spec_id, hits, long_hits, score, place): the ``most`` best specs of each sample (id, hay): two keywords, or one of
     ``long`` characters or more, stand in its text; hits plus twice the long ones less the spec's penalty.
 
-    ``specs`` (spec_id, keywords, penalty) are a catalog of bounded size. Each distinct keyword is looked for once in a text,
-    and what is found is joined with the specs that have it."""
+    ``specs`` (spec_id, keywords, penalty) may be of any number. Each distinct keyword is looked for once in a text, by
+    :mod:`phrase_index`, and what is found is joined with the specs that have it."""
     words = specs.select("spec_id", F.explode(F.transform("keywords", T.fold)).alias("k"), "penalty").where("k <> ''").withColumn("n", F.lit(1)).groupBy("spec_id", "penalty", "k").agg(F.sum("n").alias("n"))
-    every = words.select("k").distinct().agg(F.sort_array(F.collect_list("k")).alias("__k"))
-    found = spread(samples.select("id", "hay")).join(F.broadcast(every)).select("id", F.explode(F.filter("__k", lambda k: F.contains(F.col("hay"), k))).alias("k"))
+    found = found_sets(spread(samples.select("id", "hay")), words.select(F.col("k").alias("phrase")), alone=False).select("id", F.explode("found").alias("k"))
     hit = found.join(small(words), "k").groupBy("id", "spec_id", "penalty").agg(F.sum("n").alias("hits"), F.sum(F.when(F.length("k") >= long, F.col("n")).otherwise(0)).alias("long_hits"))
     df = hit.where("hits >= 2 OR long_hits >= 1")
     df = df.withColumn("score", F.col("hits") + 2 * F.col("long_hits") - F.col("penalty"))
