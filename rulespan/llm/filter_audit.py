@@ -15,6 +15,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.phrase_index import bitmap, may_hold
 from .shared import SPACE_CLASS, cut, let
 
 FILTERS = "ABCDE"
@@ -22,6 +23,8 @@ FILTERS = "ABCDE"
 FIRST_BLOCK, GROWTH = 64, 16
 #: A class of more than one ``HOT``-th of all rows is hot: there are fewer than ``HOT`` of them, however many rows there are.
 HOT = 2_000
+#: Bits of the bitmap of surviving classes, two megabytes: texts whose bit is not set are not shuffled.
+BITS = 1 << 24
 #: Members of a class that meet one copy of its smallest text.
 GROUP = 200
 
@@ -67,15 +70,15 @@ def _meet(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     return warm.unionByName(marked.where("mh IS NULL").drop("mh").join(classes.where(cold), ["n", "c"]))
 
 
-def identical(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id long, text string, neither null) whose text another document has too: doc_id, n (code points),
-    c (class of block hashes) and first, the smallest doc_id with this very text.
+def identical(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Documents whose text another document has too: doc_id, n, c and first, the smallest doc_id with this very text.
 
-    ``docs`` may hold an id more than once. Rows of one id, length and class count as one document.
+    ``docs`` has doc_id and text, ``blocks`` the same rows as doc_id, n (code points) and h (``block_hashes``); ids are
+    not null but may repeat. Rows of one id, length and class of blocks (c) count as one document.
     """
-    total = docs.count()
+    total = blocks.count()
     columns = ["doc_id", "n", "c", "h"]
-    rest = cut(docs.select("doc_id", F.length("text").alias("n"), F.lit(0).cast("long").alias("c"), block_hashes(F.col("text")).alias("h")), "audit-blocks")
+    rest = blocks.select("doc_id", "n", F.lit(0).cast("long").alias("c"), "h")
     k = 0
     while True:  # the class of length and the first k blocks; there are about log16(longest / 64) blocks
         classes = rest.groupBy("n", "c").agg(F.count("*").alias("m")).where("m > 1")
@@ -87,7 +90,8 @@ def identical(docs: DataFrame) -> DataFrame:
         k += 1
     found = rest.groupBy("doc_id", "n", "c").agg(F.first("m").alias("m"))
     text = docs.select("doc_id", F.length("text").alias("n"), _class(block_hashes(F.col("text"))).alias("c"), "text")
-    left = cut(text.join(found, ["doc_id", "n", "c"]).select("doc_id", "n", "c", "m", "text"), "audit-texts")
+    text = text.join(F.broadcast(bitmap(found, F.col("c"), BITS))).where(may_hold(F.col("bits"), F.col("c"), BITS)).drop("bits")
+    left = cut(text.join(found.hint("merge"), ["doc_id", "n", "c"]).select("doc_id", "n", "c", "m", "text"), "audit-texts")
     done = []
     while True:  # one pass, and one more for each text that shares all hashes with another one
         spread = F.ceil(F.col("m") / GROUP)
@@ -116,9 +120,10 @@ def masks(docs: DataFrame, part_col: str = "source") -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    copies = identical(base.where("doc_id IS NOT NULL").select("doc_id", "text")).where("doc_id > first")
-    judged = base.select("doc_id", "part", F.length("text").alias("n"), _class(block_hashes(F.col("text"))).alias("c"), own_failures(F.col("text")).alias("own"))
-    marked = judged.join(copies, ["doc_id", "n", "c"], "left")
+    hashes = block_hashes(F.col("text"))
+    judged = cut(base.select("doc_id", "part", F.length("text").alias("n"), hashes.alias("h"), own_failures(F.col("text")).alias("own")), "audit-judged")
+    copies = identical(base.where("doc_id IS NOT NULL").select("doc_id", "text"), judged.where("doc_id IS NOT NULL")).where("doc_id > first")
+    marked = judged.withColumn("c", _class(F.col("h"))).join(copies, ["doc_id", "n", "c"], "left")
     return marked.select("doc_id", "part", (F.col("own") + F.when(F.col("first").isNotNull(), 16).otherwise(0)).cast("int").alias("mask"))
 
 
