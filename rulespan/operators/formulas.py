@@ -210,20 +210,31 @@ def evaluate(code: Column, value: Callable[[Column], Column]) -> Column:
     return F.when(~F.isnan(found) & (F.abs(found) < 1e150), found)
 
 
-def root(code: Column, name: Column, value: Callable[[Column], Column], start: Column, steps: int = 40) -> Column:
-    """A value of ``name`` at which an equation holds, by secants from ``start``; null if they do not settle."""
+def root(code: Column, name: Column, value: Callable[[Column], Column], sign: Column, octaves: int = 30, steps: int = 52) -> Column:
+    """A value of ``name`` of the given ``sign`` at which an equation holds, by bisection; null if none is found.
+
+    Of the octaves 2^-30 to 2^30 in which the equation's two sides change places the one nearest to 1 is halved. A place where
+    they jump, as at a pole, is no root.
+    """
     at = lambda x: evaluate(code, lambda t: F.when(t == name, x).otherwise(value(t)))
-    state = lambda x0, f0, x1, f1: F.struct(x0.alias("x0"), f0.alias("f0"), x1.alias("x1"), f1.alias("f1"))
     once = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
+    tried = F.transform(F.sequence(F.lit(-octaves), F.lit(octaves)), lambda j: once(sign * F.pow(F.lit(2.0), j), lambda x: F.struct(F.abs(j).alias("j"), x.alias("x"), at(x).alias("f"))))
+
+    def halved(t: Column) -> Column:
+        change = lambda p, q: p["f"] * q["f"] <= 0
+        pairs = F.zip_with(F.slice(t, 1, 2 * octaves), F.slice(t, 2, 2 * octaves), lambda p, q: F.when(change(p, q), F.struct(F.least(p["j"], q["j"]).alias("j"), p["x"].alias("a"), q["x"].alias("b"), p["f"].alias("fa"), F.greatest(F.abs(p["f"]), F.abs(q["f"])).alias("size"))))
+        first = F.array_min(F.filter(pairs, lambda p: p.isNotNull()))
+
+        def step(s: Column, _: Column) -> Column:
+            def half(x: Column) -> Column:
+                same = F.signum(at(x)) == F.signum(s["fa"])
+                return F.struct(s["j"].alias("j"), F.when(same, x).otherwise(s["a"]).alias("a"), F.when(same, s["b"]).otherwise(x).alias("b"), s["fa"].alias("fa"), s["size"].alias("size"))
+
+            return F.when(s.isNotNull(), once((s["a"] + s["b"]) / 2, half))
 
-    def step(s: Column, _: Column) -> Column:
-        ahead = s["x1"] - F.try_divide(s["f1"] * (s["x1"] - s["x0"]), s["f1"] - s["f0"])
-        moved = once(ahead, lambda x: state(s["x1"], s["f1"], x, at(x)))
-        return F.when((s["f1"] == 0) | (s["x1"] == s["x0"]) | (s["f1"] == s["f0"]), s).otherwise(moved)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step, lambda s: once((s["a"] + s["b"]) / 2, lambda x: F.when(F.abs(at(x)) <= 1e-6 * s["size"], x)))
 
-    first = once(start, lambda x: state(x, at(x), x * 1.25, at(x * 1.25)))
-    settled = lambda s: F.when(s["f1"].isNotNull() & ((s["f1"] == 0) | (F.abs(s["x1"] - s["x0"]) <= F.abs(s["x1"]) * 1e-10)), s["x1"])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step, settled)
+    return once(tried, halved)
 
 
 def point(name: Column, k: Column) -> Column:
@@ -244,7 +255,7 @@ def fingerprints(df: DataFrame, code: str = "postfix", points: int = 4) -> DataF
     is_equation = F.element_at(c, -1) == "="
     own = df.withColumn("__solved", F.explode_outer(F.when(is_equation, F.col("__names"))))
     value = lambda k: lambda t: point(t, k)
-    found = F.transform(every, lambda k: F.when(is_equation, root(c, F.col("__solved"), value(k), F.when(k % 2 == 0, 1.1).otherwise(-1.1))).otherwise(evaluate(c, value(k))))
+    found = F.transform(every, lambda k: F.when(is_equation, root(c, F.col("__solved"), value(k), F.when(k % 2 == 0, 1.0).otherwise(-1.0))).otherwise(evaluate(c, value(k))))
     seen = own.withColumn("__values", F.transform(found, digits)).where(F.exists("__values", lambda v: v != "-") & (~is_equation | F.col("__solved").isNotNull()))
     key = F.concat_ws(" ", F.array_join("__names", ","), F.coalesce("__solved", F.lit("=")), F.array_join("__values", " "))
     return seen.withColumn("fingerprint", F.md5(key)).drop("__names", "__solved", "__values")
@@ -272,7 +283,7 @@ def power_laws(df: DataFrame, code: str = "postfix") -> DataFrame:
     """``df`` (…, dependent, independent) with exponent: p where an equation makes ``dependent`` a constant times
     ``independent`` to the power p, all other names being 1; else null. The ratio of its values must be the same at two places."""
     c, dep, ind = F.col(code), F.col("dependent"), F.col("independent")
-    at = lambda x: root(c, dep, lambda t: F.when(t == ind, x).otherwise(1.0), F.lit(1.1))
+    at = lambda x: root(c, dep, lambda t: F.when(t == ind, x).otherwise(1.0), F.lit(1.0))
     y = F.transform(F.array(*(F.lit(x) for x in (1.0, 2.0, 1.7, 3.4))), at)
     seen = df.withColumn("__y", F.when((F.element_at(c, -1) == "=") & F.array_contains(c, dep) & F.array_contains(c, ind) & (dep != ind), y))
     ratio = lambda a, b: F.try_divide(F.get("__y", F.lit(b)), F.get("__y", F.lit(a)))
