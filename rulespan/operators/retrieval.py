@@ -202,9 +202,9 @@ def rule_context(scored: DataFrame, min_delta: float = 0.0, bonus_delta: float =
     return scored.select("*", F.round(gap, 6).alias("gap"), least.alias("min_score"), F.round(F.col("score") + bonus, 6).alias("adjusted"), F.round(top1 - top2, 6).alias("margin"))
 
 
-def select_rules(context: DataFrame, most: int = 6, offline: bool = False) -> DataFrame:
+def select_rules(context: DataFrame, most: int = 6, offline: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """The rules of each sample under quotas for topics behind the best one, with their place. ``offline``: as a report on
-    the matching takes them, by adjusted score and without regard to their least score.
+    the matching takes them, by adjusted score and without regard to their least score. ``carry`` names further columns.
 
     margin >= 3: rules of the best topic only (or two others if it has none). Else a rule of another topic stays while
     its rank among them is within the quota of the margin, or while the best topic leaves room.
@@ -218,4 +218,4 @@ def select_rules(context: DataFrame, most: int = 6, offline: bool = False) -> Da
     far = F.col("margin") >= 3
     keep = F.when(far, F.col("is_first") | ((F.col("n_first") == 0) & (F.col("r_side") <= min(2, most)))).otherwise(F.col("is_first") | (F.col("n_first") < F.greatest(most - quota, F.lit(0))) | (F.col("r_side") <= quota))
     place = F.row_number().over(Window.partitionBy("id").orderBy(*order))
-    return ok.where(keep).withColumn("place", place).where(F.col("place") <= most).select("id", "place", "topic_rank", "rule_id", "score", "adjusted")
+    return ok.where(keep).withColumn("place", place).where(F.col("place") <= most).select("id", "place", "topic_rank", "rule_id", "score", "adjusted", *carry)

@@ -1,7 +1,7 @@
 """Whole queries, each with its SQL."""
 
-from . import analysis, catalog, navigation, retrieval, structure, upkeep, verify
+from . import analysis, catalog, full, navigation, retrieval, structure, upkeep, verify
 
-MODULES = (retrieval, analysis, navigation, catalog, verify, upkeep, structure)
+MODULES = (retrieval, analysis, navigation, catalog, verify, upkeep, structure, full)
 QUERIES = {f.__name__: f for m in MODULES for f in m.FUNCTIONS}
 ORACLES = {name: sql for m in MODULES for name, sql in m.SQL.items()}
