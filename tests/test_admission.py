@@ -33,6 +33,30 @@ def test_verdict(code, said):
     assert N.verdict("f", code).startswith(said)
 
 
+def test_a_check_that_never_ends():
+    for code in ("while True: pass\n" + GOOD, "def f(sample):\n    while True: pass"):
+        assert N.verdict("f", code, 1.0) == "probe_timeout"
+
+
+def test_all_faults_with_their_lines():
+    code = "def g(a):\n    import os\n    eval('1')\nclass B: pass\n"
+    assert N.faults("f", code) == [(1, "function_name_mismatch: g"), (1, "invalid_signature_args: ['a']"), (4, "banned_node: ClassDef"), (2, "banned_node: Import"), (3, "banned_call: eval")]
+
+
+@pytest.mark.parametrize(
+    ("code", "want"),
+    [
+        ("import os; x = 1\n" + GOOD, "import os; x = 1\n" + GOOD),
+        ("import numpy as np\n" + GOOD, "import numpy as np\n" + GOOD),
+        ("é = 1\nif é:\n    import re\n    def ü(sample): return é", "é = 1\nif é:\n\n    def f(sample): return é"),
+        ("text = 'def g(x)'\ndef h(sample): pass", "text = 'def g(x)'\ndef f(sample): pass"),
+        ("def g(sample:", "def g(sample:"),
+    ],
+)
+def test_tidy(code, want):
+    assert N.tidy("f", code) == want
+
+
 def test_tidied(spark):
     rows = [("f", "```python\nimport re\nfrom a import b\ndef g (sample):\n    return g_x  \n```"), (None, "def g(s): pass"), ("f", None), ("f", "no function")]
     got = [r.code for r in N.tidied(spark.createDataFrame(rows, "name string, code string")).collect()]
