@@ -89,6 +89,10 @@ def validate_blueprints(rules: DataFrame, blueprints: DataFrame, mode: str = "fu
     return both.select("topic_key", F.explode(F.array_compact(problems)).alias("problem"))
 
 
+#: Fixed value: what separates the parts of a scene.
+PART_ENDS = r"[()/,;:，；]+| and | of | with | - "
+
+
 def scene_keywords(topics: DataFrame, generic: list[str], most: int = 16) -> DataFrame:
     """``topics`` (key…, name, texts) with scenes: the name, the texts and their parts between punctuation, ``and``, ``of``,
     ``with`` and dashes, that say something: at most ``most``, each once.
@@ -99,7 +103,7 @@ def scene_keywords(topics: DataFrame, generic: list[str], most: int = 16) -> Dat
     text = lambda x: T.norm_text(x)
     said = lambda x: ~T.fold(x).isin([*generic, *T.LOW_SIGNAL]) & ~x.rlike("^[A-Z]{1,2}$") & (x != "")
     long = lambda x: said(x) & (F.contains(x, F.lit(" ")) | (F.length(x) >= 4))
-    parts = lambda x: F.filter(F.transform(F.split(x, r"(?i)[()/,;:，；]+| and | of | with | - "), text), long)
+    parts = lambda x: F.filter(F.transform(F.split(x, "(?i)" + PART_ENDS), text), long)
     name = text(F.col("name"))
     own = F.concat(F.filter(F.array(name), said), parts(name), F.flatten(F.transform("texts", lambda x: F.concat(F.filter(F.array(text(x)), long), parts(text(x))))))
     return topics.withColumn("scenes", F.slice(ordered_unique(own), 1, most))
