@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 4
+#: So few phrases are looked for one by one, which costs less than taking a text apart.
+MOST_DIRECT = 1_000
 #: Phrases whose index may be broadcast; a larger one is joined with a shuffle, behind a bitmap of fixed size.
 MOST_BROADCAST = 50_000
 #: Bits of that bitmap: half a megabyte, whatever the catalog.
@@ -51,18 +53,23 @@ def may_hold(bits: Column, key: Column, size: int = BITS) -> Column:
     return F.getbit(F.get(bits, F.floor(b / _WORD).cast("int")), (b % _WORD).cast("int")) == 1
 
 
-def candidates(texts: DataFrame, phrases: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+def _lengths(phrases: DataFrame) -> dict[int, int]:
+    """How many distinct phrases there are of each length up to ``GRAM``, longer ones counted with these."""
+    n = F.least(F.length("phrase"), F.lit(GRAM))
+    return {r["n"]: r["k"] for r in phrases.where("phrase <> ''").select(n.alias("n"), "phrase").groupBy("n").agg(F.count_distinct("phrase").alias("k")).collect()}
+
+
+def candidates(texts: DataFrame, phrases: DataFrame, lengths: dict[int, int], most: int = MOST_BROADCAST) -> DataFrame:
     """(id, met): for each text (id, hay) the phrases filed under one of its grams; texts that meet none have no row.
 
     Where ``texts`` are dealt by id and the index is broadcast, nothing of them is shuffled again. A larger index is
     joined by gram: only the grams whose bit is set go there, and AQE splits the partition of a gram that many texts hold.
     """
     filed = index(phrases)
-    lengths = phrases.where("phrase <> ''").select(F.least(F.length("phrase"), F.lit(GRAM)).alias("n"), "phrase").groupBy("n").agg(F.count_distinct("phrase").alias("k")).collect()
     if not lengths:
         return texts.select("id", F.array().cast("array<string>").alias("met")).limit(0)
-    own = F.concat(*(grams(F.col("hay"), r["n"]) for r in lengths))
-    if sum(r["k"] for r in lengths) <= most:
+    own = F.concat(*(grams(F.col("hay"), n) for n in sorted(lengths)))
+    if sum(lengths.values()) <= most:
         met = texts.select("id", F.explode(own).alias("gram")).join(F.broadcast(filed), "gram")
     else:
         held = texts.join(F.broadcast(bitmap(filed, F.col("gram")))).select("id", F.explode(F.filter(own, lambda g: may_hold(F.col("bits"), g))).alias("gram"))
@@ -70,16 +77,23 @@ def candidates(texts: DataFrame, phrases: DataFrame, most: int = MOST_BROADCAST)
     return met.groupBy("id").agg(F.collect_set("phrase").alias("met"))
 
 
-def found_sets(texts: DataFrame, phrases: DataFrame, alone: bool = True, most: int = MOST_BROADCAST) -> DataFrame:
+def found_sets(texts: DataFrame, phrases: DataFrame, alone: bool = True, most: int = MOST_BROADCAST, direct: int = MOST_DIRECT) -> DataFrame:
     """(id, found): for every text (id, hay; ids not null and distinct) the distinct phrases that stand in it as they are.
 
     ``alone``: a phrase that is one letter a-z counts only where no letter, digit or underscore stands next to it. Null
-    and empty phrases are found nowhere, a null text holds nothing.
+    and empty phrases are found nowhere, a null text holds nothing. Up to ``direct`` phrases are looked for one by one, more by
+    their index: the result is the same.
     """
     letter = (F.length("phrase") == 1) & F.col("phrase").rlike("[a-z]")
     long = phrases.select("phrase").where(~letter if alone else F.lit(True))
-    both = texts.join(candidates(texts, long, most), "id", "left")
+    lengths = _lengths(long)
+    if sum(lengths.values()) <= direct:
+        met = long.where("phrase <> ''").agg(F.collect_set("phrase").alias("met"))
+        both = texts.join(F.broadcast(met))
+    else:
+        both = texts.join(candidates(texts, long, lengths, most), "id", "left")
     found = F.filter(F.coalesce("met", F.array().cast("array<string>")), lambda s: F.contains(F.col("hay"), s))
+    found = F.when(F.col("hay").isNotNull(), found).otherwise(F.array().cast("array<string>"))
     if alone:
         letters = phrases.where(letter).agg(F.collect_set("phrase").alias("letters"))  # 26 at most
         single = F.regexp_extract_all("hay", F.lit("(?<![a-z0-9_])([a-z])(?![a-z0-9_])"), F.lit(1))

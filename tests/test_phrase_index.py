@@ -22,27 +22,27 @@ def texts_of(rng, n):
     return ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 3, 40, 300]))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
+@pytest.mark.parametrize(("most", "direct"), [(10**6, 10**6), (10**6, 0), (0, 0)])
 @pytest.mark.parametrize("alone", [True, False])
-def test_found_as_substrings(spark, most, alone):
+def test_found_as_substrings(spark, most, direct, alone):
     rng = random.Random(3)
     texts = [*texts_of(rng, 60), None, "", "a", "xa a_ ab", "the same", "the same"]
     phrases = [t[i : i + rng.choice([1, 2, 3, 4, 5, 9])] for t in texts[:60] for i in range(0, len(t), 17)] + ["a", "b", "z", "zzzz", "", None, "the ", "same", "a.b", "🙂"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, hay string")
     catalog = spark.createDataFrame([(p,) for p in phrases + phrases[:9]], "phrase string")
-    got = {r["id"]: r["found"] for r in P.found_sets(df, catalog, alone, most).collect()}
+    got = {r["id"]: r["found"] for r in P.found_sets(df, catalog, alone, most, direct).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert sorted(got[i]) == sorted(by_hand(t, phrases, alone))
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_nothing_to_find(spark, most):
+@pytest.mark.parametrize(("most", "direct"), [(10**6, 10**6), (10**6, -1), (0, -1)])
+def test_nothing_to_find(spark, most, direct):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "id int, hay string")
     for catalog in ([], [("",), (None,)]):
-        found = P.found_sets(df, spark.createDataFrame(catalog, "phrase string"), most=most)
+        found = P.found_sets(df, spark.createDataFrame(catalog, "phrase string"), most=most, direct=direct)
         assert {r["id"]: r["found"] for r in found.collect()} == {1: [], 2: []}
-    assert P.found_sets(df.limit(0), spark.createDataFrame([("abc",)], "phrase string"), most=most).isEmpty()
+    assert P.found_sets(df.limit(0), spark.createDataFrame([("abc",)], "phrase string"), most=most, direct=direct).isEmpty()
 
 
 def test_catalog_of_200_000_phrases(spark):
