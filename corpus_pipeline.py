@@ -1,7 +1,7 @@
 """Cleaning of a corpus in stages: each takes the documents that its predecessor kept.
 
 run() gives the packed pieces of what is left. The stages train a model, compare sketches and evolve groupings, which
-SQL cannot express; ORACLE_SQL is None and the tests hold every stage against brute force.
+SQL cannot express; ORACLE_SQL is None. The tests hold line dedup and near duplicates here against brute force, the others as operators.
 """
 
 from __future__ import annotations
