@@ -69,7 +69,7 @@ def verify_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def collect_findings(spark: SparkSession, d: str) -> DataFrame:
     diag = _candidates(spark, d).select("sample", "pos", "rule", "message", "quote")
-    checks = _checks(spark, d).select("sample", F.crc32(F.col("spec_id").cast("binary")).alias("pos"), F.substring("spec_id", 1, 2).alias("rule"), "result", F.lit("failed").alias("message"), F.lit("").alias("quote"))
+    checks = _checks(spark, d).select("sample", (2 * F.substring("spec_id", 2, 1).cast("int") + F.substring("spec_id", 4, 1).cast("int")).alias("pos"), F.substring("spec_id", 1, 2).alias("rule"), "result", F.lit("failed").alias("message"), F.lit("").alias("quote"))
     return V.findings(diag, checks)
 
 
@@ -180,5 +180,9 @@ SQL = {
         j AS (SELECT g.sample, g.no AS gt, p.no AS pred, coalesce(greatest(0, least(g.ge, p.pe) - greatest(g.gs, p.ps)), 0) AS o, coalesce(greatest(g.ge, p.pe) - least(g.gs, p.ps), 1) AS wide, coalesce(least(g.ge - g.gs, p.pe - p.ps), 60) AS shorter, g.gp = p.pp AS near, len(list_intersect(g.w, p.w)) AS shared FROM side g JOIN side p USING (sample)),
         k AS (SELECT *, CASE WHEN g.o > 0 AND (g.gt % 3 <> 0) AND (g.pred % 3 <> 2) THEN o ELSE 0 END AS ov FROM j g)
         SELECT sample, gt, pred, round(CASE WHEN ov > 0 THEN ov / wide ELSE 0 END, 6)::DOUBLE AS iou, round(CASE WHEN ov > 0 THEN ov / shorter ELSE 0 END, 6)::DOUBLE AS coverage, round(CASE WHEN ov > 0 THEN ov / wide + 0.01 * ov / shorter END, 6)::DOUBLE AS span_score, round(CASE WHEN near THEN shared + 1.05 END, 6)::DOUBLE AS paragraph_score FROM k WHERE ov > 0 OR near""",
+    "collect_findings": f"""{_D}, every AS (SELECT sample, 0 AS k, pos, 'diagnostic' AS source, rule, message AS text, quote FROM cand
+        UNION ALL SELECT sample, 1, 2 * substr(spec_id, 2, 1)::INT + substr(spec_id, 4, 1)::INT, 'check', rule, 'failed', '' FROM ran WHERE result = 'fail'),
+        one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample, source, rule, text, quote ORDER BY k, pos) AS n FROM every) WHERE n = 1)
+        SELECT sample, source, rule, text, quote, row_number() OVER (PARTITION BY sample ORDER BY k, pos) AS place FROM one""",
     "checker_score": f"{_D} SELECT sample, sum(CASE severity WHEN 'error' THEN -1.0 ELSE -0.5 END)::DOUBLE AS score, count(*) AS n FROM cand GROUP BY sample",
 }
