@@ -27,8 +27,7 @@ def _rollouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rollout_counts(spark: SparkSession, d: str) -> DataFrame:
-    r = _rollouts(spark, d)
-    return S.count_samples(r).crossJoin(S.count_samples(r, 4).select(F.col("n_samples").alias("n_capped")))
+    return S.count_samples(_rollouts(spark, d), n_capped=4)
 
 
 def eval_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -21,10 +21,12 @@ def question_of(metadata: Column, prompt: Column) -> Column:
     return F.coalesce(*given, said, F.trim(F.coalesce(prompt, F.lit(""))))
 
 
-def count_samples(rollouts: DataFrame, most: int | None = None) -> DataFrame:
-    """One row: n_rollouts and n_samples, each rollout's samples counted up to ``most``."""
+def count_samples(rollouts: DataFrame, most: int | None = None, **capped: int) -> DataFrame:
+    """One row: n_rollouts and n_samples, each rollout's samples counted up to ``most``; in the same pass a column for each name
+    of ``capped``, counted up to its number."""
     n = F.coalesce(F.size("samples"), F.lit(0))
-    return rollouts.agg(F.count("*").alias("n_rollouts"), F.coalesce(F.sum(n if most is None else F.least(n, F.lit(most))), F.lit(0)).alias("n_samples"))
+    total = lambda cap: F.coalesce(F.sum(n if cap is None else F.least(n, F.lit(cap))), F.lit(0))
+    return rollouts.agg(F.count("*").alias("n_rollouts"), total(most).alias("n_samples"), *(total(cap).alias(name) for name, cap in capped.items()))
 
 
 def indexed(rollouts: DataFrame, order: str, width: int = 65_536) -> DataFrame:
