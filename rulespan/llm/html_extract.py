@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -30,6 +30,8 @@ BAD_STEMS = re.compile("comment(?!ar)|footer|sidebar|newsletter|cookie|advert|sp
 HEAD_TAGS = frozenset("base basefont bgsound link meta title script style noscript template".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Marked sections that the parser knows, by what ends them: ``]]>`` or ``]>``.
+_SECTION = re.compile(r"<!\[(?:(cdata|temp|ignore|include|rcdata)|if|else|endif)(?![-_.a-z0-9])", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ENDS = re.compile(r"[.!?…。！？][\"'”’)\]]*$")
 
@@ -53,7 +55,8 @@ def _bad_name(names: set[str]) -> bool:
 
 class _Page(HTMLParser):
     """Blocks of a page in one pass. Open elements are a stack, and each knows the nearest block element around it, so
-    that the work grows with the page, however deeply and badly it is nested."""
+    that the work grows with the page, however deeply and badly it is nested. Comments and sections that never end are
+    text, and their end is looked for once."""
 
     def __init__(self, dropped: frozenset[str] = DROPPED) -> None:
         super().__init__(convert_charrefs=True)
@@ -67,6 +70,23 @@ class _Page(HTMLParser):
         self.dropped = False
         self.unclosed: set[str] = set()  # dropped elements that ended with one around them, or not at all
         self.low = 1  # the smallest height of the stack since the last block
+        self.endless: set[str] = set()  # kinds of markup whose end does not come any more
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return self.once("comment", super().parse_comment, i, report)
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        known = _SECTION.match(self.rawdata, i)
+        if not known:  # browsers end any other one at the next bracket
+            return self.rawdata.find(">", i) + 1 or -1
+        return self.once("section" if known[1] else "condition", super().parse_marked_section, i, report)
+
+    def once(self, kind: str, parse: Callable[[int, bool], int], i: int, report: bool) -> int:
+        """What ``parse`` gives, or -1 without another look where an earlier one of the kind has no end."""
+        end = -1 if kind in self.endless else parse(i, report)
+        if end < 0:
+            self.endless.add(kind)
+        return end
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -153,8 +173,11 @@ class _Page(HTMLParser):
 
 def blocks(html: str) -> list[Block]:
     """The blocks of text of a page in order. An element without text of its own that never closes, other than a script,
-    a style or a title, is read as if it had text: it must not swallow the page."""
+    a style or a title, is read as if it had text: it must not swallow the page. No tag can end behind the last ``>``;
+    what stands there is text."""
     dropped = DROPPED
+    last = html.rfind(">") + 1
+    html = html[:last] + html[last:].replace("<", "&lt;")
     while True:
         page = _Page(dropped)
         page.feed(html)
