@@ -4,10 +4,13 @@
    has cannot be in a band that a template has; they are dropped before windows are made.
 2. Windows over the places of the shingles overlap by two thirds, in a ladder of sizes: each template has a size of
    about its own length, so that its text lies whole in some window of that size.
-3. A window and a template meet if they agree in a band: the smallest value of one hash function over their shingles.
-   A window that holds 80 % of a template has a Jaccard similarity to it of 0.4 or more; with 40 bands of one row all
-   are missed with a probability below 1e-8.
-4. For every template retrieved for a document the exact share of its shingles that the whole document holds decides.
+3. A window and a template of its size meet if they agree in a band: the smallest value of one hash function over their
+   shingles. A window that holds 80 % of a template has a Jaccard similarity to it of 0.38 or more; with 40 bands of one
+   row all are missed with a probability below 1e-8.
+4. The exact share of the template's shingles inside that window decides; what is scattered over the text does not add up.
+5. Every place of the text goes to the template with the highest share around it, in a run no longer than the template;
+   the longer one of equals. A template that wins no more than half of its places in a window has another license's
+   wording there and is no match.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ TEMPLATES = [
 ]
 #: Words of a shingle, bands of a sketch (of one row each), and by how much the window sizes grow.
 WORDS, BANDS, GROWTH = 3, 40, 1.25
+#: Template shingles that are broadcast (32 MB); more are joined by a shuffle.
+BROADCAST_SHINGLES = 1_000_000
 
 
 def _hashes(text: Column) -> Column:
@@ -74,12 +79,12 @@ def window_size(n: Column) -> Column:
 
 
 def windows(held: DataFrame, sizes: list[int]) -> DataFrame:
-    """(key, size, window, x): the shingles ``held`` (key, pos, x) in every window that covers their place. Windows of a
-    size c are one and a half c long and start every half c."""
+    """(key, size, window, pos, x): the shingles ``held`` (key, pos, x) in every window that covers their place. Windows of
+    a size c are one and a half c long and start every half c."""
     size = F.explode(F.array(*(F.lit(c) for c in sizes))).alias("size")
     step = F.greatest(F.ceil(F.pow(F.lit(GROWTH), F.col("size")) / 2), F.lit(1))
     placed = held.select("key", "pos", "x", size).withColumn("__w", F.floor(F.col("pos") / step))
-    return placed.select("key", "size", F.explode(F.sequence(F.col("__w") - 2, F.col("__w"))).alias("window"), "x")
+    return placed.select("key", "size", F.explode(F.sequence(F.col("__w") - 2, F.col("__w"))).alias("window"), "pos", "x")
 
 
 def bands(sets: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,18 +93,42 @@ def bands(sets: DataFrame, keys: list[str]) -> DataFrame:
     return low.select(*keys, F.posexplode(F.array(*(F.col(f"b{i}") for i in range(BANDS)))).alias("band", "low"))
 
 
+def near_shares(spots: Column, n: Column) -> Column:
+    """(pos, near) of ``spots`` (pos, x): how many different x the best run of ``n`` places around each one holds."""
+    runs = F.transform(spots, lambda s: F.struct(s["pos"].alias("pos"), F.size(F.array_distinct(F.transform(F.filter(spots, lambda o: o["pos"].between(s["pos"], s["pos"] + n - 1)), lambda o: o["x"]))).alias("near")))
+    return let(runs, lambda all_runs: F.transform(all_runs, lambda s: F.struct(s["pos"].alias("pos"), F.array_max(F.transform(F.filter(all_runs, lambda o: s["pos"].between(o["pos"], o["pos"] + n - 1)), lambda o: o["near"])).alias("near"))))
+
+
+def placed_matches(inside: DataFrame, retrieved: DataFrame, templates: DataFrame, percent: int) -> DataFrame:
+    """(key, size, window, t_key, license, n, f, spots): the ``retrieved`` templates of which a window holds ``percent`` of
+    the shingles, and where. Both lists are no longer than a window, which grows with the template alone."""
+    at = ["key", "size", "window", "t_key"]
+    hits = inside.join(templates, ["size", "x"]).join(retrieved, at, "left_semi")
+    held = hits.groupBy(*at, "license", "n").agg(F.size(F.collect_set("x")).cast("long").alias("f"), F.collect_list(F.struct("pos", "x")).alias("spots"))
+    return held.where(100 * F.col("f") >= percent * F.col("n"))
+
+
+def winners(matches: DataFrame) -> DataFrame:
+    """(key, license, n, f): the ``matches`` that win more than half of their places."""
+    of = ["key", "size", "window", "t_key", "license", "n", "f"]
+    spots = matches.select(*of, F.inline(near_shares(F.col("spots"), F.col("n")))).withColumn("share", F.col("near") / F.col("n"))
+    first = F.max_by("t_key", F.struct("share", "n", -F.col("t_key"))).alias("first")
+    won = spots.join(spots.groupBy("key", "pos").agg(first), ["key", "pos"])
+    counted = won.groupBy(*of).agg(F.count("*").alias("held"), F.count_if(F.col("first") == F.col("t_key")).alias("own"))
+    return counted.where("2 * own > held").select("key", "license", "n", "f")
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] | None = None, percent: int = 80, words: int = WORDS) -> DataFrame:
     """(``id_col``, license, n_shingles, n_found): the licenses of each document, each with the best of its templates.
 
-    A license is reported if ``100 * n_found >= percent * n_shingles``, where n_shingles is the number of distinct
-    ``words``-word shingles of a template and n_found those of them that the whole document holds. A template of fewer
-    words is an error. Null, empty and short texts have none, texts of any length are read whole; documents without a
-    license give no row, repeated rows of an id are taken together, an empty table gives an empty result, and other
-    columns are not looked at. The templates are a parameter of at most 5000; they and their shingles are broadcast.
+    A template matches where ``100 * n_found >= percent * n_shingles``, n_shingles being the number of its distinct
+    ``words``-word shingles and n_found those of them that one window of the text holds; each place of the text counts for
+    one template only, the smaller number in the list where share and length are equal. A template of fewer words is an
+    error. Null, empty and short texts have none, texts of any length are read whole; documents without a license give
+    no row, repeated rows of an id are taken together, an empty table gives an empty result, and other columns are not
+    looked at. The templates are a parameter of any length; few are broadcast, many joined by a shuffle.
     """
     known = TEMPLATES if known is None else known
-    if len(known) > 5_000:
-        raise ValueError("more than 5000 templates: split the list")
     spark = docs.sparkSession
     t = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(known)], "key int, license string, text string")
     t_set = shingled(t.where(F.size(_hashes(F.col("text"))) > 0), F.col("key"), F.col("text"), words).select("key", F.array_distinct("s").alias("s"))
@@ -110,16 +139,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = [r[0] for r in index.select("size").distinct().orderBy("size").collect()]
     if not sizes:
         return docs.select(id_col).where("false").select(id_col, F.lit("").alias("license"), F.lit(0).cast(LongType()).alias("n_shingles"), F.lit(0).cast(LongType()).alias("n_found"))
+    of_list = F.broadcast if index.count() <= BROADCAST_SHINGLES else (lambda df: df)
 
     texts = shingled(docs, F.col(id_col), F.col(text_col), words)
     placed = texts.select("key", F.posexplode("s").alias("pos", "x"))
-    held = cut(placed.join(F.broadcast(index.select("x").distinct()), "x", "left_semi"), "license-places")
+    held = cut(placed.join(of_list(index.select("x").distinct()), "x", "left_semi"), "license-places")
 
-    of_window = bands(windows(held, sizes), ["key", "size", "window"])
+    inside = windows(held, sizes)
     of_template = bands(index.select("t_key", "size", "x"), ["t_key", "size"])
-    retrieved = of_window.join(F.broadcast(of_template), ["size", "band", "low"]).select("key", "t_key").distinct()
-
-    shares = held.select("key", "x").distinct().join(F.broadcast(index.select("t_key", "license", "n", "x")), "x").join(retrieved, ["key", "t_key"])
-    found = shares.groupBy("key", "t_key", "license", "n").agg(F.count("*").alias("f")).where(100 * F.col("f") >= percent * F.col("n"))
-    best = found.groupBy("key", "license").agg(F.max(F.struct((F.col("f") / F.col("n")).alias("share"), "n", "f")).alias("m"))
+    retrieved = bands(inside, ["key", "size", "window"]).join(of_list(of_template), ["size", "band", "low"]).select("key", "size", "window", "t_key").distinct()
+    matches = cut(placed_matches(inside, retrieved, of_list(index), percent), "license-matches")
+    best = winners(matches).groupBy("key", "license").agg(F.max(F.struct((F.col("f") / F.col("n")).alias("share"), "n", "f")).alias("m"))
     return best.select(F.col("key").alias(id_col), "license", F.col("m.n").alias("n_shingles"), F.col("m.f").alias("n_found"))
