@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -138,9 +139,27 @@ def _blocks(vectors: DataFrame, group: str) -> DataFrame:
     return dealt.groupBy(group, F.least("__b", "__o").alias("i"), F.greatest("__b", "__o").alias("j")).agg(F.collect_list(F.struct("id", "v", F.col("__b").alias("b"))).alias("rows"))
 
 
-def cosine_edges(vectors: DataFrame, group: str, least: float) -> DataFrame:
-    """(group, a, b) of vectors a < b of one group with a cosine of at least ``least``, compared as matrices of blocks."""
-    import numpy as np
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """The links of a spanning forest of a symmetric matrix of links, by breadth first search."""
+    left, out = np.ones(len(near), bool), []
+    for root in range(len(near)):
+        if not left[root]:
+            continue
+        left[root], todo = False, [root]
+        while todo:
+            m = todo.pop()
+            new = np.nonzero(near[m] & left)[0]
+            left[new] = False
+            out += [(m, n) for n in new]
+            todo += new.tolist()
+    return out
+
+
+def cosine_edges(vectors: DataFrame, group: str, least: float, forest: bool = False) -> DataFrame:
+    """(group, a, b) of vectors a < b of one group with a cosine of at least ``least``, compared as matrices of blocks.
+
+    With ``forest`` only so many of them that every pair of blocks stays connected as it is: fewer links than vectors.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -153,8 +172,8 @@ def cosine_edges(vectors: DataFrame, group: str, least: float) -> DataFrame:
                 near = np.triu(x @ x.T >= least, 1)
                 if i != j:
                     near &= b[:, None] != b[None, :]
-                p, q = np.nonzero(near)
-                out += [(g, min(ids[m], ids[n]), max(ids[m], ids[n])) for m, n in zip(p, q, strict=True)]
+                links = _forest(near | near.T) if forest else zip(*np.nonzero(near), strict=True)
+                out += [(g, min(ids[m], ids[n]), max(ids[m], ids[n])) for m, n in links]
             yield pd.DataFrame(out, columns=[group, "a", "b"])
 
     kind = {c.name: c.dataType.simpleString() for c in vectors.schema}
@@ -164,12 +183,11 @@ def cosine_edges(vectors: DataFrame, group: str, least: float) -> DataFrame:
 def topic_components(vectors: DataFrame, group: str, least: float) -> DataFrame:
     """(group, id, component): connected components of the threshold graph of each group, by the smallest id.
 
-    Labels spread over the edges of :func:`cosine_edges` and jump to the label of their label, until none changes; each
-    round is two equi-joins and is checkpointed, so that a lost executor costs one round.
+    Labels spread over forests of :func:`cosine_edges` and jump to the label of their label, until none changes; each
+    round is two equi-joins and is written to the shared folder, so that a lost executor costs one round.
     """
-    spark = vectors.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist(StorageLevel.DISK_ONLY))
-    e = cosine_edges(vectors, group, least).select("a", "b")
+    keep = lambda df: cut(df, "components")
+    e = cosine_edges(vectors, group, least, forest=True).select("a", "b")
     e = keep(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = keep(vectors.select("id", F.col("id").alias("label")))
     while True:

@@ -141,12 +141,23 @@ def span_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
+#: Characters of a stretch; two spans that overlap have one in common.
+STRETCH = 64
+
+
+def stretches(start: Column, end: Column) -> Column:
+    """The numbers of the stretches that a span touches; none for an empty or unknown span or one before the text."""
+    at = lambda c: F.floor(c / STRETCH)
+    return F.when((end > start) & (start >= 0), F.sequence(at(start), at(end - 1))).otherwise(F.array().cast("array<bigint>"))
+
+
 def match_candidates(truth: DataFrame, found: DataFrame, key: str = "sample") -> DataFrame:
     """(key, gt, pred, iou, coverage, span_score, paragraph_score) of the pairs of one sample that may match: spans that
     overlap score IoU and a hundredth of the better coverage; paragraphs that overlap, or have one number, score shared
     words, their own IoU and a twentieth of the better coverage.
 
-    Both sides: key, no, start, end, paragraph, p_start, p_end, words; nulls where a span or paragraph is unknown.
+    Both sides: key, no, start, end, paragraph, p_start, p_end, words; nulls where a span or paragraph is unknown. Only
+    what shares a stretch of text or a paragraph number meets, at the first that it shares.
     """
     g, p = (df.select(key, *(F.col(c).alias(f"{side}_{c}") for c in ("no", "start", "end", "paragraph", "p_start", "p_end", "words"))) for side, df in (("g", truth), ("p", found)))
     c = F.col
@@ -162,7 +173,19 @@ def match_candidates(truth: DataFrame, found: DataFrame, key: str = "sample") ->
     known = (c("g_paragraph") >= 1) & (c("p_paragraph") >= 1)
     near = known & (on_region | (c("g_paragraph") == c("p_paragraph")))
     score = F.size(F.array_intersect("g_words", "p_words")) + F.when(on_region, r_iou + 0.05 * r_cov).otherwise(0.0)
-    rows = g.join(p, key).where(F.coalesce(on_span, F.lit(False)) | F.coalesce(near, F.lit(False)))
+
+    def of_kind(kind: str, places: Column) -> Column:
+        return F.transform(places, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("n")))
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        number, none = c(f"{side}_paragraph"), F.array().cast("array<bigint>")
+        region = F.when(number >= 1, stretches(c(f"{side}_p_start"), c(f"{side}_p_end"))).otherwise(none)
+        numbers = F.when(number >= 1, F.array(number.cast("bigint"))).otherwise(none)
+        every = F.concat(of_kind("span", stretches(c(f"{side}_start"), c(f"{side}_end"))), of_kind("region", region), of_kind("number", numbers))
+        return df.withColumn(f"{side}_places", every).withColumn("__place", F.explode(f"{side}_places"))
+
+    met = placed(g, "g").join(placed(p, "p"), [key, "__place"]).where(c("__place") == F.get(F.array_intersect("g_places", "p_places"), F.lit(0)))
+    rows = met.where(F.coalesce(on_span, F.lit(False)) | F.coalesce(near, F.lit(False)))
     return rows.select(key, c("g_no").alias("gt"), c("p_no").alias("pred"), F.when(on_span, iou).otherwise(0.0).alias("iou"), F.when(on_span, cov).otherwise(0.0).alias("coverage"), F.when(on_span, iou + 0.01 * cov).alias("span_score"), F.when(near, score.cast("double")).alias("paragraph_score"))
 
 

@@ -43,8 +43,10 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 def span_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = _spans(spark, d)
-    gt, pred = s.select("sample", F.col("no").alias("gt"), "gs", "ge"), s.select("sample", F.col("no").alias("pred"), "ps", "pe")
-    return gt.join(pred, "sample").where("gs < pe AND ps < ge").select("sample", "gt", "pred", F.round(L.span_iou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")), 6).alias("iou"))
+    side = lambda name, a, b: s.select("sample", F.col("no").alias(name), a, b, F.explode(L.stretches(F.col(a), F.col(b))).alias("stretch"))
+    met = side("gt", "gs", "ge").join(side("pred", "ps", "pe"), ["sample", "stretch"])
+    first = F.floor(F.greatest("gs", "ps") / L.STRETCH)  # where both have begun: one of the stretches that they share
+    return met.where("gs < pe AND ps < ge").where(F.col("stretch") == first).select("sample", "gt", "pred", F.round(L.span_iou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")), 6).alias("iou"))
 
 
 def greedy_span_match(spark: SparkSession, d: str) -> DataFrame:

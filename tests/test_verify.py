@@ -1,12 +1,15 @@
 """Locations, error items, sources and gates against plain restatements on small tables."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rulespan import plans
 from rulespan.functions import text as T
+from rulespan.operators import analysis as A
 from rulespan.operators import location as L
 from rulespan.operators import upkeep as U
 from rulespan.operators import verify as V
@@ -153,3 +156,51 @@ def test_files(spark, tmp_path):
 def test_question(spark, prompt, meta, want):
     df = spark.createDataFrame([(prompt, meta)], "p string, m map<string,string>")
     assert df.select(S.question_of(F.col("m"), F.col("p"))).first()[0] == want
+
+
+def test_spans_meet_in_any_stretch(spark):
+    """Spans, regions and paragraph numbers of all lengths against a join of all pairs."""
+    rng = random.Random(5)
+
+    def side():
+        out = []
+        for i in range(80):
+            start, p_start = rng.choice([None, -3, rng.randrange(900)]), rng.choice([None, rng.randrange(900)])
+            end, p_end = (None if a is None else a + rng.choice([-5, 0, 1, 63, 64, 65, 400]) for a in (start, p_start))
+            out.append((i % 2, i // 3, start, end, rng.choice([None, -1, 0, 1, 2, 7]), p_start, p_end, rng.sample(["a", "b", "c"], 2)))
+        return out
+
+    def rows(g, p):
+        both = lambda a, b, c, d: 0 if None in (a, b, c, d) or min(a, c) < 0 else max(0, min(b, d) - max(a, c))
+        for a in g:
+            for b in p:
+                near = (a[4] or 0) >= 1 and (b[4] or 0) >= 1 and (a[4] == b[4] or both(a[5], a[6], b[5], b[6]))
+                if a[0] == b[0] and (near or both(a[2], a[3], b[2], b[3])):
+                    yield a[0], a[1], b[1]
+
+    shape = "sample int, no int, start int, end int, paragraph int, p_start int, p_end int, words array<string>"
+    gt, pred = side(), side()
+    got = L.match_candidates(spark.createDataFrame(gt, shape), spark.createDataFrame(pred, shape)).collect()
+    assert sorted((r["sample"], r["gt"], r["pred"]) for r in got) == sorted(rows(gt, pred))
+
+
+def test_forests_keep_components(spark):
+    """Groups that span several blocks, with a chain across them, nulls left out, against all links."""
+    rng = np.random.default_rng(3)
+    turn = np.linspace(0, 2.5, 700)
+    x = np.vstack([np.column_stack([np.cos(turn), np.sin(turn), 0 * turn]), rng.normal(size=(40, 3)), np.zeros((1, 3))])
+    df = spark.createDataFrame([("g" if i < 720 else "h", i, v.tolist()) for i, v in enumerate(x)], "label string, id int, v array<double>")
+    edges = A.cosine_edges(df, "label", 0.9999).select("a", "b").collect()
+    up = list(range(len(x)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    assert {(r["id"], r["component"]) for r in A.topic_components(df, "label", 0.9999).collect()} == {(i, root(i)) for i in range(len(x))}
+    few = A.cosine_edges(df, "label", 0.9999, forest=True).select("a", "b").collect()
+    assert len(few) < len(edges) and set(map(tuple, few)) <= set(map(tuple, edges))
