@@ -63,3 +63,29 @@ def test_rarest_gram(spark):
     catalog = spark.createDataFrame([("the cat",), ("the dog",), ("the",), ("the cats",)], "phrase string")
     filed = {r["phrase"]: r["gram"] for r in P.index(catalog).collect()}
     assert filed == {"the cat": " cat", "the dog": " dog", "the": "the", "the cats": "cats"}
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_bits_are_places(spark, alone):
+    rng = random.Random(8)
+    texts = [*texts_of(rng, 30), None, "", "the same-old day", "thesame-old", "a-b " + "z" * 300]
+    phrases = {t[i : i + 5] for t in texts[:30] for i in range(0, len(t), 17)} | {"a", "b", "same-old", "-", "z" * 200, "z" * 301, "day"}
+    own = P.listed(spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    assert own == sorted(p.encode() for p in phrases if p)
+    bits = P.found_bits(spark.createDataFrame(list(enumerate(texts)), "id int, hay string"), own, alone)
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(len(own) - 1)), lambda n: P.has_bit(F.col("found"), n))
+    got = {r["id"]: {own[n].decode() for n in r["n"]} for r in bits.select("id", numbers.alias("n")).collect()}
+    assert got == {i: by_hand(t, phrases, alone) for i, t in enumerate(texts)}
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    """A text costs its new words and not the catalog: none of 20,000 phrases is compared with the text."""
+
+    class Text(bytes):
+        def __contains__(self, other):
+            raise AssertionError("looked for one by one")
+
+    find = P._finder([b"word%d" % i for i in range(20_000)], True)
+    assert find(Text(b"xword77x word5, none")) == {5, 7, 77}
+    monkeypatch.setattr(P, "REMEMBERED", 2)
+    assert [find(t) for t in (b"word1 word2 word3", b"word1", b"word4 word1")] == [{1, 2, 3}, {1}, {1, 4}]

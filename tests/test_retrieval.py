@@ -77,3 +77,12 @@ def test_topic_hints(spark):
     scores = spark.createDataFrame([(1, "D", "A", 1.0), (2, "D", "A", 0.0)], "id int, domain string, topic string, score double")
     assert {r.id: r.score for r in R.with_hints(scores, found).collect()} == {1: 7.8, 2: 0.0}
     assert R.topic_hints(samples.limit(0), hints).isEmpty() and R.topic_hints(samples, hints.limit(0)).isEmpty()
+
+
+def test_large_and_small_catalogs_score_alike(spark, sf, monkeypatch):
+    """Rules by the numbers of what they look for, or, where there are too many, by its spelling."""
+    from rulespan.plans import retrieval as Q
+
+    want = sorted(map(tuple, Q.hinted_rules(spark, sf).collect()))
+    monkeypatch.setattr(R, "listed", lambda phrases: None)
+    assert want and sorted(map(tuple, Q.hinted_rules(spark, sf).collect())) == want
