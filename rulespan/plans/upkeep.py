@@ -103,7 +103,7 @@ def default_precision(spark: SparkSession, d: str) -> DataFrame:
 
 def flat_library(spark: SparkSession, d: str) -> DataFrame:
     r = rules(spark, d).select("rule_id", "title", "support")
-    knowledge = r.where("support % 2 = 0").withColumns({"title": F.upper("title"), "rule_id": F.when(F.col("support") == 2, F.concat(F.lit("k"), "rule_id")).otherwise(F.col("rule_id"))})
+    knowledge = r.where("support % 2 = 0").withColumns({"title": T.upper(F.col("title")), "rule_id": F.when(F.col("support") == 2, F.concat(F.lit("k"), "rule_id")).otherwise(F.col("rule_id"))})
     return U.library(r.where("support % 3 <> 1"), knowledge)
 
 
@@ -159,7 +159,8 @@ def applicable_specs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_quality(spark: SparkSession, d: str) -> DataFrame:
-    r = rules(spark, d).withColumns({"title": F.when(F.col("rule_no") % 5 < 2, "Same, title!").otherwise(F.col("title")), "required_symbols": T.symbol_set(F.when(F.col("rule_no") % 3 > 0, F.col("title")))})
+    r = rules(spark, d).withColumn("title", F.when(F.col("rule_no") % 5 < 2, "Same, title!").otherwise(F.col("title")))
+    r = r.withColumn("required_symbols", T.symbol_set(F.when(F.col("rule_no") % 3 > 0, F.col("title"))))
     return U.topic_quality(r)
 
 

@@ -52,3 +52,25 @@ def test_summary(spark):
     parsed = spark.createDataFrame([(1, 0, 0, "a = b"), (1, 1, 0, "c = d")], "key int, line int, no int, raw string")
     got = {r["key"]: (r["symbols"], r["formulas"], r["preview"]) for r in H.context_summary(texts, parsed, "key", "text", formulas=1, budget=9).collect()}
     assert got == {1: (["v_max:2"], ["a = b"], "v_max is "), 2: ([], [], ""), 3: ([], [], "")}
+
+
+def test_capitals_letter_by_letter(spark):
+    from rulespan.functions import text as T
+
+    rows = [("erßie ﬁ Éa\n🙂ǰ",), ("",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "x string").select(T.upper(F.col("x"))).collect()] == ["ERẞIE ﬁ ÉA\n🙂ǰ", "", None]
+
+
+def test_queries_on_sharp_s_and_own_titles(spark, tmp_path):
+    """Rules with ß in their words, and titles that are replaced before their symbols are read, as in the SQL."""
+    import duckdb
+
+    from rulespan import plans
+    from tests.test_queries import rows
+
+    texts = [(i, f"erßie {w} vier word{i} and more of it") for i, w in enumerate(["plain", "alpha", "ßa", "bare", "quiet", "x", "y", "long"] * 8)]
+    spark.createDataFrame(texts, "item_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    for name in ("flat_library", "strong_symbols", "topic_quality"):
+        assert rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(duck.sql(plans.ORACLES[name]).df()), name
