@@ -72,7 +72,7 @@ def _first(items: Column, limit: int) -> Column:
     return F.slice(items, 1, limit) if limit > 0 else items
 
 
-def verify_full(samples: DataFrame, rules: DataFrame, topics: DataFrame, selected: DataFrame, diagnostics: DataFrame, checks: Checks, mode: str = "strict", least: float = V.LEAST_SCORE, bridge: int = 4, per_topic: int = 0, per_paragraph: int = 2, per_sample: int = 12, ratio: float = 0.0) -> DataFrame:
+def verify_full(samples: DataFrame, rules: DataFrame, topics: DataFrame, selected: DataFrame, diagnostics: DataFrame, checks: Checks, mode: str = "strict", least: float = V.LEAST_SCORE, bridge: int = 4, per_topic: int = 0, per_paragraph: int = 2, per_sample: int = 12, ratio: float = 0.0, fold: Callable[[Column], Column] = T.fold) -> DataFrame:
     """(id, pos, rule, severity, message, quote, status, state, reasons): every diagnostic of every sample, published or with
     the reason why it was suppressed; every selected rule that its gate stops; and the findings of checks alone.
 
@@ -132,9 +132,9 @@ def verify_full(samples: DataFrame, rules: DataFrame, topics: DataFrame, selecte
     o = rows.select("id", F.explode("open").alias("o")).select("id", "o.d.*", *(c(f"o.s.{n}").alias(n) for n in ("score", "topic_rank", "min_publish_score", "gate_reasons", "evidence_requirements", "negative_conditions", "policy", "required_symbols")), "o.fails", "o.passes", "o.n_checks")
     o = V.quote_symbols(o, "quote", "required_symbols")
     status = F.when(c("fails"), "supported").when(c("passes"), F.when(c("symbol_ratio") >= 0.5, "quote_overlap").otherwise("refuted")).otherwise("none")
-    o = V.release_gate(o.withColumn("status", status), mode, ratio)
+    o = V.release_gate(o.withColumn("status", status), mode, ratio, fold)
     o = o.withColumn("state", F.when(c("status") == "refuted", "symbolic_check_refuted_original").when(~c("released"), "diagnostic_release_gate"))
-    best = Window.partitionBy("id", "open", T.fold(F.trim("quote")), "paragraph").orderBy(F.desc("score"), "pos")
+    best = Window.partitionBy("id", "open", fold(F.trim("quote")), "paragraph").orderBy(F.desc("score"), "pos")
     o = o.withColumn("open", c("state").isNull())
     o = o.withColumn("state", F.when(c("open") & (F.row_number().over(best) > 1), "duplicate_location_or_quote").otherwise(c("state")))
     sure = F.when(c("status") == "supported", 0).when(c("status") == "quote_overlap", 1).otherwise(2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,9 @@ LEAST_SCORE, INCONCLUSIVE_BONUS = 4.0, 2.0
 PROFILES, POLICIES = ("strict", "balanced", "recall"), ("suppress_on_pass", "suppress_on_inconclusive", "require_fail")
 
 
-def matched(needles: Column, hay: Column) -> Column:
-    """Those of ``needles`` that stand in a folded text."""
-    return F.filter(F.coalesce(needles, F.array().cast("array<string>")), lambda n: T.contains_phrase(hay, T.fold(n)))
+def matched(needles: Column, hay: Column, fold: Callable[[Column], Column] = T.fold) -> Column:
+    """Those of ``needles`` that stand in a text folded by ``fold``."""
+    return F.filter(F.coalesce(needles, F.array().cast("array<string>")), lambda n: T.contains_phrase(hay, fold(n)))
 
 
 def _some(items: Column) -> Column:
@@ -76,15 +78,15 @@ def reconcile(diagnostics: DataFrame, checks: DataFrame) -> DataFrame:
     return df.withColumn("status", status).drop("__fail", "__pass")
 
 
-def release_gate(df: DataFrame, mode: str = "strict", ratio: float = 0.0) -> DataFrame:
+def release_gate(df: DataFrame, mode: str = "strict", ratio: float = 0.0, fold: Callable[[Column], Column] = T.fold) -> DataFrame:
     """``df`` with reasons, why a diagnostic may not be released, in fixed order, and released.
 
     Columns: severity, message, quote, locatable, gate_reasons (null: the rule has no gate), evidence_requirements,
     negative_conditions, policy, status (of reconcile, or inconclusive), n_checks, score, min_publish_score, topic_rank
-    (from 0), required_symbols, symbol_ratio.
+    (from 0), required_symbols, symbol_ratio. ``fold`` says which spellings of a quote are the same.
     """
     c = F.col
-    quote = T.fold(F.trim(F.coalesce("quote", F.lit(""))))
+    quote = fold(F.trim(F.coalesce("quote", F.lit(""))))
     severity = F.lower(F.trim(F.coalesce("severity", F.lit(""))))
     strict = F.lit(mode == "strict")
     bar = F.coalesce("min_publish_score", F.lit(LEAST_SCORE)) + INCONCLUSIVE_BONUS
@@ -100,7 +102,7 @@ def release_gate(df: DataFrame, mode: str = "strict", ratio: float = 0.0) -> Dat
         F.when(quote == "", "missing_quote"), F.when(~F.coalesce("locatable", F.lit(False)), "unlocatable_quote"),
     )
     after = F.array(
-        F.when(_some(c("evidence_requirements")) & ~_some(matched(c("evidence_requirements"), quote)), "missing_required_evidence"), F.when(_some(matched(c("negative_conditions"), quote)), "quote_hits_negative_condition"), symbolic,
+        F.when(_some(c("evidence_requirements")) & ~_some(matched(c("evidence_requirements"), quote, fold)), "missing_required_evidence"), F.when(_some(matched(c("negative_conditions"), quote, fold)), "quote_hits_negative_condition"), symbolic,
         F.when(strict & (F.coalesce(F.size("required_symbols"), F.lit(0)) >= 2) & (quote != "") & (c("status") != "supported") & (c("symbol_ratio") < ratio), "quote_missing_required_symbols"),
     )
     gate = F.coalesce("gate_reasons", F.array(F.lit("missing_rule_publish_gate")))
