@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
 
 # Penalties of the quality score, as (metric, per unit, at most) and as (metric, holds, penalty).
 PER_UNIT = [("summary_problems", 1, 20), ("missing_logic", 1, 20), ("proposal_failures", 1, 5), ("empty_samples", 3, 10), ("broad_samples", 2, 8)]
@@ -35,7 +36,7 @@ def navigate_tree(catalog: DataFrame, judgments: list[DataFrame]) -> DataFrame:
         chosen = judged.where("relevant").select("id", *keys, score.alias("score")).join(catalog.select(*keys).distinct(), keys, "left_semi")
         if above is not None:
             chosen = chosen.join(above.select("id", *keys[:-1]), ["id", *keys[:-1]], "left_semi")
-        above = chosen.groupBy("id", *keys).agg(F.max("score").alias("score"))
+        above = cut(chosen.groupBy("id", *keys).agg(F.max("score").alias("score")), f"level{level}")  # read by its rows and by the next level
         place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), *keys))
         rows = above.select("id", F.lit(level).alias("level"), place.alias("place"), *(F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in LEVELS[-1]), "score")
         out = rows if out is None else out.unionByName(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..operators import catalog as C
+from ..operators.lineage import cut
 from ..operators.roles import RULES_SQL, rules, table
 from . import retrieval as R
 
@@ -48,7 +49,7 @@ def classify_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def navigate_tree(spark: SparkSession, d: str) -> DataFrame:
-    c = R._context(spark, d).select("id", "domain", "topic", F.concat(F.lit("c"), F.substring("rule_id", -1, 1)).alias("cluster_id"), "rule_id", "score")
+    c = cut(R._context(spark, d).select("id", "domain", "topic", F.concat(F.lit("c"), F.substring("rule_id", -1, 1)).alias("cluster_id"), "rule_id", "score"), "context")  # for all levels
     catalog = rules(spark, d).where("rule_no % 5 <> 0").select("domain", "topic", F.concat(F.lit("c"), F.substring("rule_id", -1, 1)).alias("cluster_id"), "rule_id")
     judged = lambda relevant, score: c.withColumns({"relevant": F.expr(relevant), "score": F.expr(score)})
     levels = [judged("domain <> 'D1'", "(id % 7) / 4D"), judged("(id + length(topic)) % 4 <> 0", "score / 10 - 0.1D"), judged("cluster_id <> 'c3'", "score / 20"), judged("true", "score / 8")]

@@ -86,3 +86,11 @@ def test_large_and_small_catalogs_score_alike(spark, sf, monkeypatch):
     want = sorted(map(tuple, Q.hinted_rules(spark, sf).collect()))
     monkeypatch.setattr(R, "listed", lambda phrases: None)
     assert want and sorted(map(tuple, Q.hinted_rules(spark, sf).collect())) == want
+
+
+@pytest.mark.parametrize(("name", "table"), [("navigate_tree", "documents"), ("merge_judgments", "documents"), ("sweep_grid", "documents"), ("rerank_rules", "documents"), ("inject_rules", "benchmark")])
+def test_context_is_made_once(spark, sf, name, table):
+    """What a query reads more than once of the scored rules is kept: its plan goes back to no text and no rule."""
+    from rulespan import plans
+
+    assert not [f for f in plans.QUERIES[name](spark, sf).inputFiles() if f"{table}.parquet" in f]
