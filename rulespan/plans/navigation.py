@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import navigation as N
+from ..operators.lineage import cut
 from ..operators.roles import RULES_SQL, rules, table
 from . import retrieval as R
 
@@ -23,7 +24,7 @@ def scenario_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_rules(spark: SparkSession, d: str) -> DataFrame:
-    c = R._context(spark, d).select("id", "rule_id", "score", "adjusted")
+    c = cut(R._context(spark, d).select("id", "rule_id", "score", "adjusted"), "context")  # orders are made of it, and ranked
     orders = c.groupBy("id").agg(F.sort_array(F.collect_list("rule_id")).alias("order"))
     return N.rerank_rules(c, orders, 6).select("id", "rule_id", F.round("adjusted", 6).alias("adjusted"), F.round("factor", 6).alias("factor"))
 
@@ -35,7 +36,7 @@ def rerank_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_judgments(spark: SparkSession, d: str) -> DataFrame:
-    c = R._context(spark, d).where("score > 0")
+    c = cut(R._context(spark, d).where("score > 0").select("id", "domain", "topic", "topic_rank", "rule_id", "score"), "judged")  # read four times
     by_cluster = c.where("rule_id LIKE '%1' OR rule_id LIKE '%4'").select("id", "domain", "topic", F.concat(F.lit("c"), F.substring("rule_id", -1, 1)).alias("cluster_id"), "rule_id", "score")
     clusters = by_cluster.select("id", "domain", "topic").unionByName(c.where("topic_rank = 2").select("id", "domain", "topic"))
     return N.merge_judgments(by_cluster, c.select("id", "domain", "topic", "rule_id", "score"), clusters)
