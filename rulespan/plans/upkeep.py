@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import location as L
 from ..operators import upkeep as U
+from ..operators.lineage import cut
 from ..operators.roles import RULES_SQL, SAMPLES_SQL, rules, samples, table
 from ..sources import rollouts as S
 from . import analysis as A
@@ -147,7 +148,7 @@ def srd_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inject_rules(spark: SparkSession, d: str) -> DataFrame:
-    chosen = R.quota_select(spark, d).select("id", "rule_id", "score")
+    chosen = cut(R.quota_select(spark, d).select("id", "rule_id", "score"), "chosen")  # itself, and what it lacks
     extra = samples(spark, d).select("id", F.concat(F.lit("exp_"), F.col("id") % 20).alias("rule_id"), F.lit(0.0).alias("score"))
     return U.inject_rules(chosen, extra, ["id", "rule_id"])
 
