@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Weights of the objective, and the margin up to which a sample's topics are close.
 WEIGHTS = {"outside": 1.0, "low_margin": 0.5, "generic": 0.25}
 LOW_MARGIN = 0.5
@@ -29,6 +31,7 @@ def sweep(scored: DataFrame, thresholds: list[float], penalties: list[float]) ->
     three as shares of all samples; place 1 is the least one, the first of the grid among equals. A sample without rows
     is unknown here; null scores count nowhere; without rows every share is null.
     """
+    scored = cut(scored.select("id", "topic_rank", "score", "margin", "generic_only"), "scored")  # counted by sample and by row
     side, score, generic = F.col("topic_rank") > 1, F.col("score"), F.coalesce(F.col("generic_only"), F.lit(False))
     best = lambda c: F.max(F.when(c, score))
     low = F.coalesce(F.min("margin") <= LOW_MARGIN, F.lit(False))
