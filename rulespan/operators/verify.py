@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import analysis as A
+from .phrase_index import found_sets
+from .retrieval import spread
 
 #: The least score of a rule behind a diagnostic, and what an inconclusive check adds to it.
 LEAST_SCORE, INCONCLUSIVE_BONUS = 4.0, 2.0
@@ -44,11 +46,18 @@ def precision_metadata(rules: DataFrame) -> DataFrame:
     })
 
 
+def held_conditions(texts: DataFrame, conditions: Column, rules: DataFrame) -> DataFrame:
+    """(id, held): which of the ``conditions`` of all ``rules`` (an array of theirs) stand in each text (id, hay; folded), each
+    looked for once in a text."""
+    return found_sets(spread(texts), rules.select(F.explode(F.transform(conditions, T.fold)).alias("phrase"))).withColumnRenamed("found", "held")
+
+
 def publish_gate(df: DataFrame, mode: str = "strict", least: float = LEAST_SCORE) -> DataFrame:
     """``df`` with min_publish_score, reasons (an ordered array) and published, for rows of a scored rule.
 
     Columns: score, min_score, is_meta, topic_rank (from 1), t_hits, o_hits, s_hits, llm_hits, generic_only, publishable,
-    profile, preconditions, violation_signatures, negative_conditions, hay (folded). ``score_only`` looks at the score alone.
+    profile, preconditions, violation_signatures, negative_conditions, and either held, as :func:`held_conditions` has it, or hay (folded), which repeats a text for each
+    of its rules. ``score_only`` looks at the score alone.
     """
     c = F.col
     bar = F.greatest(F.lit(least), c("min_score")) + F.when(c("is_meta"), 0.5).otherwise(0.0) + F.when(c("topic_rank") > 1, 1.0).otherwise(0.0) + F.when(c("profile") == "balanced", 0.5).when(c("profile") == "recall", 2.0).otherwise(0.0)
@@ -56,7 +65,7 @@ def publish_gate(df: DataFrame, mode: str = "strict", least: float = LEAST_SCORE
         reasons = F.array_compact(F.array(F.when(c("score") < least, "below_score_only_threshold")))
         bar = F.lit(least)
     else:
-        hits = lambda name: _some(matched(c(name), c("hay")))
+        hits = lambda name: F.coalesce(F.exists(c(name), lambda n: F.array_contains("held", T.fold(n))), F.lit(False)) if "held" in df.columns else _some(matched(c(name), c("hay")))
         reasons = F.array_compact(F.array(
             F.when(~c("publishable"), "rule_marked_unpublishable"), F.when(c("profile") == "recall", "recall_profile_not_publishable_in_strict_mode"), F.when(c("generic_only"), "generic_signal_only"),
             F.when((c("llm_hits") > 0) & (c("t_hits") + c("o_hits") + c("s_hits") == 0), "llm_hint_only"), F.when(_some(c("preconditions")) & ~hits("preconditions"), "missing_precondition_evidence"),

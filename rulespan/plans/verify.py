@@ -16,9 +16,11 @@ from . import retrieval as R
 def publish_gate(spark: SparkSession, d: str) -> DataFrame:
     """Rules of samples through the gate; profile and conditions follow from the number of a rule."""
     no = F.substring("rule_id", 5, 9).cast("int")
-    df = R._context(spark, d).join(R.R.rule_text(samples(spark, d)).select("id", "hay"), "id").withColumns({
+    conditions = {"preconditions": F.when(no % 3 == 0, F.array(F.lit("the"), F.lit("x"))), "violation_signatures": F.when(no % 3 == 1, F.array(F.lit("Sch"))), "negative_conditions": F.when(no % 7 == 2, F.array(F.lit("tion")))}
+    every = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in conditions.values()))
+    held = V.held_conditions(R.R.rule_text(samples(spark, d)).select("id", "hay"), every, rules(spark, d))
+    df = R._context(spark, d).join(held, "id").withColumns(conditions | {
         "llm_hits": F.when(no % 4 == 0, 1).otherwise(0), "generic_only": (no % 11 == 5) & (F.col("t_hits") > 0), "publishable": F.when(no % 17 == 3, "no").otherwise("yes"), "profile": F.when(no % 5 == 1, "Recall").when(no % 5 == 2, "balanced"), "policy": F.lit(None).cast("string"),
-        "preconditions": F.when(no % 3 == 0, F.array(F.lit("the"), F.lit("x"))), "violation_signatures": F.when(no % 3 == 1, F.array(F.lit("Sch"))), "negative_conditions": F.when(no % 7 == 2, F.array(F.lit("tion"))),
     })
     gated = V.publish_gate(V.precision_metadata(df))
     return gated.select("id", "rule_id", "min_publish_score", F.array_join("reasons", ",").alias("reasons"), "published")
