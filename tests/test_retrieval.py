@@ -94,3 +94,12 @@ def test_context_is_made_once(spark, sf, name, table):
     from rulespan import plans
 
     assert not [f for f in plans.QUERIES[name](spark, sf).inputFiles() if f"{table}.parquet" in f]
+
+
+def test_parts_of_texts_are_not_put_together(spark):
+    texts = spark.createDataFrame([(i, "a few words") for i in range(40)], "id int, hay string")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1 and R.spread(texts).rdd.getNumPartitions() == n
+    keywords = R.extract_keywords(texts, ["id"], R.F.col("hay"), 2)
+    keywords.collect()
+    assert keywords._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") and keywords.rdd.getNumPartitions() == n
