@@ -103,3 +103,11 @@ def test_parts_of_texts_are_not_put_together(spark):
     keywords = R.extract_keywords(texts, ["id"], R.F.col("hay"), 2)
     keywords.collect()
     assert keywords._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") and keywords.rdd.getNumPartitions() == n
+
+
+def test_unique_tokens_where_they_lie(spark):
+    """First spellings in their order, without a row for each token."""
+    df = spark.createDataFrame([(1, "The cat, the CAT 一二 x_1 X_1 é-the"), (2, " .,"), (3, None), (4, "b B a")], "id int, text string")
+    got = R.unique_tokens(df, "id", "text")
+    assert {r["id"]: r["tokens"] for r in got.collect()} == {1: "The cat 一二 x_1", 4: "b a"}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
