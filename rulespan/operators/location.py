@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .retrieval import spread
 
 SPAN = "struct<start:int, end:int, confidence:double, how:string, ambiguous:boolean>"
 
@@ -101,19 +102,32 @@ def paragraph_of(spans: DataFrame, bounds: DataFrame, key: str = "sample") -> Da
 def context_window(text: Column, start: Column, end: Column, left: int = 90, right: int = 120, most: int = 320) -> Column:
     """A struct (start, end): a span with ``left`` and ``right`` characters around it, grown to whole words by less than 50
     characters, cut to ``most`` around the middle, without white space at its ends; -1 for an invalid span."""
-    n = F.length(text)
-    s, e = F.greatest(F.lit(0), start - left), F.least(n, end + right)
+    n, at = F.length(text), lambda s, e: F.struct(s.alias("s"), e.alias("e"))
     room = lambda used, limit: F.greatest(F.lit(0), F.lit(limit + 50) - used)
-    back = F.length(F.regexp_extract(F.substring(text, F.greatest(F.lit(1), s - room(start - s, left) + 1), F.least(s, room(start - s, left))), r"(?U)\S*$", 0))
-    ahead = F.length(F.regexp_extract(F.substring(text, e + 1, room(e - end, right)), r"(?U)^\S*", 0))
-    s, e = s - back, e + ahead
-    middle = F.greatest(F.lit(0), F.floor((start + end) / 2).cast("int") - most // 2)
-    wide = e - s > most
-    s, e = F.when(wide, middle).otherwise(s), F.when(wide, F.least(n, middle + most)).otherwise(e)
-    own = F.substring(text, s + 1, e - s)
-    lead, tail = F.length(F.regexp_extract(own, r"(?U)^\s*", 0)), F.length(F.regexp_extract(own, r"(?U)\s*$", 0))
-    ok = (start >= 0) & (end > start) & (n > 0) & (lead < e - s)
-    return F.struct(F.when(ok, s + lead).otherwise(-1).cast("int").alias("start"), F.when(ok, e - tail).otherwise(-1).cast("int").alias("end"))
+
+    def grown(w: Column) -> Column:
+        s, e = w["s"], w["e"]
+        back = F.length(F.regexp_extract(F.substring(text, F.greatest(F.lit(1), s - room(start - s, left) + 1), F.least(s, room(start - s, left))), r"(?U)\S*$", 0))
+        ahead = F.length(F.regexp_extract(F.substring(text, e + 1, room(e - end, right)), r"(?U)^\S*", 0))
+        return at(s - back, e + ahead)
+
+    def shortened(w: Column) -> Column:
+        middle = F.greatest(F.lit(0), F.floor((start + end) / 2).cast("int") - most // 2)
+        wide = w["e"] - w["s"] > most
+        return at(F.when(wide, middle).otherwise(w["s"]), F.when(wide, F.least(n, middle + most)).otherwise(w["e"]))
+
+    def trimmed(w: Column) -> Column:
+        s, e = w["s"], w["e"]
+        own = F.substring(text, s + 1, e - s)
+        lead, tail = F.length(F.regexp_extract(own, r"(?U)^\s*", 0)), F.length(F.regexp_extract(own, r"(?U)\s*$", 0))
+        ok = (start >= 0) & (end > start) & (n > 0) & (lead < e - s)
+        return F.struct(F.when(ok, s + lead).otherwise(-1).cast("int").alias("start"), F.when(ok, e - tail).otherwise(-1).cast("int").alias("end"))
+
+    # Each step is computed once as an element of an array: written out at every use, the code of a row is more than is compiled.
+    w = F.array(at(F.greatest(F.lit(0), start - left), F.least(n, end + right)))
+    for step in (grown, shortened, trimmed):
+        w = F.transform(w, step)
+    return F.get(w, F.lit(0))
 
 
 def infer_paragraph(items: DataFrame, bounds: DataFrame, texts: DataFrame, key: str = "sample") -> DataFrame:
@@ -141,8 +155,10 @@ def span_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-#: Characters of a stretch; two spans that overlap have one in common.
-STRETCH = 64
+#: Characters of a stretch, and of one for paragraphs; two spans that overlap have one in common.
+STRETCH, WIDE_STRETCH = 64, 256
+#: The first stretch of a span that touches none.
+_NEVER = 1 << 40
 
 
 def stretches(start: Column, end: Column) -> Column:
@@ -162,31 +178,42 @@ def match_candidates(truth: DataFrame, found: DataFrame, key: str = "sample") ->
     g, p = (df.select(key, *(F.col(c).alias(f"{side}_{c}") for c in ("no", "start", "end", "paragraph", "p_start", "p_end", "words"))) for side, df in (("g", truth), ("p", found)))
     c = F.col
 
-    def overlap(a: str, b: str) -> tuple[Column, Column, Column]:
+    def overlap(name: str, a: str, b: str) -> dict[str, Column]:
+        """What two spans share, and whether they overlap, as columns: written out at every use it is more code than is compiled."""
         both = F.coalesce(F.least(c(f"g_{b}"), c(f"p_{b}")) - F.greatest(c(f"g_{a}"), c(f"p_{a}")), F.lit(0))
-        ok = (both > 0) & (c(f"g_{a}") >= 0) & (c(f"p_{a}") >= 0)
-        wide = F.greatest(c(f"g_{b}"), c(f"p_{b}")) - F.least(c(f"g_{a}"), c(f"p_{a}"))
-        return ok, both / wide, F.greatest(both / (c(f"g_{b}") - c(f"g_{a}")), both / (c(f"p_{b}") - c(f"p_{a}")))
+        return {name: both, f"{name}_ok": F.coalesce((both > 0) & (c(f"g_{a}") >= 0) & (c(f"p_{a}") >= 0), F.lit(False))}
 
-    on_span, iou, cov = overlap("start", "end")
-    on_region, r_iou, r_cov = overlap("p_start", "p_end")
-    known = (c("g_paragraph") >= 1) & (c("p_paragraph") >= 1)
-    near = known & (on_region | (c("g_paragraph") == c("p_paragraph")))
-    score = F.size(F.array_intersect("g_words", "p_words")) + F.when(on_region, r_iou + 0.05 * r_cov).otherwise(0.0)
+    def shares(name: str, a: str, b: str) -> tuple[Column, Column]:
+        """IoU, and the better coverage, of spans that overlap."""
+        wide = F.greatest(c(f"g_{b}"), c(f"p_{b}")) - F.least(c(f"g_{a}"), c(f"p_{a}"))
+        return c(name) / wide, F.greatest(c(name) / (c(f"g_{b}") - c(f"g_{a}")), c(name) / (c(f"p_{b}") - c(f"p_{a}")))
 
-    def of_kind(kind: str, places: Column) -> Column:
-        return F.transform(places, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("n")))
+    def touched(name: str, a: Column, b: Column, ok: Column, size: int) -> dict[str, Column]:
+        """The first and last stretch of a span as columns; of an unknown one such that it shares none."""
+        ok = ok & (b > a) & (a >= 0)
+        return {f"{name}_first": F.when(ok, F.floor(a / size)).otherwise(_NEVER), f"{name}_last": F.when(ok, F.floor((b - 1) / size)).otherwise(-1)}
 
+    # A place is one number: three times that of a stretch of the span, of a stretch of the paragraph plus 1, or of the paragraph plus 2.
     def placed(df: DataFrame, side: str) -> DataFrame:
-        number, none = c(f"{side}_paragraph"), F.array().cast("array<bigint>")
-        region = F.when(number >= 1, stretches(c(f"{side}_p_start"), c(f"{side}_p_end"))).otherwise(none)
-        numbers = F.when(number >= 1, F.array(number.cast("bigint"))).otherwise(none)
-        every = F.concat(of_kind("span", stretches(c(f"{side}_start"), c(f"{side}_end"))), of_kind("region", region), of_kind("number", numbers))
-        return df.withColumn(f"{side}_places", every).withColumn("__place", F.explode(f"{side}_places"))
-
-    met = placed(g, "g").join(placed(p, "p"), [key, "__place"]).where(c("__place") == F.get(F.array_intersect("g_places", "p_places"), F.lit(0)))
-    rows = met.where(F.coalesce(on_span, F.lit(False)) | F.coalesce(near, F.lit(False)))
-    return rows.select(key, c("g_no").alias("gt"), c("p_no").alias("pred"), F.when(on_span, iou).otherwise(0.0).alias("iou"), F.when(on_span, cov).otherwise(0.0).alias("coverage"), F.when(on_span, iou + 0.01 * cov).alias("span_score"), F.when(near, score.cast("double")).alias("paragraph_score"))
+        own, number = lambda x: c(f"{side}_{x}"), c(f"{side}_paragraph")
+        df = df.withColumns(touched(f"{side}_span", own("start"), own("end"), F.lit(True), STRETCH) | touched(f"{side}_region", own("p_start"), own("p_end"), number >= 1, WIDE_STRETCH))
+        none = F.array().cast("array<bigint>")
+        run = lambda x, kind: F.when(own(f"{x}_last") >= 0, F.sequence(3 * own(f"{x}_first") + kind, 3 * own(f"{x}_last") + kind, F.lit(3).cast("bigint"))).otherwise(none)
+        return df.withColumn("__place", F.explode(F.concat(run("span", 0), run("region", 1), F.when(number >= 1, F.array(3 * number.cast("bigint") + 2)).otherwise(none))))
+
+    low = lambda x: F.greatest(f"g_{x}_first", f"p_{x}_first")
+    share = lambda x: low(x) <= F.least(f"g_{x}_last", f"p_{x}_last")
+    first = F.when(share("span"), 3 * low("span")).when(share("region"), 3 * low("region") + 1).otherwise(3 * c("g_paragraph").cast("bigint") + 2)
+    met = placed(g, "g").join(placed(p, "p"), [key, "__place"]).where(c("__place") == first)
+    met = met.withColumns(overlap("__span", "start", "end") | overlap("__region", "p_start", "p_end"))
+    known = (c("g_paragraph") >= 1) & (c("p_paragraph") >= 1)
+    near = known & (c("__region_ok") | (c("g_paragraph") == c("p_paragraph")))
+    rows = met.withColumn("__near", F.coalesce(near, F.lit(False))).where("__span_ok OR __near")
+    iou, cov = shares("__span", "start", "end")
+    r_iou, r_cov = shares("__region", "p_start", "p_end")
+    rows = rows.withColumns({"iou": F.when(c("__span_ok"), iou).otherwise(0.0), "coverage": F.when(c("__span_ok"), cov).otherwise(0.0), "__region_score": F.when(c("__region_ok"), r_iou + 0.05 * r_cov).otherwise(0.0)})
+    score = F.size(F.array_intersect("g_words", "p_words")) + c("__region_score")
+    return rows.select(key, c("g_no").alias("gt"), c("p_no").alias("pred"), "iou", "coverage", F.when(c("__span_ok"), c("iou") + 0.01 * c("coverage")).alias("span_score"), F.when(c("__near"), score.cast("double")).alias("paragraph_score"))
 
 
 def greedy_match(pairs: DataFrame, key: str = "sample", least_iou: float = 0.5, least_coverage: float = 0.6) -> DataFrame:
@@ -194,26 +221,45 @@ def greedy_match(pairs: DataFrame, key: str = "sample", least_iou: float = 0.5,
 
     Each truth in its order takes the free prediction of the best span, the first on a tie; only where no free one
     overlaps its span, the best paragraph. A span counts with enough IoU or coverage; one that does not, blocks the
-    paragraph. The order matters, so that one sample's pairs, which are few, are matched in one call.
+    paragraph. The order matters, so that a sample's pairs go through one task in order; of these the task keeps only which
+    predictions are taken and the best pairs of one truth.
     """
+    names = [key, "gt", "pred", "iou", "coverage", "span_score", "paragraph_score"]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        by: dict[int, list[tuple]] = {}
-        for row in sorted(zip(f["gt"].tolist(), f["pred"].tolist(), f["iou"].tolist(), f["coverage"].tolist(), f["span_score"].tolist(), f["paragraph_score"].tolist(), strict=True)):
-            by.setdefault(row[0], []).append(row)
-        used, out = set(), []
-        for g, rows in by.items():
-            free = [r for r in rows if r[1] not in used]
-            spans = [r for r in free if r[4] == r[4]]  # not a NaN
-            near = [] if spans else [r for r in free if r[5] == r[5]]
-            best = max(spans, key=lambda r: r[4], default=None) or max(near, key=lambda r: r[5], default=None)
-            if best and (near or best[2] >= least_iou or best[3] >= least_coverage):
-                used.add(best[1])
-                out.append((f[key].iloc[0], g, best[1], 0.0 if near else best[2], "paragraph" if near else "span"))
-        return pd.DataFrame(out, columns=[key, "gt", "pred", "iou", "kind"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used, span, near = None, set(), None, None  # the truth whose pairs come, and the best free ones of it
+
+        def settled() -> list[tuple]:
+            if span and (span[1] >= least_iou or span[2] >= least_coverage):
+                row = (*at, *span[:2], "span")
+            elif near and not span:
+                row = (*at, near[0], 0.0, "paragraph")
+            else:
+                return []
+            used.add(row[2])
+            return [row]
+
+        for f in frames:
+            out = []
+            for sample, truth, pred, iou, coverage, s, p in zip(*(f[c].tolist() for c in names), strict=True):
+                if (sample, truth) != at:
+                    out += settled()
+                    if at is None or at[0] != sample:
+                        used = set()
+                    at, span, near = (sample, truth), None, None
+                if pred in used:
+                    continue
+                if s == s:  # not a NaN
+                    if span is None or s > span[3]:
+                        span = (pred, iou, coverage, s)
+                elif p == p and (near is None or p > near[1]):
+                    near = (pred, p)
+            yield pd.DataFrame(out, columns=[key, "gt", "pred", "iou", "kind"])
+        yield pd.DataFrame(settled(), columns=[key, "gt", "pred", "iou", "kind"])
 
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.groupBy(key).applyInPandas(run, f"`{key}` {kind[key]}, gt {kind['gt']}, pred {kind['pred']}, iou double, kind string")
+    ordered = spread(pairs.select(*names), key).sortWithinPartitions(key, "gt", "pred", "iou", "coverage")
+    return ordered.mapInPandas(run, f"`{key}` {kind[key]}, gt {kind['gt']}, pred {kind['pred']}, iou double, kind string")
 
 
 def quotes_of(rules: DataFrame, n: int = 40) -> DataFrame:

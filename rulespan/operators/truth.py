@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import location as L
+from .lineage import cut
 
 
 def _get(v: Column, name: str, kind: str) -> Column:
@@ -81,13 +82,15 @@ def filled(entries: DataFrame, texts: DataFrame) -> DataFrame:
     df = both.where(~lost).withColumn("__found", F.lit(False)).unionByName(found)
     before = F.expr("substring(__text, 1, start)")
     df = df.withColumn("line", F.when(c("span_valid") & (c("line") <= 0) & (c("start") >= 0) & c("__text").isNotNull(), F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).otherwise(c("line")))
-    bounds = L.paragraphs(texts, "sample", "text")
+    near_span = F.when(c("span_valid") & ~c("paragraph_valid"), L.context_window(c("__text"), c("start"), c("end")))
+    df = cut(df.withColumn("__w", near_span).drop("__text"), "located")  # what follows needs no text
+    bounds = cut(L.paragraphs(texts, "sample", "text"), "paragraphs")
     by_span = L.paragraph_of(df.where("span_valid AND NOT paragraph_valid").select("sample", "no", "start"), bounds).select("sample", "no", c("paragraph").alias("__p"))
     by_number = bounds.select(c("sample").alias("__k"), c("paragraph").alias("__n"), c("start").alias("__s"), c("end").alias("__e"))
     df = df.join(by_span, ["sample", "no"], "left")
     near = F.when(~c("paragraph_valid") & c("__p").isNull(), c("paragraph"))
     df = df.join(by_number, (c("sample") == c("__k")) & (near == c("__n")), "left")
-    w = L.context_window(c("__text"), c("start"), c("end"))
+    w = c("__w")
     spanned, declared = c("__p").isNotNull(), c("__n").isNotNull()
     out = df.withColumns({
         "paragraph": F.when(spanned, c("__p")).otherwise(c("paragraph")),

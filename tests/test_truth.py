@@ -103,3 +103,11 @@ def test_filled_declared_paragraphs_and_lost_texts(spark):
             assert got[1, e["no"]] == fill_by_hand(e, text)
     assert not got[2, 1]["locatable"] and got[3, 1]["locatable"] and got[3, 1]["start"] == 4
     assert G.filled(df.limit(0), spark.createDataFrame([(1, text)], "sample int, text string")).isEmpty()
+
+
+def test_texts_are_read_before_paragraphs(spark, sf):
+    """The texts, and the paragraphs of these, are read once: what is joined twice is written without them."""
+    from rulespan import plans
+
+    plan = plans.QUERIES["gt_filled"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "text" not in plan.replace("error_text", "").replace("text_from", "").replace("context", "")
