@@ -132,11 +132,12 @@ BLOCK = 256
 
 
 def _blocks(vectors: DataFrame, group: str) -> DataFrame:
-    """(group, i, j, rows): the pairs of blocks of each group, so that a group of any size is compared in bounded calls."""
+    """(group, i, j, id, v, b): each vector in every pair of blocks of its group that its own block ``b`` belongs to, so that a
+    group of any size is compared in bounded calls."""
     size = vectors.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
-    own = vectors.select(group, "id", "v").join(size, group).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
+    own = vectors.select(group, "id", "v").join(size, group).withColumn("b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
     dealt = own.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return dealt.groupBy(group, F.least("__b", "__o").alias("i"), F.greatest("__b", "__o").alias("j")).agg(F.collect_list(F.struct("id", "v", F.col("__b").alias("b"))).alias("rows"))
+    return dealt.select(group, F.least("b", "__o").alias("i"), F.greatest("b", "__o").alias("j"), "id", "v", "b")
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -161,23 +162,20 @@ def cosine_edges(vectors: DataFrame, group: str, least: float, forest: bool = Fa
     With ``forest`` only so many of them that every pair of blocks stays connected as it is: fewer links than vectors.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for g, i, j, rows in zip(f[group], f["i"], f["j"], f["rows"], strict=True):
-                ids, b = np.array([r["id"] for r in rows]), np.array([r["b"] for r in rows])
-                x = np.array([r["v"] for r in rows], float)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                x = x / np.where(norm > 0, norm, 1)
-                near = np.triu(x @ x.T >= least, 1)
-                if i != j:
-                    near &= b[:, None] != b[None, :]
-                links = _forest(near | near.T) if forest else zip(*np.nonzero(near), strict=True)
-                out += [(g, min(ids[m], ids[n]), max(ids[m], ids[n])) for m, n in links]
-            yield pd.DataFrame(out, columns=[group, "a", "b"])
-
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ids, b = f["id"].to_numpy(), f["b"].to_numpy()
+        x = np.array(f["v"].tolist(), float)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(norm > 0, norm, 1)
+        near = np.triu(x @ x.T >= least, 1)
+        if f["i"].iloc[0] != f["j"].iloc[0]:
+            near &= b[:, None] != b[None, :]
+        links = _forest(near | near.T) if forest else zip(*np.nonzero(near), strict=True)
+        return pd.DataFrame([(f[group].iloc[0], min(ids[m], ids[n]), max(ids[m], ids[n])) for m, n in links], columns=[group, "a", "b"])
+
+    # One pair of blocks is one call: rows that held whole pairs would reach Python in batches of thousands of pairs.
     kind = {c.name: c.dataType.simpleString() for c in vectors.schema}
-    return _blocks(vectors, group).mapInPandas(run, f"`{group}` {kind[group]}, a {kind['id']}, b {kind['id']}")
+    return _blocks(vectors, group).groupBy(group, "i", "j").applyInPandas(run, f"`{group}` {kind[group]}, a {kind['id']}, b {kind['id']}")
 
 
 def topic_components(vectors: DataFrame, group: str, least: float) -> DataFrame:
