@@ -52,7 +52,7 @@ def token_present(token: Column, low: Column, norm: Column) -> Column:
     """Whether a symbol stands in a text; short ones only between signs that are no letters or digits."""
     t, n = F.lower(token), normal_form(token)
     short = (F.length(F.regexp_replace(n, "[^a-z0-9]", "")) <= 3) & (n != "")
-    bounded = F.regexp_like(norm, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), n, F.lit(r"\E([^a-z0-9]|$)")))
+    bounded = F.contains(norm, n) & F.regexp_like(norm, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), n, F.lit(r"\E([^a-z0-9]|$)")))
     return F.when(t == "", False).when(short, bounded).otherwise(F.contains(low, t) | ((n != "") & F.contains(norm, n)))
 
 
@@ -64,15 +64,23 @@ def required_symbols(df: DataFrame, text: str, symbols: str) -> DataFrame:
     return df.withColumn("n_present", n).withColumn("result", result)
 
 
+def read_once(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with low and norm, a text in lower case and in normal form, for :func:`primitive`: made once for a text, before it
+    meets its primitives."""
+    own = F.coalesce(text, F.lit(""))
+    return df.withColumns({"low": F.lower(own), "norm": normal_form(own)})
+
+
 def primitive(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with result, of its primitive on a text: pass, fail or inconclusive.
+    """``df`` with result, of its primitive on a text: pass, fail or inconclusive. What :func:`read_once` adds is used if it is there.
 
     Columns: primitive, required_symbols, canonical, dependent, independent, phrases (arrays). formula_pattern passes if all
     symbols are there; equation_equivalence and inequality_consistency if a canonical form of four or more characters
     stands in the text, and fail if two thirds of the symbols (two at least) do without it; power_law fails if only one of
     the two sides is named; compliance_phrase passes on any phrase; required_symbols passes on all symbols, fails on none.
     """
-    low, norm = F.lower(F.coalesce(text, F.lit(""))), normal_form(F.coalesce(text, F.lit("")))
+    own = df if {"low", "norm"} <= set(df.columns) else read_once(df, text)
+    low, norm = F.col("low"), F.col("norm")
     given = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
     here = lambda c: F.filter(given(c), lambda x: token_present(x, low, norm))
     k, n = F.size(given("required_symbols")), F.size(here("required_symbols"))
@@ -88,7 +96,7 @@ def primitive(df: DataFrame, text: str) -> DataFrame:
         .when(p == "compliance_phrase", F.when(said, "pass"))
         .when(p == "required_symbols", F.when((k > 0) & (n == k), "pass").when((k > 0) & (n == 0), "fail"))
     )
-    return df.withColumn("result", F.coalesce(result, F.lit("inconclusive")))
+    return own.select(*df.columns, F.coalesce(result, F.lit("inconclusive")).alias("result"))
 
 
 def run_checks(samples: DataFrame, checks: dict[str, Callable[[dict], dict]]) -> DataFrame:

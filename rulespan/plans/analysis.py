@@ -214,8 +214,9 @@ PRIMITIVES = [("formula_pattern", "er|the"), ("equation_equivalence", "er|in|an"
 def primitive_checks(spark: SparkSession, d: str) -> DataFrame:
     """Each of the five primitives on every document, with words as symbols."""
     specs = F.explode(F.array(*(F.struct(F.lit(p).alias("primitive"), F.split(F.lit(w), r"\|").alias("w")) for p, w in PRIMITIVES))).alias("s")
-    df = samples(spark, d).select("id", "prediction", specs).select("id", "prediction", "s.primitive", F.col("s.w").alias("required_symbols"), F.slice("s.w", 1, 1).alias("dependent"), F.slice("s.w", 2, 1).alias("independent"), F.col("s.w").alias("phrases"), F.array(F.lit("then the")).alias("canonical"))
-    return A.primitive(df, "prediction").select("id", "primitive", "result")
+    texts = A.read_once(samples(spark, d).select("id", "prediction"), "prediction").drop("prediction")
+    df = texts.select("id", "low", "norm", specs).select("id", "low", "norm", "s.primitive", F.col("s.w").alias("required_symbols"), F.slice("s.w", 1, 1).alias("dependent"), F.slice("s.w", 2, 1).alias("independent"), F.col("s.w").alias("phrases"), F.array(F.lit("then the")).alias("canonical"))
+    return A.primitive(df, "low").select("id", "primitive", "result")
 
 
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -63,3 +63,15 @@ def test_stream_agrees_with_batch(spark, sf, tmp_path):
     q = windowed(read(spark, str(tmp_path / "in"), events)).writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("hours").toPandas()) == rows(windowed(events).toPandas())
+
+
+def test_texts_are_read_once_for_all_primitives(spark, sf):
+    plan = plans.QUERIES["primitive_checks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    before, _, after = plan.partition("Generate")
+    assert "text#" not in before and after.count("AS norm") == 1
+
+
+def test_lines_are_read_once_for_symbols(spark, sf):
+    """One pass over all lines, and two over those with a relation: of what is used, and of heads."""
+    plan = plans.QUERIES["symbol_graph"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 3
