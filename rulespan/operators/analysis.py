@@ -261,18 +261,24 @@ def formulas(df: DataFrame, key: str, text: str) -> DataFrame:
 def symbol_table(df: DataFrame, key: str, text: str, parsed: DataFrame) -> DataFrame:
     """(key, symbol, n_lines, n_used, n_defined): the symbols of each text, the lines that hold them as whole words, the
     formulas that use them and those that define them (their head)."""
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "x"))
-    found = lines.select(key, "line", F.explode(F.array_distinct(T.symbols(F.col("x")))).alias("symbol")).select(key, "symbol").distinct()
-    seen = lines.select(key, F.explode(F.array_distinct(F.filter(F.regexp_extract_all("x", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-Za-z][A-Za-z0-9_]*$")))).alias("symbol")).groupBy(key, "symbol").agg(F.count("*").alias("n_lines"))
+    lines = df.select(key, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("x"))
+    words = F.filter(F.regexp_extract_all("x", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-Za-z][A-Za-z0-9_]*$") & T.looks_like_symbol(w))
+    named = lines.select(key, F.array_distinct(words).alias("__words"), F.array_distinct(T.symbols(F.col("x"))).alias("__names"))
+    # A whole word that looks like a symbol is a symbol of its line: one pass finds both, and counts the lines of whole words only.
+    each = lambda c, n: F.transform(c, lambda w: F.struct(w.alias("symbol"), F.lit(n).alias("n")))
+    both = F.concat(each(F.col("__words"), 1), each(F.array_except("__names", "__words"), 0))
+    found = named.select(key, F.explode(both).alias("f")).groupBy(key, F.col("f.symbol").alias("symbol")).agg(F.sum("f.n").alias("n_lines"))
     used = parsed.select(key, F.explode("symbols").alias("symbol"), (F.array_contains("symbols", F.col("head")) & F.col("lhs").isNotNull()).alias("__d"), "head").groupBy(key, "symbol").agg(F.count("*").alias("n_used"), F.count_if(F.col("__d") & (F.col("head") == F.col("symbol"))).alias("n_defined"))
-    return found.join(seen, [key, "symbol"], "left").join(used, [key, "symbol"], "left").fillna(0, ["n_lines", "n_used", "n_defined"])
+    return found.join(used, [key, "symbol"], "left").fillna(0, ["n_used", "n_defined"])
 
 
 def graph_findings(parsed: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """(key, finding, symbol, n): formulas whose head is among several symbols of their own, short or underlined symbols
     that are used twice and never defined, and heads with different right sides."""
     defines = F.col("relation").isin("=", "≈", "~") & (F.col("head") != "")
-    own = parsed.where(defines & F.array_contains("symbols", F.col("head")) & (F.size("symbols") > 1)).groupBy(key, F.col("head").alias("symbol")).agg(F.count("*").alias("n")).select(key, F.lit("self_reference").alias("finding"), "symbol", "n")
+    itself = F.array_contains("symbols", F.col("head")) & (F.size("symbols") > 1)
+    heads = parsed.where(defines).groupBy(key, F.col("head").alias("symbol")).agg(F.count_if(itself).alias("__own"), F.count_distinct(F.when(F.col("rhs") != "", F.col("rhs"))).alias("__many"))
+    kinds = F.array(F.struct(F.lit("self_reference").alias("finding"), F.col("__own").alias("n"), F.lit(1).alias("least")), F.struct(F.lit("conflict").alias("finding"), F.col("__many").alias("n"), F.lit(2).alias("least")))
+    of_heads = heads.select(key, "symbol", F.explode(F.filter(kinds, lambda k: k["n"] >= k["least"])).alias("f")).select(key, "f.finding", "symbol", "f.n")
     loose = table.where(((F.length("symbol") <= 3) | F.contains("symbol", F.lit("_"))) & (F.col("n_defined") == 0) & (F.col("n_used") >= 2) & (F.col("n_lines") >= 2)).select(key, F.lit("used_not_defined").alias("finding"), "symbol", F.col("n_used").alias("n"))
-    many = parsed.where(defines & (F.col("rhs") != "")).groupBy(key, F.col("head").alias("symbol")).agg(F.count_distinct("rhs").alias("n")).where("n >= 2").select(key, F.lit("conflict").alias("finding"), "symbol", "n")
-    return own.unionByName(loose).unionByName(many)
+    return of_heads.unionByName(loose)
