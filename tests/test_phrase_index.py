@@ -89,3 +89,22 @@ def test_words_are_looked_up_once(monkeypatch):
     assert find(Text(b"xword77x word5, none")) == {5, 7, 77}
     monkeypatch.setattr(P, "REMEMBERED", 2)
     assert [find(t) for t in (b"word1 word2 word3", b"word1", b"word4 word1")] == [{1, 2, 3}, {1}, {1, 4}]
+
+
+def test_words_of_a_run_are_looked_up_at_once(monkeypatch):
+    calls, found = [], P._Keys.found
+    monkeypatch.setattr(P._Keys, "found", lambda self, text: calls.append(len(text)) or found(self, text))
+    (got,) = P._finders([b"word%d" % i for i in range(200)], True)([b"word%d xword%dx" % (i, i + 1) for i in range(100)])
+    assert len(calls) == 1
+    assert all({i, i + 1} <= set(got[i].nonzero()[0].tolist()) for i in range(100))
+
+
+@pytest.mark.parametrize("chunk", [16, 64, 1 << 20])
+def test_long_words_are_searched_in_pieces(monkeypatch, chunk):
+    rng = random.Random(9)
+    monkeypatch.setattr(P, "CHUNK", chunk)
+    texts = ["".join(rng.choice("abc é") if rng.random() < 0.02 else rng.choice("ab") for _ in range(rng.choice([1, 15, 16, 17, 33, 400]))) for _ in range(80)]
+    phrases = sorted({t[i : i + rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40])].encode() for t in texts for i in range(0, len(t), 9)} - {b""})
+    find = P._finder(phrases, True)
+    for t in texts:
+        assert {phrases[n].decode() for n in find(t.encode())} == by_hand(t, [p.decode() for p in phrases], True)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from rulespan import plans
 from rulespan.operators import retrieval as R
 
 RULES = "rule_no int, rule_id string, domain string, topic string, title string, trigger string, check_logic string, support int, is_meta boolean"
@@ -111,3 +112,19 @@ def test_unique_tokens_where_they_lie(spark):
     got = R.unique_tokens(df, "id", "text")
     assert {r["id"]: r["tokens"] for r in got.collect()} == {1: "The cat 一二 x_1", 4: "b a"}
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hints_and_signals_share_one_search(spark, sf):
+    plan = plans.QUERIES["hinted_topics"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_hinted_scores_are_scores_with_hints(spark):
+    r = spark.createDataFrame([(1, "r", "D", "T", "alpha beta", "gamma delta", "omega law", 1, False)], RULES)
+    samples = spark.createDataFrame([(1, "alpha beta", "", "gamma rotor"), (2, "rotor stator", "", ""), (3, None, None, None)], SAMPLES)
+    hints = spark.createDataFrame([("D", "T", ["rotor stator", "rotor gamma"], ["rotor", "law", ""]), ("D", "other", ["rotor stator"], ["rotor"])], "domain string, topic string, phrases array<string>, terms array<string>")
+    signals = R.topic_signals(r)
+    want = R.with_hints(R.topic_scores(samples, signals), R.topic_hints(samples, hints))
+    rows = lambda df: sorted(tuple(x) for x in df.select("id", "domain", "topic", "score", "anchored").collect())
+    got = rows(R.topic_scores(samples, signals, hints))
+    assert got == rows(want) and len(got) == 3
