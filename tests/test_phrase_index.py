@@ -108,3 +108,18 @@ def test_long_words_are_searched_in_pieces(monkeypatch, chunk):
     find = P._finder(phrases, True)
     for t in texts:
         assert {phrases[n].decode() for n in find(t.encode())} == by_hand(t, [p.decode() for p in phrases], True)
+
+
+def test_words_of_a_run_are_told_apart():
+    inner = bytes(chr(c).isalnum() and c < 128 for c in range(256))
+    text_of, words, code = P._words([b"", b"ab, ab-c", b"-", b"c", b"ab"], inner)
+    assert [(t, words[c]) for t, c in zip(text_of.tolist(), code.tolist())] == [(1, b"ab"), (1, b"ab"), (1, b"c"), (3, b"c"), (4, b"ab")]
+    assert len(words) == 2 and P._words([b"", b"-"], inner)[1] == []
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 1])
+def test_letters_are_found_in_words(monkeypatch, cells):
+    monkeypatch.setattr(P, "MOST_CELLS", cells)
+    phrases, texts = [b"a", b"ab", b"b", b"b,", b"x"], ["a b, ab ab éa", "ab aB", "xaé b", "", "ß"]
+    got = [{phrases[n].decode() for n in P._finder(phrases, True)(t.encode())} for t in texts]
+    assert got == [by_hand(t, [p.decode() for p in phrases], True) for t in texts]

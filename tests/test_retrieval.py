@@ -128,3 +128,11 @@ def test_hinted_scores_are_scores_with_hints(spark):
     rows = lambda df: sorted(tuple(x) for x in df.select("id", "domain", "topic", "score", "anchored").collect())
     got = rows(R.topic_scores(samples, signals, hints))
     assert got == rows(want) and len(got) == 3
+
+
+@pytest.mark.parametrize("name", ["quota_select"])
+def test_what_is_found_stays_dealt_by_id(spark, sf, name):
+    """After the search nothing is shuffled by id a second time, where Spark would put parts together by their few bytes."""
+    plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(id#" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
