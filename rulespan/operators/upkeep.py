@@ -149,7 +149,7 @@ def applicable_specs(samples: DataFrame, specs: DataFrame, most: int = 3, long:
     ``specs`` (spec_id, keywords, penalty) may be of any number. Each distinct keyword is looked for once in a text, by
     :mod:`phrase_index`, and what is found is joined with the specs that have it."""
     words = specs.select("spec_id", F.explode(F.transform("keywords", T.fold)).alias("k"), "penalty").where("k <> ''").withColumn("n", F.lit(1)).groupBy("spec_id", "penalty", "k").agg(F.sum("n").alias("n"))
-    found = found_sets(spread(samples.select("id", "hay")), words.select(F.col("k").alias("phrase")), alone=False).select("id", F.explode("found").alias("k"))
+    found = spread(found_sets(spread(samples.select("id", "hay")), words.select(F.col("k").alias("phrase")), alone=False)).select("id", F.explode("found").alias("k"))
     hit = found.join(small(words), "k").groupBy("id", "spec_id", "penalty").agg(F.sum("n").alias("hits"), F.sum(F.when(F.length("k") >= long, F.col("n")).otherwise(0)).alias("long_hits"))
     df = hit.where("hits >= 2 OR long_hits >= 1")
     df = df.withColumn("score", F.col("hits") + 2 * F.col("long_hits") - F.col("penalty"))

@@ -130,7 +130,7 @@ def test_hinted_scores_are_scores_with_hints(spark):
     assert got == rows(want) and len(got) == 3
 
 
-@pytest.mark.parametrize("name", ["quota_select"])
+@pytest.mark.parametrize("name", ["quota_select", "applicable_specs"])
 def test_what_is_found_stays_dealt_by_id(spark, sf, name):
     """After the search nothing is shuffled by id a second time, where Spark would put parts together by their few bytes."""
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
