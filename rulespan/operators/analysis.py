@@ -32,15 +32,18 @@ def dedupe_best(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def capped(df: DataFrame, sample: str, paragraph: str, order: list[Column], per_paragraph: int, per_sample: int) -> DataFrame:
-    """``df`` with dropped: null, over_paragraph_cap or over_sample_cap. A cap of zero or less is off."""
+def capped(df: DataFrame, sample: str, paragraph: str, order: list[Column], per_paragraph: int, per_sample: int, only: Column | None = None) -> DataFrame:
+    """``df`` with dropped: null, over_paragraph_cap or over_sample_cap. A cap of zero or less is off. Of rows where ``only`` is
+    not true nothing is dropped, and they count for no cap."""
     big = 2**31 - 1
     p, s = (x if x > 0 else big for x in (per_paragraph, per_sample))
-    df = df.withColumn("__p", F.row_number().over(Window.partitionBy(sample, paragraph).orderBy(*order)))
-    df = df.withColumn("__s", F.when(F.col("__p") <= p, F.row_number().over(Window.partitionBy(sample, F.col("__p") <= p).orderBy(*order))))
+    df = df.withColumn("__in", F.lit(True) if only is None else F.coalesce(only, F.lit(False)))
+    counts = F.col("__in") & (F.col("__p") <= p)
+    df = df.withColumn("__p", F.row_number().over(Window.partitionBy(sample, "__in", paragraph).orderBy(*order)))
+    df = df.withColumn("__s", F.when(counts, F.row_number().over(Window.partitionBy(sample, counts).orderBy(*order))))
     keep = F.coalesce(F.col("__s") <= s, F.lit(False))
-    kept = F.count_if(keep).over(Window.partitionBy(sample, paragraph))
-    return df.withColumn("dropped", F.when(keep, None).when(kept >= p, "over_paragraph_cap").otherwise("over_sample_cap")).drop("__p", "__s")
+    kept = F.count_if(keep).over(Window.partitionBy(sample, "__in", paragraph))
+    return df.withColumn("dropped", F.when(keep | ~F.col("__in"), None).when(kept >= p, "over_paragraph_cap").otherwise("over_sample_cap")).drop("__in", "__p", "__s")
 
 
 def normal_form(x: Column) -> Column:

@@ -70,11 +70,12 @@ def _anchors(x: Column) -> Column:
     return F.array(x, F.trim(F.substring_index(x, ":", 1)), F.trim(F.substring(x, 1, 80)))
 
 
-def anchored(text: Column, evidence: Column, message: Column, keywords: Column) -> Column:
+def anchored(text: Column, evidence: Column, message: Column, keywords: Column, low: Column | None = None) -> Column:
     """The first of a check's evidence, its message and six keywords of three or more characters that stands in a text, as it
-    is or without regard to case, with six or more characters; else null."""
+    is or without regard to case, with six or more characters; else null. ``low``: the text in lower case, if it is at hand."""
+    low = F.lower(text) if low is None else low
     words = F.slice(F.filter(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: F.length(k) >= 3), 1, 6)
-    stands = lambda c: (F.length(c) >= 6) & (F.contains(text, c) | F.contains(F.lower(text), F.lower(c)))
+    stands = lambda c: (F.length(c) >= 6) & (F.contains(text, c) | F.contains(low, F.lower(c)))
     return F.get(F.filter(F.concat(_anchors(evidence), _anchors(message), words), stands), F.lit(0))
 
 
@@ -90,7 +91,7 @@ def bottom_up(samples: DataFrame, topics: DataFrame, checks: DataFrame, results:
     tried = topics.distinct().join(_first_checks(checks, limit) if limit > 0 else checks, ["domain", "topic"]).select("sample", "rule_id").distinct()
     failed = results.where("result = 'fail'").join(tried, ["sample", "rule_id"], "left_semi").join(covered, ["sample", "rule_id"], "left_anti")
     rows = failed.join(samples.select("sample", "text"), "sample").join(keywords.select("rule_id", "keywords"), "rule_id", "left")
-    rows = rows.withColumn("__low", F.lower("text")).withColumn("quote", anchored(F.col("text"), F.col("evidence"), F.col("message"), F.col("keywords")))
+    rows = rows.withColumn("__low", F.lower("text")).withColumn("quote", anchored(F.col("text"), F.col("evidence"), F.col("message"), F.col("keywords"), F.col("__low")))
     exact, loose = F.expr("locate(quote, text)"), F.expr("locate(lower(quote), __low)")
     start = F.coalesce(F.when(exact > 0, exact).otherwise(loose) - 1, F.lit(-1))
     message = F.substring(F.concat(F.lit("check failed: "), F.coalesce("message", F.lit(""))), 1, 300)

@@ -2,7 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from rulespan.operators import full_verify as V
+from rulespan.operators.analysis import capped
 
 SELECTED = "id int, rule_id string, domain string, topic string, score double, topic_rank int, min_publish_score double, gate_reasons array<string>, evidence_requirements array<string>, negative_conditions array<string>, policy string, required_symbols array<string>"
 TEXT = "The total energy is conserved because no force acts on it."
@@ -80,3 +83,27 @@ def test_one_dealing_by_sample(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     first = plan[plan.index("Window [") : plan.index("ArrowEvalPython")]
     assert re.findall(r"Exchange (\S+)\(", first) == ["hashpartitioning"] and "REPARTITION_BY_COL" in first
+
+
+def test_checks_run_once(spark):
+    """What is published and what is suppressed come of one pass: checks, gate and caps are not worked out for each again."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = V.verify_full(*tables(spark, [("r", 9.0, [], [])], [("r", "q", 1)], ["fails"]), CHECKS)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+
+
+def test_bridge_is_by_the_rules_topic(spark):
+    """Also where that is none of the sample's topics."""
+    df = V.verify_full(*tables(spark, [("unchecked", 9.0, [], ["energy"])], [("unchecked", "a force", 1)], ["fails"], topics=()), CHECKS)
+    assert states(df) == [(0, "unchecked", "published", "supported")]
+
+
+def test_caps_of_some_rows(spark):
+    """Rows that are out of the running take no place and are not dropped."""
+    rows = [(1, 0, 5, True), (1, 0, 9, False), (1, 0, 4, True), (1, 0, 3, None), (1, 1, 2, True), (1, 2, 1, True)]
+    df = capped(spark.createDataFrame(rows, "id int, p int, score int, open boolean"), "id", "p", [F.desc("score")], 1, 2, F.col("open"))
+    assert {(r["score"], r["dropped"]) for r in df.collect()} == {(5, None), (9, None), (4, "over_paragraph_cap"), (3, None), (2, None), (1, "over_sample_cap")}
