@@ -51,9 +51,10 @@ def normal_form(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\\[a-z]+", " "), r"[\\{}$^_~`\s]+", " "))
 
 
-def token_present(token: Column, low: Column, norm: Column) -> Column:
-    """Whether a symbol stands in a text; short ones only between signs that are no letters or digits."""
-    t, n = F.lower(token), normal_form(token)
+def token_present(token: Column, low: Column, norm: Column, own: Column | None = None) -> Column:
+    """Whether a symbol stands in a text; short ones only between signs that are no letters or digits. ``own``: the symbol's
+    normal form, if it is at hand."""
+    t, n = F.lower(token), normal_form(token) if own is None else own
     short = (F.length(F.regexp_replace(n, "[^a-z0-9]", "")) <= 3) & (n != "")
     bounded = F.contains(norm, n) & F.regexp_like(norm, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), n, F.lit(r"\E([^a-z0-9]|$)")))
     return F.when(t == "", False).when(short, bounded).otherwise(F.contains(low, t) | ((n != "") & F.contains(norm, n)))

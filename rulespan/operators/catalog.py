@@ -75,8 +75,9 @@ def anchored(text: Column, evidence: Column, message: Column, keywords: Column,
     is or without regard to case, with six or more characters; else null. ``low``: the text in lower case, if it is at hand."""
     low = F.lower(text) if low is None else low
     words = F.slice(F.filter(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: F.length(k) >= 3), 1, 6)
-    stands = lambda c: (F.length(c) >= 6) & (F.contains(text, c) | F.contains(low, F.lower(c)))
-    return F.get(F.filter(F.concat(_anchors(evidence), _anchors(message), words), stands), F.lit(0))
+    ascii_only = lambda c: F.octet_length(c) == F.length(c)  # noqa: E731  (what holds such a one holds it in lower case too)
+    stands = lambda c: (F.length(c) >= 6) & (F.contains(low, F.lower(c)) | (~ascii_only(c) & F.contains(text, c)))
+    return F.get(F.filter(F.array_distinct(F.concat(_anchors(evidence), _anchors(message), words)), stands), F.lit(0))
 
 
 def bottom_up(samples: DataFrame, topics: DataFrame, checks: DataFrame, results: DataFrame, covered: DataFrame, keywords: DataFrame, limit: int = 0) -> DataFrame:

@@ -29,10 +29,13 @@ def _some(items: Column) -> Column:
 def quote_symbols(df: DataFrame, quote: str, required: str) -> DataFrame:
     """``df`` with symbol_hits, those of the ``required`` symbols that a quote holds, and symbol_ratio, their share (0 if
     none is required or the quote is empty)."""
-    low, norm = F.lower(F.coalesce(quote, F.lit(""))), A.normal_form(F.coalesce(quote, F.lit("")))
-    own = F.coalesce(required, F.array().cast("array<string>"))
-    hits = F.when(low == "", F.array().cast("array<string>")).otherwise(F.filter(own, lambda s: A.token_present(s, low, norm)))
-    return df.withColumn("symbol_hits", hits).withColumn("symbol_ratio", F.when(F.size(own) > 0, F.size(hits) / F.size(own)).otherwise(0.0))
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"__low": F.lower(F.coalesce(quote, F.lit(""))), "__norm": A.normal_form(F.coalesce(quote, F.lit("")))})
+    own = F.transform(F.coalesce(required, none), lambda s: F.struct(s.alias("s"), A.normal_form(s).alias("n")))  # a symbol's normal form is made once
+    hits = F.transform(F.filter(own, lambda x: A.token_present(x["s"], F.col("__low"), F.col("__norm"), x["n"])), lambda x: x["s"])
+    df = df.withColumn("symbol_hits", F.when(F.col("__low") == "", none).otherwise(hits))
+    n = F.size(F.coalesce(required, none))
+    return df.withColumn("symbol_ratio", F.when(n > 0, F.size("symbol_hits") / n).otherwise(0.0)).drop("__low", "__norm")
 
 
 def precision_metadata(rules: DataFrame) -> DataFrame:
@@ -87,15 +90,17 @@ def reconcile(diagnostics: DataFrame, checks: DataFrame) -> DataFrame:
     return df.withColumn("status", status).drop("__fail", "__pass")
 
 
-def release_gate(df: DataFrame, mode: str = "strict", ratio: float = 0.0, fold: Callable[[Column], Column] = T.fold) -> DataFrame:
+def release_gate(df: DataFrame, mode: str = "strict", ratio: float = 0.0, fold: Callable[[Column], Column] = T.fold, only: Column | None = None) -> DataFrame:
     """``df`` with reasons, why a diagnostic may not be released, in fixed order, and released.
 
     Columns: severity, message, quote, locatable, gate_reasons (null: the rule has no gate), evidence_requirements,
     negative_conditions, policy, status (of reconcile, or inconclusive), n_checks, score, min_publish_score, topic_rank
-    (from 0), required_symbols, symbol_ratio. ``fold`` says which spellings of a quote are the same.
+    (from 0), required_symbols, symbol_ratio. ``fold`` says which spellings of a quote are the same. Rows where ``only`` is
+    not true are released as they are.
     """
     c = F.col
-    quote = fold(F.trim(F.coalesce("quote", F.lit(""))))
+    df = df.withColumns({"__quote": fold(F.trim(F.coalesce("quote", F.lit("")))), "__message": T.norm_text(c("message"))})  # made once for all tests
+    quote = c("__quote")
     severity = F.lower(F.trim(F.coalesce("severity", F.lit(""))))
     strict = F.lit(mode == "strict")
     bar = F.coalesce("min_publish_score", F.lit(LEAST_SCORE)) + INCONCLUSIVE_BONUS
@@ -107,7 +112,7 @@ def release_gate(df: DataFrame, mode: str = "strict", ratio: float = 0.0, fold:
         .when(~c("status").isin("supported", "quote_overlap", "inconclusive") & (c("policy") == "require_fail") & (c("n_checks") > 0), "symbolic_fail_required")
     )
     before = F.array(
-        F.when(~severity.isin(*(("error", "warning") if mode == "balanced" else ("error",))), "severity_not_error"), F.when(T.is_negative(c("message"), severity), "negative_or_uncertain_diagnostic"),
+        F.when(~severity.isin(*(("error", "warning") if mode == "balanced" else ("error",))), "severity_not_error"), F.when(T.says_nothing(c("__message"), severity), "negative_or_uncertain_diagnostic"),
         F.when(quote == "", "missing_quote"), F.when(~F.coalesce("locatable", F.lit(False)), "unlocatable_quote"),
     )
     after = F.array(
@@ -116,7 +121,8 @@ def release_gate(df: DataFrame, mode: str = "strict", ratio: float = 0.0, fold:
     )
     gate = F.coalesce("gate_reasons", F.array(F.lit("missing_rule_publish_gate")))
     reasons = F.array_distinct(F.array_compact(F.concat(before, gate, after)))
-    return df.withColumns({"reasons": reasons, "released": F.size(reasons) == 0})
+    reasons = reasons if only is None else F.when(only, reasons).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("reasons", reasons).withColumn("released", F.size("reasons") == 0).drop("__quote", "__message")
 
 
 def verify(candidates: DataFrame, checks: DataFrame, mode: str = "strict", least: float = LEAST_SCORE, per_paragraph: int = 2, per_sample: int = 12, ratio: float = 0.0) -> DataFrame:

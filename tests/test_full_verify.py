@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rulespan.operators import full_verify as V
 from rulespan.operators.analysis import capped
+from rulespan.operators.catalog import anchored
 
 SELECTED = "id int, rule_id string, domain string, topic string, score double, topic_rank int, min_publish_score double, gate_reasons array<string>, evidence_requirements array<string>, negative_conditions array<string>, policy string, required_symbols array<string>"
 TEXT = "The total energy is conserved because no force acts on it."
@@ -107,3 +108,15 @@ def test_caps_of_some_rows(spark):
     rows = [(1, 0, 5, True), (1, 0, 9, False), (1, 0, 4, True), (1, 0, 3, None), (1, 1, 2, True), (1, 2, 1, True)]
     df = capped(spark.createDataFrame(rows, "id int, p int, score int, open boolean"), "id", "p", [F.desc("score")], 1, 2, F.col("open"))
     assert {(r["score"], r["dropped"]) for r in df.collect()} == {(5, None), (9, None), (4, "over_paragraph_cap"), (3, None), (2, None), (1, "over_sample_cap")}
+
+
+def test_gate_works_out_its_reasons_once(spark):
+    plan = V.verify_full(*tables(spark, [("r", 9.0, [], [])], [("r", "q", 1)], ["fails"]), CHECKS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\bno violation\b|") == 1
+
+
+def test_anchor_without_regard_to_case(spark):
+    """Letters beyond ASCII are looked for as they are too, as their lower case depends on what follows."""
+    rows = [("Xyz ABCDEFΣ und", "ABCDEFΣ"), ("Xyz abcdef und", "nowhere at all"), ("Xyz ABCDEFΣX", "ABCDEFΣ"), ("short", "short")]
+    df = spark.createDataFrame(rows, "t string, e string").select(anchored(F.col("t"), F.col("e"), F.lit("no such text"), F.array(F.lit("x"), F.lit("abcdef"))).alias("q"))
+    assert [r["q"] for r in df.collect()] == ["ABCDEFΣ", "abcdef", "ABCDEFΣ", None]

@@ -4,6 +4,7 @@ import pytest
 
 from rulespan import plans
 from rulespan.operators import retrieval as R
+from rulespan.operators import roles
 
 RULES = "rule_no int, rule_id string, domain string, topic string, title string, trigger string, check_logic string, support int, is_meta boolean"
 SAMPLES = "id int, question string, context string, prediction string"
@@ -136,3 +137,11 @@ def test_what_is_found_stays_dealt_by_id(spark, sf, name):
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(id#" in line]
     assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_question_without_taking_all_lines_apart(spark, tmp_path):
+    texts = ["one", "", "\nsecond", "first\nsecond\n", "first\r\n\n", None]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id int, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = roles.samples(spark, str(tmp_path))
+    assert [r["question"] for r in df.orderBy("id").collect()] == ["one", "", "", "first", "first\r", None]
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
